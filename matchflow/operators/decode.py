@@ -21,7 +21,7 @@ OFFSET, PARTITION, TS, KEYS, RAW, REASON = ("_offset", "_partition", "_ts", "_ke
 
 
 def decode_json(records: DataFrame, schema: T.StructType, value_col: str = "value",
-                keep_raw: bool = False) -> DataFrame:
+                keep_raw: bool = False, with_keys: bool = True) -> DataFrame:
     """Topic records -> one typed row per record.
 
     ``value`` may be binary (Kafka) or string (directory topic). Fields absent
@@ -35,13 +35,15 @@ def decode_json(records: DataFrame, schema: T.StructType, value_col: str = "valu
     for src, dst in (("offset", OFFSET), ("partition", PARTITION), ("timestamp", TS)):
         if src in cols:
             meta.append(F.col(src).alias(dst))
-    parsed = records.select(*meta, raw.alias(RAW))
-    parsed = parsed.select(
-        *[F.col(c) for c in parsed.columns],
-        F.from_json(F.col(RAW), schema).alias("_data"),
-        F.json_object_keys(F.col(RAW)).alias(KEYS),
-    )
-    out = parsed.select(*[c for c in parsed.columns if c not in ("_data",)], "_data.*")
+    fields = [*meta, raw.alias(RAW), F.from_json(raw, schema).alias("_data")]
+    if with_keys:
+        fields.append(F.json_object_keys(raw).alias(KEYS))
+    # Decode once: the one-element inline() is a projection barrier. Filters
+    # on decoded fields (key checks) stay above it instead of being pushed
+    # below with the JSON parse substituted into them, which would parse
+    # every record again for each predicate.
+    parsed = records.select(F.inline(F.array(F.struct(*fields))))
+    out = parsed.select(*[c for c in parsed.columns if c != "_data"], "_data.*")
     return out if keep_raw else out.drop(RAW)
 
 

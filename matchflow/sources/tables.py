@@ -21,7 +21,32 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    """Read one driver table, projected to ``cols`` (all columns when empty)."""
+# Tables that grow with the scale factor; dimensions (region, nation) never do.
+SCALED = frozenset(TABLES) - {"region", "nation"}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str,
+               spread: bool | None = None) -> DataFrame:
+    """Read one driver table, projected to ``cols`` (all columns when empty).
+
+    ``spread`` (default: on for tables that grow with the scale factor) makes
+    sure the scan feeds at least ``defaultParallelism`` tasks: a file written
+    as a single row group is one split, and everything downstream of it --
+    JSON work, the fan-out's output -- would otherwise run in one task. On a
+    cluster, where a large table has thousands of splits, this is a no-op.
+    """
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*cols) if cols else df
+    df = df.select(*cols) if cols else df
+    if spread is None:
+        spread = name in SCALED
+    return ensure_parallelism(df) if spread else df
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when ``df`` has fewer partitions than the cluster
+    has cores. Retries stay deterministic (Spark sorts before a round-robin
+    repartition)."""
+    if df.isStreaming:
+        return df
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
