@@ -50,8 +50,9 @@ def write_snapshot(state: DataFrame, root: str, batch_id: int) -> str:
     return path
 
 
-def latest_snapshot_path(spark, root: str) -> str | None:
-    """Path of the highest complete snapshot version under ``root``."""
+def latest_snapshot_path(spark, root: str, before: int | None = None) -> str | None:
+    """Path of the highest complete snapshot version under ``root`` (only
+    versions below ``before`` when given)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(root)
@@ -63,6 +64,8 @@ def latest_snapshot_path(spark, root: str) -> str | None:
         name = st.getPath().getName()
         if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
             v = int(name[2:])
+            if before is not None and v >= before:
+                continue
             best = v if best is None or v > best else best
     return None if best is None else os.path.join(root, f"v={best}")
 

@@ -61,14 +61,20 @@ def topic_dir(root: str, topic: str) -> str:
     return os.path.join(root, f"topic={topic}")
 
 
-def write_dir_topic(records: DataFrame, root: str, topic: str, mode: str = "append") -> None:
+def write_dir_topic(records: DataFrame, root: str, topic: str, mode: str = "append",
+                    batch_id: int | None = None) -> None:
     """Append topic records ``(partition, offset, timestamp, key, value)`` to a
-    directory topic. Binary key/value are stored as UTF-8 text."""
+    directory topic. Binary key/value are stored as UTF-8 text. With
+    ``batch_id`` the records go to their own ``batch=<id>`` sub-directory, so
+    a producer retrying a batch overwrites it instead of duplicating it."""
     cols = []
     for f in DIR_TOPIC_SCHEMA.fields:
         c = F.col(f.name) if f.name in records.columns else F.lit(None)
         cols.append(c.cast(f.dataType).alias(f.name))
-    records.select(*cols).write.mode(mode).json(topic_dir(root, topic))
+    path = topic_dir(root, topic)
+    if batch_id is not None:
+        path = os.path.join(path, f"batch={batch_id}")
+    records.select(*cols).write.mode(mode).json(path)
 
 
 def read_dir_topic(spark: SparkSession, root: str, topic: str, stream: bool = False,
