@@ -97,6 +97,26 @@ def activity_feed(matches: DataFrame, notes: DataFrame, k: int = 20) -> DataFram
               .orderBy(F.col("moment").desc(), F.col("source"), F.col("item_id")).limit(k))
 
 
+PICK_PRIME = 1_000_003        # keys are folded below this first
+PICK_MULT = 2_654_435_761     # Knuth's multiplicative constant
+PICK_MOD = 4_294_967_291      # largest prime below 2^32
+
+
+def pick_order(key, seed: int = 0):
+    """Seeded pseudo-random rank of an integer key: a multiplicative step
+    modulo a prime over ``key mod p``. Every intermediate stays below 2^63, so
+    it never overflows, and any SQL engine reproduces it."""
+    k = F.pmod(F.col(key) if isinstance(key, str) else key, F.lit(PICK_PRIME))
+    return F.pmod(k * F.lit(PICK_MULT) + F.lit(seed * PICK_PRIME), F.lit(PICK_MOD))
+
+
+def random_pick(df: DataFrame, key: str, n: int = 1, seed: int = 0) -> DataFrame:
+    """``n`` seeded random rows (ties by key). A top-n on the seeded rank:
+    per-partition top-n then a merge of n rows per partition -- no ``tail``
+    or ``collect`` of the table to the driver."""
+    return df.orderBy(pick_order(key, seed), F.col(key)).limit(n)
+
+
 def facets(matches: DataFrame, notes: DataFrame) -> DataFrame:
     """Distinct choice-list values: sport names, statuses, notification types."""
     parts = [matches.select(F.lit("sport_nom").alias("facette"), F.col("sport_nom").alias("valeur")),

@@ -314,6 +314,10 @@ FROM merged GROUP BY sport_id, sport_nom ORDER BY nombre_matchs DESC, sport_id L
     COALESCE(TRY_CAST(date_envoi AS TIMESTAMP), TIMESTAMP '1970-01-01 00:00:00'), contenu
   FROM notifications)
 ORDER BY moment DESC, source, item_id LIMIT 20"""
+    from matchflow.operators.serve import PICK_MOD, PICK_MULT, PICK_PRIME
+    s["random_pick"] = _with(m) + f"""SELECT * FROM matchs
+ORDER BY ((match_id % {PICK_PRIME}) * {PICK_MULT} + {Q.PICK_SEED * PICK_PRIME}) % {PICK_MOD}, match_id
+LIMIT {Q.PICK_N}"""
     s["facets"] = _with(m, _NOTES) + """SELECT 'sport_nom' AS facette, sport_nom AS valeur FROM matchs
 UNION SELECT 'statut', statut FROM matchs
 UNION SELECT 'type', type FROM notifications"""

@@ -36,6 +36,7 @@ USER_ID = 77
 POLL_CUTOFF = "2024-01-04 00:00:00"
 TODAY = "1998-06-01"
 GENERATION_THRESHOLD = 100_000
+PICK_N, PICK_SEED = 5, 42
 
 
 def query(name: str):
@@ -338,6 +339,11 @@ def q_top_sports(spark, d):
     return serve.top_sports(marts.matches_per_sport(merged_matches(spark, d)))
 
 
+@query("random_pick")
+def q_random_pick(spark, d):
+    return serve.random_pick(fx.matchs(spark, d), "match_id", PICK_N, PICK_SEED)
+
+
 @query("activity_feed")
 def q_activity_feed(spark, d):
     return serve.activity_feed(merged_matches(spark, d), fx.notifications(spark, d))

@@ -55,3 +55,34 @@ def test_threshold_and_generation_branch(spark):
 def test_upcoming_window(spark):
     m = _m(spark)
     assert [r.match_id for r in serve.upcoming_matches(m, "2024-01-01", 7).collect()] == [1]
+
+
+def test_random_pick_is_seeded_and_whole(spark):
+    df = spark.range(1, 1000).withColumnRenamed("id", "k")
+    a = [r.k for r in serve.random_pick(df, "k", 5, seed=1).collect()]
+    b = [r.k for r in serve.random_pick(df, "k", 5, seed=1).collect()]
+    c = [r.k for r in serve.random_pick(df, "k", 5, seed=2).collect()]
+    assert a == b and a != c and len(set(a)) == 5
+
+
+def test_seeds_and_parquet_table(spark, scratch):
+    from matchflow.sources import seeds, sinks
+    assert seeds.seed_sports(spark).count() == 5 and seeds.seed_products(spark).count() == 5
+    sinks.create_parquet_table(spark, "robust_test_t", location=scratch + "/robust")
+    spark.sql("INSERT INTO robust_test_t VALUES (1, 'a', TIMESTAMP '2024-01-01 00:00:00')")
+    assert spark.table("robust_test_t").count() == 1
+    spark.sql("DROP TABLE robust_test_t")
+
+
+def test_run_pipeline_outputs(spark, scratch):
+    from matchflow.plans.pipeline import run_pipeline
+    from matchflow.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+    recs = fx.match_topic(spark, SF_SMALL)
+    paths = run_pipeline(spark, recs, scratch, batch_id=3)
+    n = fx.match_log(spark, SF_SMALL).count()
+    assert spark.read.parquet(paths["matchs"]).count() == n
+    run_pipeline(spark, recs, scratch, batch_id=3)  # retry: no duplicates
+    assert spark.read.parquet(paths["matchs"]).count() == n
+    st = spark.read.parquet(paths["state"] + "/v=3")
+    assert st.count() == fx.match_log(spark, SF_SMALL).select("match_id").distinct().count()
