@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from matchflow.functions import constants as K
 from matchflow.functions.scalars import month_key, parse_ts_ntz
+from matchflow.plans.strategy import barrier
 
 TEAM_KEYS = ["sport_id", "sport_nom", "equipe"]
 
@@ -41,19 +42,32 @@ def stats_sportifs(m: DataFrame) -> DataFrame:
 
 
 def _side_totals(m: DataFrame) -> DataFrame:
-    """Home and away team totals from ONE scan: each match row is unpivoted into
-    its home and its away view, then a single aggregate groups by side.
-    ``side`` = 'd' (home) or 'e' (away)."""
+    """Home and away totals of every (sport_id, sport_nom, equipe) from ONE scan
+    and ONE aggregate: each match row is unpivoted into its home and its away
+    view; the aggregate keeps both sides' counts and sums as columns.
+
+    The result sits behind ``barrier`` so that the home view, the away view
+    and both join branches all reuse this single aggregate's exchange."""
     home = F.struct(F.lit("d").alias("side"), F.col("equipe_domicile").alias("equipe"),
                     F.col("score_domicile").alias("pour"), F.col("score_exterieur").alias("contre"))
     away = F.struct(F.lit("e").alias("side"), F.col("equipe_exterieur").alias("equipe"),
                     F.col("score_exterieur").alias("pour"), F.col("score_domicile").alias("contre"))
     u = m.select("sport_id", "sport_nom", F.explode(F.array(home, away)).alias("t")).select(
         "sport_id", "sport_nom", "t.*")
-    return u.groupBy("side", *TEAM_KEYS).agg(
-        F.count(F.lit(1)).alias("nombre_matchs_joues"),
-        F.sum("pour").alias("buts_marques"),
-        F.sum("contre").alias("buts_encaisses"))
+    aggs = []
+    for sd in ("d", "e"):
+        on = F.col("side") == sd
+        aggs += [F.count_if(on).alias(f"{sd}_n"),
+                 F.sum(F.when(on, F.col("pour"))).alias(f"{sd}_pour"),
+                 F.sum(F.when(on, F.col("contre"))).alias(f"{sd}_contre")]
+    return barrier(u.groupBy(*TEAM_KEYS).agg(*aggs))
+
+
+def _side(totals: DataFrame, sd: str) -> DataFrame:
+    """One side's groups (those where the team played on that side)."""
+    return totals.where(F.col(f"{sd}_n") > 0).select(
+        *TEAM_KEYS, F.col(f"{sd}_n").alias("nombre_matchs_joues"),
+        F.col(f"{sd}_pour").alias("buts_marques"), F.col(f"{sd}_contre").alias("buts_encaisses"))
 
 
 def stats_equipes_domicile(m: DataFrame) -> DataFrame:
@@ -86,18 +100,17 @@ def _combine(a: DataFrame, b: DataFrame) -> DataFrame:
         (F.col("buts_encaisses") + F.coalesce("_b_contre", F.lit(0))).alias("total_buts_encaisses"))
 
 
-def team_home_left(m: DataFrame) -> DataFrame:
+def team_home_left(m: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Home totals LEFT JOIN away totals on (sport_id, equipe)."""
-    s = _side_totals(m)
-    d, e = s.where(F.col("side") == "d").drop("side"), s.where(F.col("side") == "e").drop("side")
-    return _combine(d, e)
+    s = totals if totals is not None else _side_totals(m)
+    return _combine(_side(s, "d"), _side(s, "e"))
 
 
-def team_away_only(m: DataFrame) -> DataFrame:
+def team_away_only(m: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Away-only teams (no home group with the same (sport_id, equipe));
     null keys never match, so a null-team away group is always kept."""
-    s = _side_totals(m)
-    d, e = s.where(F.col("side") == "d").drop("side"), s.where(F.col("side") == "e").drop("side")
+    s = totals if totals is not None else _side_totals(m)
+    d, e = _side(s, "d"), _side(s, "e")
     anti = e.join(d.select("sport_id", "equipe"), ["sport_id", "equipe"], "left_anti")
     return anti.select("sport_id", "sport_nom", "equipe",
                        F.col("nombre_matchs_joues").alias("total_matchs"),
@@ -113,17 +126,23 @@ def team_totals(m: DataFrame) -> DataFrame:
     that collapse only when their totals are equal. Plan: one scan, one
     aggregate for both sides (reused by both branches), joins on aggregates.
     """
-    return team_home_left(m).unionByName(team_away_only(m)).distinct()
+    totals = _side_totals(m)
+    return team_home_left(m, totals).unionByName(team_away_only(m, totals)).distinct()
 
 
 def team_totals_unpivot(m: DataFrame) -> DataFrame:
     """Faster combine for validated input (non-null teams, one sport name per
     (sport, team)): one aggregate over both sides, no join."""
     s = _side_totals(m)
-    return s.groupBy(*TEAM_KEYS).agg(
-        F.sum("nombre_matchs_joues").alias("total_matchs"),
-        F.sum("buts_marques").alias("total_buts_marques"),
-        F.sum("buts_encaisses").alias("total_buts_encaisses"))
+    return s.select(*TEAM_KEYS, (F.col("d_n") + F.col("e_n")).alias("total_matchs"),
+                    _add_sums("d_pour", "e_pour").alias("total_buts_marques"),
+                    _add_sums("d_contre", "e_contre").alias("total_buts_encaisses"))
+
+
+def _add_sums(a: str, b: str):
+    """Sum of two side sums where a missing side counts as nothing."""
+    return F.when(F.col(a).isNull() & F.col(b).isNull(), F.lit(None)).otherwise(
+        F.coalesce(F.col(a), F.lit(0)) + F.coalesce(F.col(b), F.lit(0)))
 
 
 def stats_notifications(n: DataFrame) -> DataFrame:
