@@ -52,7 +52,7 @@ def matchs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One match per order; home team = customer's nation, away = another nation
     of the same region; sport = region. ``date_match`` stays a timestamp."""
     o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
-                   "o_orderdate", "o_orderpriority")
+                   "o_orderdate", "o_orderpriority", spread=True)
     c = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     n = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
     r = read_table(spark, sf_dir, "region", "r_regionkey", "r_name")

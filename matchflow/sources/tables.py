@@ -21,24 +21,20 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-# Tables that grow with the scale factor; dimensions (region, nation) never do.
-SCALED = frozenset(TABLES) - {"region", "nation"}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str,
-               spread: bool | None = None) -> DataFrame:
+               spread: bool = False) -> DataFrame:
     """Read one driver table, projected to ``cols`` (all columns when empty).
 
-    ``spread`` (default: on for tables that grow with the scale factor) makes
-    sure the scan feeds at least ``defaultParallelism`` tasks: a file written
-    as a single row group is one split, and everything downstream of it --
-    JSON work, the fan-out's output -- would otherwise run in one task. On a
-    cluster, where a large table has thousands of splits, this is a no-op.
+    ``spread`` makes sure the scan feeds at least ``defaultParallelism``
+    tasks: a file written as a single row group is one split, and a narrow
+    pipeline downstream of it (JSON work, explodes, a broadcast join's
+    output) would otherwise run in one task. It is for the *streamed* root
+    of such pipelines only -- a side that is broadcast or shuffled by a join
+    or aggregate is spread by that exchange anyway. On a cluster, where a
+    large table has thousands of splits, it is a no-op.
     """
     df = spark.read.parquet(table_path(sf_dir, name))
     df = df.select(*cols) if cols else df
-    if spread is None:
-        spread = name in SCALED
     return ensure_parallelism(df) if spread else df
 
 
