@@ -9,8 +9,6 @@ the same way.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +18,7 @@ from matchflow.functions import constants as K
 from matchflow.functions.scalars import parse_ts_ntz, score_or_zero
 from matchflow.operators import decode, marts, notify, serve, state
 from matchflow.schemas import MATCH
-from matchflow.session import checkpoint_dir
+from matchflow.session import scratch_path
 from matchflow.sources import feed as feedsrc
 from matchflow.sources import fixtures as fx
 from matchflow.sources import topics
@@ -234,20 +232,11 @@ def q_valid_rows(spark, d):
 @query("raw_scan")
 def q_raw_scan(spark, d):
     """S3 + S4: land the match topic as JSON lines, read it back as a raw table."""
-    root = tempfile.mkdtemp(prefix="landing-", dir=_scratch(spark))
+    root = scratch_path(spark, "landing")
     topics.write_landing(fx.match_topic(spark, d), root, mode="overwrite")
     return topics.read_raw(spark, root, "matchs")
 
 
-def _scratch(spark) -> str:
-    base = checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    path = os.path.join(base, "scratch")
-    os.makedirs(path, exist_ok=True)
-    return path
-
-
 @query("score_defaults")
 def q_score_defaults(spark, d):
     lg = _log(spark, d)

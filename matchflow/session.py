@@ -59,6 +59,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared checkpoint folder for an intermediate
+    table. Only a path is built -- Spark's writer creates it -- so it works
+    for any file system URI the cluster names (hdfs://, s3a://, file:)."""
+    import uuid
+    return f"{checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+
+
 def default_parallelism(spark: SparkSession) -> int:
     """Number of shuffle partitions the session is configured for."""
     try:

@@ -11,7 +11,6 @@ S1-S5, S11; the landing zone (S3) and raw tables (S4).
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +57,7 @@ def write_kafka(df: DataFrame, servers: str, topic: str) -> None:
 
 
 def topic_dir(root: str, topic: str) -> str:
-    return os.path.join(root, f"topic={topic}")
+    return f"{root.rstrip('/')}/topic={topic}"
 
 
 def write_dir_topic(records: DataFrame, root: str, topic: str, mode: str = "append",
@@ -73,7 +72,7 @@ def write_dir_topic(records: DataFrame, root: str, topic: str, mode: str = "appe
         cols.append(c.cast(f.dataType).alias(f.name))
     path = topic_dir(root, topic)
     if batch_id is not None:
-        path = os.path.join(path, f"batch={batch_id}")
+        path = f"{path}/batch={batch_id}"
     records.select(*cols).write.mode(mode).json(path)
 
 
@@ -103,7 +102,7 @@ def write_landing(records: DataFrame, root: str, mode: str = "append") -> None:
 def read_raw(spark: SparkSession, root: str, entity: str) -> DataFrame:
     """External-table read of one landing directory with its fixed schema;
     malformed lines become all-null rows, as with a JSON SerDe."""
-    return spark.read.schema(schema_of(entity)).json(os.path.join(root, f"topic={entity}"))
+    return spark.read.schema(schema_of(entity)).json(topic_dir(root, entity))
 
 
 def upsert_batch(state: DataFrame, upserts: DataFrame, key: str, order: str) -> DataFrame:
