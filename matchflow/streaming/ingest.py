@@ -165,6 +165,7 @@ def notifier_batch(users_fn: Callable[[], DataFrame | None], topics_root: str,
             return
         notes = notify.notifications_for(
             events, users, event_key=decode.OFFSET, strict=strict,
+            id_key=[decode.PARTITION, decode.OFFSET],
             sent_at=F.date_format(F.col(decode.TS), "yyyy-MM-dd HH:mm:ss"))
         recs = notes.select(
             F.lit(0).alias("partition"), F.col("notification_id").alias("offset"),
