@@ -14,7 +14,6 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchflow.functions import constants as K
 from matchflow.functions.scalars import parse_ts_ntz, score_or_zero
 from matchflow.operators import decode, marts, notify, serve, state
 from matchflow.schemas import MATCH

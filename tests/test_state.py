@@ -127,3 +127,28 @@ def test_latest_per_key_whole_row(spark):
 def test_merge_is_one_aggregate_without_window_or_join(spark):
     plan = state.merge_partial(_log(spark, [(1, FULL)]))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Join" not in plan
+
+
+def test_merge_property_hypothesis(spark):
+    """Generated logs (absent fields, explicit nulls, id 0, arbitrary offset
+    order) merge exactly like the sequential replay."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    val = st.one_of(st.none(), st.text(alphabet="abc", min_size=1, max_size=2))
+    score = st.one_of(st.none(), st.integers(0, 5))
+    record = st.fixed_dictionaries(
+        {"match_id": st.integers(0, 3)},
+        optional={"sport_id": st.one_of(st.none(), st.integers(1, 3)), "sport_nom": val,
+                  "equipe_domicile": val, "lieu": val, "statut": val, "date_match": val,
+                  "derniere_mise_a_jour": val, "score_domicile": score, "score_exterieur": score})
+    logs = st.lists(st.tuples(st.integers(0, 10_000), record), min_size=1, max_size=12,
+                    unique_by=lambda x: x[0])
+
+    @settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(logs)
+    def check(msgs):
+        got = {k: {f: v[f] for f in FIELDS} for k, v in _merge(spark, msgs).items()}
+        assert got == replay(msgs)
+
+    check()
