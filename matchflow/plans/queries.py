@@ -45,6 +45,7 @@ def query(name: str):
 
 # --- shared inputs ------------------------------------------------------------------------
 
+@fx.per_session
 def decoded_matches(spark: SparkSession, d: str) -> DataFrame:
     """The match topic decoded (P1-P3, N3, N4) and validated (F1, F2)."""
     dec = decode.decode_json(fx.match_topic(spark, d), MATCH)
@@ -52,6 +53,7 @@ def decoded_matches(spark: SparkSession, d: str) -> DataFrame:
     return valid
 
 
+@fx.per_session
 def merged_matches(spark: SparkSession, d: str) -> DataFrame:
     """Latest merged match state."""
     return state.merge_partial(decoded_matches(spark, d))

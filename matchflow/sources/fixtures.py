@@ -13,11 +13,32 @@ planner broadcasts them on its own statistics.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchflow.sources.tables import read_table
 
+_MEMO: dict[tuple, DataFrame] = {}
+
+
+def per_session(fn):
+    """Build an adapter's DataFrame once per (session, data folder).
+
+    Only the lazy plan object is kept -- no data is cached -- so every query
+    still reads the whole tables; what is saved is re-listing the files,
+    re-reading parquet footers and re-analysing the same base plan for every
+    query of a job. The driver tables are immutable inputs."""
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (fn.__name__, spark._jsparkSession.hashCode(), sf_dir)
+        df = _MEMO.get(key)
+        if df is None or spark._jsparkSession.sparkContext().isStopped():
+            df = _MEMO[key] = fn(spark, sf_dir)
+        return df
+    return wrapper
+
 # Keys present in the JSON of a full and of a partial match_log record.
 FULL_KEYS = ["match_id", "sport_id", "sport_nom", "equipe_domicile", "equipe_exterieur",
              "score_domicile", "score_exterieur", "date_match", "lieu", "statut"]
@@ -35,6 +56,7 @@ def _keys(keys):
     return F.array(*[F.lit(k) for k in keys])
 
 
+@per_session
 def sports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``region`` -> sports (sport_id = r_regionkey + 1)."""
     r = read_table(spark, sf_dir, "region", "r_regionkey", "r_name")
@@ -48,6 +70,7 @@ def sports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def matchs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One match per order; home team = customer's nation, away = another nation
     of the same region; sport = region. ``date_match`` stays a timestamp."""
@@ -78,6 +101,7 @@ def matchs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One user per customer, two distinct favourite sports, active flag
     true / false / null."""
@@ -95,6 +119,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One notification per event; three events per match."""
     e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
@@ -112,6 +137,7 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def match_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The match topic as typed rows: every full record, a later partial update
     for every third match, and partial updates of ids never seen in full.
@@ -163,6 +189,7 @@ def match_log(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select("r.*"))
 
 
+@per_session
 def match_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The match log as topic records ``(key, value, topic, partition, offset,
     timestamp)``; ``value`` is the UTF-8 JSON of the fields the record carries
