@@ -207,6 +207,11 @@ FROM notifications"""
   SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY log_offset DESC) AS rn FROM match_log)
 WHERE rn = 1"""
     s["merge_partial"] = _with(m, lgc, mg) + "SELECT * FROM merged"
+    s["stats_matchs_latest"] = _with(m, lgc, mg) + """SELECT sport_id, sport_nom, statut, COUNT(*) AS nombre_matchs,
+  AVG(score_domicile) AS moyenne_score_domicile, AVG(score_exterieur) AS moyenne_score_exterieur
+FROM merged GROUP BY sport_id, sport_nom, statut"""
+    side_latest = side.replace("FROM match_log", "FROM merged")
+    s["team_totals_latest"] = _with(m, lgc, mg, side_latest) + b1 + "\nUNION\n" + b2
     s["matches_per_sport_latest"] = _with(m, lgc, mg) + """SELECT sport_id, arg_min(sport_nom, first_offset) AS nom,
   COUNT(*) AS nombre_matchs FROM merged GROUP BY sport_id"""
     vals = ", ".join(f"({_sq(v)}, {i})" for i, v in enumerate(K.COUNTED_STATUSES))

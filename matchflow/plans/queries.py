@@ -138,6 +138,18 @@ def q_merge_partial(spark, d):
     return merged_matches(spark, d)
 
 
+@query("stats_matchs_latest")
+def q_stats_matchs_latest(spark, d):
+    """A1 over the latest merged state: counts matches, not messages."""
+    return marts.stats_matchs(merged_matches(spark, d))
+
+
+@query("team_totals_latest")
+def q_team_totals_latest(spark, d):
+    """A6 over the latest merged state."""
+    return marts.team_totals(merged_matches(spark, d))
+
+
 @query("matches_per_sport_latest")
 def q_matches_per_sport_latest(spark, d):
     return marts.matches_per_sport_latest(merged_matches(spark, d))

@@ -70,6 +70,23 @@ def latest_snapshot_path(spark, root: str, before: int | None = None) -> str | N
     return None if best is None else os.path.join(root, f"v={best}")
 
 
+def compact(spark, src: str, dst: str, partition_cols: list[str] | tuple[str, ...] = (),
+            files_per_partition: int = 1) -> None:
+    """Compaction job for small files (one file per trigger and task adds up):
+    rewrite ``src`` into ``dst`` with about ``files_per_partition`` files per
+    directory partition. Rows are clustered by the partition columns plus a
+    hash salt, so a large partition is still written by several tasks."""
+    df = spark.read.parquet(src)
+    cols = [F.col(c) for c in partition_cols]
+    if files_per_partition > 1:
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_partition))
+        df = df.repartition(*cols, salt) if cols else df.repartition(files_per_partition)
+    elif cols:
+        df = df.repartition(*cols)
+    w = df.write.mode("overwrite")
+    (w.partitionBy(*partition_cols) if partition_cols else w).parquet(dst)
+
+
 def create_parquet_table(spark, name: str, location: str | None = None) -> None:
     """The robust_test example table as a parquet data-source table."""
     loc = f" LOCATION '{location}'" if location else ""

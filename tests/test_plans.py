@@ -48,3 +48,16 @@ def test_decode_parses_once(spark):
                                   "match_id", nonzero=True)
     p = _plan(valid)
     assert p.count("from_json(") == 1
+
+
+def test_compaction_keeps_rows_and_cuts_files(spark, scratch):
+    import glob
+    m = fx.matchs(spark, SF_SMALL)
+    cur = decode.curate_matches(m.withColumn("date_match", F.date_format("date_match", "yyyy-MM-dd HH:mm:ss")))
+    src, dst = os.path.join(scratch, "small"), os.path.join(scratch, "compact")
+    cur.repartition(16).write.partitionBy("year").parquet(src)
+    sinks.compact(spark, src, dst, ["year"], files_per_partition=1)
+    n_src = len(glob.glob(src + "/year=*/*.parquet"))
+    n_dst = len(glob.glob(dst + "/year=*/*.parquet"))
+    assert spark.read.parquet(dst).count() == cur.count()
+    assert n_dst == len(glob.glob(dst + "/year=*")) < n_src
