@@ -281,6 +281,9 @@ FROM (SELECT *, {_type_expr()} AS type FROM matchs WHERE sport_id IS NOT NULL)""
   aud.user_id, ev.match_id, ev.type
 FROM (SELECT match_id, sport_id, {_type_expr()} AS type FROM matchs WHERE sport_id IS NOT NULL) ev
 JOIN aud ON ev.sport_id = aud.sport_id"""
+    s["notify_counts"] = _with(m, _USERS, _AUDIENCE) + f"""SELECT ev.match_id, ev.type, COUNT(*) AS destinataires
+FROM (SELECT match_id, sport_id, {_type_expr()} AS type FROM matchs WHERE sport_id IS NOT NULL) ev
+JOIN aud ON ev.sport_id = aud.sport_id GROUP BY ev.match_id, ev.type"""
     s["new_notifications"] = _with(_NOTES) + f"""SELECT n.notification_id, n.user_id, n.statut,
   k.id IS NULL AS is_new, (n.statut = {_sq(K.SENT_STATUS)} OR k.id IS NULL) AS nouvelle
 FROM notifications n

@@ -287,9 +287,9 @@ def q_notify_render(spark, d):
     return notify.rendered_events(fx.matchs(spark, d))
 
 
-@query("notify_fanout")
-def q_notify_fanout(spark, d):
-    return notify.notify_pairs(fx.matchs(spark, d), fx.users(spark, d))
+@query("notify_counts")
+def q_notify_counts(spark, d):
+    return notify.recipients_per_event(fx.matchs(spark, d), fx.users(spark, d))
 
 
 @query("new_notifications")
@@ -395,5 +395,11 @@ def q_generation_branch(spark, d):
     return generation_branch(merged_matches(spark, d), GENERATION_THRESHOLD)
 
 
+@query("notify_fanout")
+def q_notify_fanout(spark, d):
+    return notify.notify_pairs(fx.matchs(spark, d), fx.users(spark, d))
+
+
 def queries() -> dict[str, Query]:
+    """Registered queries; the full fan-out (the largest result) comes last."""
     return dict(QUERIES)
