@@ -205,6 +205,34 @@ def start_all(spark: SparkSession, topics_root: str, out_root: str, ckpt_root: s
     return qs
 
 
+def supervise(start: Callable[[], list[StreamingQuery]], max_restarts: int = 3,
+              delay_s: float = 5.0, timeout: float | None = None) -> int:
+    """ST8: run the queries built by ``start``; when one fails, stop the others,
+    wait ``delay_s`` and start them all again -- each resumes from its
+    checkpoint, and the per-batch sinks make the replayed batch idempotent.
+    Returns the number of restarts; re-raises after ``max_restarts``."""
+    import time
+    from pyspark.errors import StreamingQueryException
+    restarts = 0
+    while True:
+        qs = start()
+        try:
+            for q in qs:
+                q.awaitTermination(timeout)
+            for q in qs:
+                if q.exception() is not None:
+                    raise q.exception()
+            return restarts
+        except StreamingQueryException:
+            for q in qs:
+                if q.isActive:
+                    q.stop()
+            restarts += 1
+            if restarts > max_restarts:
+                raise
+            time.sleep(delay_s)
+
+
 def await_any_then_stop(spark: SparkSession, queries: list[StreamingQuery],
                         timeout: float | None = None) -> None:
     """ST3: wait for any query to end (or fail), then stop all of them; a
