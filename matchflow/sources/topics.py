@@ -38,11 +38,15 @@ def kafka_available(spark: SparkSession) -> bool:
 
 
 def read_kafka(spark: SparkSession, servers: str, topic: str, stream: bool = True,
-               starting: str = "latest") -> DataFrame:
-    """Topic source; ``failOnDataLoss=false`` as in the source app."""
+               starting: str = "latest", min_partitions: int | None = None) -> DataFrame:
+    """Topic source; ``failOnDataLoss=false`` as in the source app.
+    ``min_partitions`` splits the offset ranges of a topic with few partitions
+    (the source app's topics have one) over that many tasks."""
     r = (spark.readStream if stream else spark.read).format("kafka")
     r = (r.option("kafka.bootstrap.servers", servers).option("subscribe", topic)
           .option("startingOffsets", starting))
+    if min_partitions:
+        r = r.option("minPartitions", str(min_partitions))
     if stream:
         r = r.option("failOnDataLoss", "false")
     else:

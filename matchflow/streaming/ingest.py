@@ -37,11 +37,13 @@ def _trigger(w, trigger: dict | None):
 
 
 def topic_stream(spark: SparkSession, topics_root: str, topic: str,
-                 max_files_per_trigger: int | None = None, kafka: str | None = None) -> DataFrame:
-    """Topic records as a stream: Kafka when ``kafka`` names brokers, else a
-    directory topic (ST1, ST9)."""
+                 max_files_per_trigger: int | None = None, kafka: str | None = None,
+                 min_partitions: int | None = None) -> DataFrame:
+    """Topic records as a stream: Kafka when ``kafka`` names brokers (offset
+    ranges split over ``min_partitions`` tasks), else a directory topic (ST1, ST9)."""
     if kafka:
-        return topics.read_kafka(spark, kafka, topic, stream=True)
+        return topics.read_kafka(spark, kafka, topic, stream=True,
+                                 min_partitions=min_partitions or spark.sparkContext.defaultParallelism)
     return topics.read_dir_topic(spark, topics_root, topic, stream=True,
                                  max_files_per_trigger=max_files_per_trigger)
 
