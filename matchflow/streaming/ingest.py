@@ -38,11 +38,12 @@ def _trigger(w, trigger: dict | None):
 
 def topic_stream(spark: SparkSession, topics_root: str, topic: str,
                  max_files_per_trigger: int | None = None, kafka: str | None = None,
-                 min_partitions: int | None = None) -> DataFrame:
+                 min_partitions: int | None = None, starting: str = "latest") -> DataFrame:
     """Topic records as a stream: Kafka when ``kafka`` names brokers (offset
-    ranges split over ``min_partitions`` tasks), else a directory topic (ST1, ST9)."""
+    ranges split over ``min_partitions`` tasks, first run from ``starting``),
+    else a directory topic, read from its first file (ST1, ST9)."""
     if kafka:
-        return topics.read_kafka(spark, kafka, topic, stream=True,
+        return topics.read_kafka(spark, kafka, topic, stream=True, starting=starting,
                                  min_partitions=min_partitions or spark.sparkContext.defaultParallelism)
     return topics.read_dir_topic(spark, topics_root, topic, stream=True,
                                  max_files_per_trigger=max_files_per_trigger)
@@ -130,6 +131,7 @@ def state_stream(spark: SparkSession, topics_root: str, entity: str, **src) -> D
     """Streaming latest state of one entity: field merge for matches (W2,
     ST6), whole-record replace for the others (W1, ST5)."""
     key = key_of(entity)
+    src.setdefault("starting", "earliest")  # state replays the whole log (ST5)
     dec = decode.decode_json(topic_stream(spark, topics_root, entity, **src), schema_of(entity))
     valid = dec.where(state.valid_key(key, nonzero=(entity == "matchs")))
     if entity == "matchs":
