@@ -56,8 +56,8 @@ def reject_reason(key: str, nonzero: bool = False) -> Column:
     """Why a decoded row is rejected, or null when it is valid (F1, F2).
 
     not_an_object: malformed JSON, JSON null, array or scalar;
-    missing_key:   the key field is absent or explicitly null;
-    bad_key:       the key is present but of the wrong type;
+    missing_key:   the key field is absent;
+    bad_key:       the key is present but null or of the wrong type;
     zero_key:      the key is 0 (matches only).
     """
     k = F.col(key)
