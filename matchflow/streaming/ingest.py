@@ -101,6 +101,30 @@ def start_ingest(spark: SparkSession, topics_root: str, out_root: str, ckpt_root
     return _trigger(w, trigger).start()
 
 
+# --- raw landing zone -----------------------------------------------------------------------
+
+def start_landing(spark: SparkSession, topics_root: str, landing_root: str, ckpt_root: str,
+                  trigger: dict | None = None, entities=ENTITIES, kafka: str | None = None,
+                  **src) -> StreamingQuery:
+    """S3: ONE streaming query lands every message of every topic as a JSON
+    line under ``topic=<name>`` (one file per task and trigger, never one
+    per message). The file sink with a checkpoint is exactly-once: a replayed
+    batch does not duplicate lines. With Kafka, one source subscribes to all
+    topics; with directory topics, the per-topic streams are unioned."""
+    if kafka:
+        s = topics.read_kafka(spark, kafka, ",".join(entities), stream=True, **src)
+    else:
+        parts = [topic_stream(spark, topics_root, e, **src).select("value", "topic") for e in entities]
+        s = parts[0]
+        for p in parts[1:]:
+            s = s.unionByName(p)
+    out = s.select(F.col("value").cast("string").alias("value"), "topic")
+    w = (out.writeStream.queryName("landing").format("text").partitionBy("topic")
+            .option("path", landing_root)
+            .option("checkpointLocation", os.path.join(ckpt_root, "landing")))
+    return _trigger(w, trigger).start()
+
+
 # --- latest state ------------------------------------------------------------------------------
 
 def upsert_snapshot(root: str, key: str) -> Callable[[DataFrame, int], None]:

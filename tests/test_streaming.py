@@ -134,3 +134,22 @@ def test_supervise_restarts_from_checkpoint_without_duplicates(spark, scratch):
 
     assert ingest.supervise(start, max_restarts=2, delay_s=0.1) == 1
     assert spark.read.parquet(os.path.join(out, "matchs")).count() == fx.match_log(spark, SF_SMALL).count()
+
+
+def test_landing_zone_stream(spark, scratch):
+    """One streaming query lands all topics; raw tables read them back
+    (malformed lines included, as all-null rows)."""
+    from matchflow.operators import decode
+    tr, land, ck = (os.path.join(scratch, x) for x in ("topics", "landing", "ckpt"))
+    _write_topic(spark, tr, 2)
+    users = decode.encode_json(fx.users(spark, SF_SMALL)).withColumn("offset", F.lit(0).cast("long"))
+    topics.write_dir_topic(users, tr, "users")
+    bad = spark.createDataFrame([(0, 1, "not json")], "partition int, offset long, value string")
+    topics.write_dir_topic(bad, tr, "users")
+    q = ingest.start_landing(spark, tr, land, ck, trigger=ONCE, entities=("matchs", "users"))
+    q.awaitTermination()
+    m = topics.read_raw(spark, land, "matchs")
+    u = topics.read_raw(spark, land, "users")
+    assert m.count() == fx.match_log(spark, SF_SMALL).count()
+    assert u.count() == fx.users(spark, SF_SMALL).count() + 1
+    assert u.where("user_id IS NULL").count() == 1
