@@ -24,11 +24,12 @@ def write_partitioned(curated: DataFrame, path: str, batch_id: int,
                       cols: tuple[str, ...] = ("year", "month", "day")) -> None:
     """Detail table partitioned by year/month/day of ``date_match``.
 
-    Rows are clustered by the partition columns before the write, so each
-    task writes few files per partition (no small-file explosion); rows with
-    a null date land in the default (null) partition."""
-    df = curated.withColumn("batch_id", F.lit(batch_id))
-    df = df.repartition(*[F.col(c) for c in cols])
+    ``rebalance`` clusters rows by the partition columns (few files per
+    directory, no small-file explosion) while AQE splits a hot day -- one day
+    may hold a third of the rows -- over several tasks instead of one, and
+    merges small ones. Rows with a null date land in the default (null)
+    partition."""
+    df = curated.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", *cols)
     _overwrite_partitions(df, path, ["batch_id", *cols])
 
 
@@ -70,19 +71,13 @@ def latest_snapshot_path(spark, root: str, before: int | None = None) -> str | N
     return None if best is None else os.path.join(root, f"v={best}")
 
 
-def compact(spark, src: str, dst: str, partition_cols: list[str] | tuple[str, ...] = (),
-            files_per_partition: int = 1) -> None:
+def compact(spark, src: str, dst: str, partition_cols: list[str] | tuple[str, ...] = ()) -> None:
     """Compaction job for small files (one file per trigger and task adds up):
-    rewrite ``src`` into ``dst`` with about ``files_per_partition`` files per
-    directory partition. Rows are clustered by the partition columns plus a
-    hash salt, so a large partition is still written by several tasks."""
-    df = spark.read.parquet(src)
-    cols = [F.col(c) for c in partition_cols]
-    if files_per_partition > 1:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_partition))
-        df = df.repartition(*cols, salt) if cols else df.repartition(files_per_partition)
-    elif cols:
-        df = df.repartition(*cols)
+    rewrite ``src`` into ``dst`` with files of about the advisory partition
+    size (``spark.sql.adaptive.advisoryPartitionSizeInBytes``). ``rebalance``
+    keeps each directory's rows together, merges small directories' rows
+    into few files and splits a hot directory over several tasks."""
+    df = spark.read.parquet(src).hint("rebalance", *partition_cols)
     w = df.write.mode("overwrite")
     (w.partitionBy(*partition_cols) if partition_cols else w).parquet(dst)
 

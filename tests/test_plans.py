@@ -56,8 +56,18 @@ def test_compaction_keeps_rows_and_cuts_files(spark, scratch):
     cur = decode.curate_matches(m.withColumn("date_match", F.date_format("date_match", "yyyy-MM-dd HH:mm:ss")))
     src, dst = os.path.join(scratch, "small"), os.path.join(scratch, "compact")
     cur.repartition(16).write.partitionBy("year").parquet(src)
-    sinks.compact(spark, src, dst, ["year"], files_per_partition=1)
+    sinks.compact(spark, src, dst, ["year"])
     n_src = len(glob.glob(src + "/year=*/*.parquet"))
     n_dst = len(glob.glob(dst + "/year=*/*.parquet"))
     assert spark.read.parquet(dst).count() == cur.count()
     assert n_dst == len(glob.glob(dst + "/year=*")) < n_src
+
+
+def test_partitioned_write_rebalances(spark, scratch):
+    m = fx.matchs(spark, SF_SMALL)
+    cur = decode.curate_matches(m.withColumn("date_match", F.date_format("date_match", "yyyy-MM-dd HH:mm:ss")))
+    path = os.path.join(scratch, "detail")
+    sinks.write_partitioned(cur, path, 0)
+    plan = cur.hint("rebalance", "year", "month", "day")._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan
+    assert spark.read.parquet(path).count() == cur.count()
