@@ -146,9 +146,17 @@ def user_labels(users: DataFrame) -> DataFrame:
         active_label("notification_active").alias("notifications"))
 
 
-def sports_view(sports: DataFrame) -> DataFrame:
-    """Sport category -> colour."""
-    return sports.select("sport_id", "nom", "categorie", category_colour("categorie").alias("couleur"))
+def sports_view(sports: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+    """Sport category -> colour, with each sport's match count when the
+    match table is given (counts aggregated first, then joined to the small
+    sports dimension; sports without matches show 0)."""
+    out = sports.select("sport_id", "nom", "categorie", category_colour("categorie").alias("couleur"))
+    if matches is None:
+        return out
+    counts = matches.groupBy("sport_id").agg(F.count(F.lit(1)).alias("nombre_matchs"))
+    return out.join(counts, "sport_id", "left").select(
+        "sport_id", "nom", "categorie", "couleur",
+        F.coalesce(F.col("nombre_matchs"), F.lit(0)).alias("nombre_matchs"))
 
 
 def upcoming_matches(m: DataFrame, today: str, days: int = 7,

@@ -338,7 +338,9 @@ FROM merged"""
   left(prenom, 1) || left(nom, 1) AS initiales, lower(email) AS email,
   CASE WHEN notification_active THEN {_sq(on)} ELSE {_sq(off)} END AS notifications FROM users"""
     cc = _map_case("lower(categorie)", K.CATEGORY_COLOURS, "'default'")
-    s["sports_view"] = _with(_SPORTS) + f"SELECT sport_id, nom, categorie, {cc} AS couleur FROM sports"
+    s["sports_view"] = _with(_SPORTS, m) + f"""SELECT s.sport_id, s.nom, s.categorie, {cc} AS couleur,
+  COALESCE(c.n, 0) AS nombre_matchs
+FROM sports s LEFT JOIN (SELECT sport_id, COUNT(*) AS n FROM matchs GROUP BY sport_id) c ON s.sport_id = c.sport_id"""
     s["upcoming_matches"] = _with(m) + f"""SELECT * FROM matchs
 WHERE CAST(date_match AS DATE) BETWEEN DATE '{Q.TODAY}' AND DATE '{Q.TODAY}' + INTERVAL 7 DAY"""
     a1, a2 = K.BRANCH_LABELS

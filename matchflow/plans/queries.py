@@ -373,7 +373,7 @@ def q_user_labels(spark, d):
 
 @query("sports_view")
 def q_sports_view(spark, d):
-    return serve.sports_view(fx.sports(spark, d))
+    return serve.sports_view(fx.sports(spark, d), fx.matchs(spark, d))
 
 
 @query("upcoming_matches")
