@@ -23,9 +23,15 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
 
 def test_team_totals_scans_orders_once(spark):
     df = marts.team_totals(fx.match_log(spark, SF_SMALL))
-    df.collect()  # let AQE settle the final plan
+    df.collect()  # AQE settles the final plan (exchange reuse happens per stage)
     p = df._jdf.queryExecution().executedPlan().toString()
-    assert p.count("orders.parquet") <= 1 or "ReusedExchange" in p
+    p = p.split("== Final Plan ==")[1].split("== Initial Plan ==")[0]
+    lines = p.splitlines()
+    shared = [l for l in lines if "Exchange hashpartitioning(sport_id" in l and "equipe" in l
+              and "ReusedExchange" not in l and "total_matchs" not in l]
+    reused = [l for l in lines if "ReusedExchange" in l and "sum" in l]
+    scans = [l for l in lines if "FileScan parquet" in l and "o_orderkey" in l]
+    assert len(shared) == 1 and len(reused) >= 1 and len(scans) == 1, p
 
 
 def test_search_prunes_partitions(spark, scratch):
