@@ -58,3 +58,8 @@ def test_curate_partitions(spark):
     df = spark.createDataFrame([(1, "1996-03-04 05:06:07"), (2, None)], "match_id int, date_match string")
     r = {x.match_id: (x.year, x.month, x.day) for x in decode.curate_matches(df).collect()}
     assert r == {1: (1996, 3, 4), 2: (None, None, None)}
+
+
+def test_kafka_probe_reports_missing_connector(spark):
+    from matchflow.sources.topics import kafka_available
+    assert kafka_available(spark) in (True, False)

@@ -74,3 +74,16 @@ def test_sum_of_per_sport_counts_is_total(spark):
     from tests.conftest import SF_SMALL
     lg = fx.match_log(spark, SF_SMALL)
     assert marts.matches_per_sport(lg).groupBy().sum("nombre_matchs").collect()[0][0] == lg.count()
+
+
+def test_approx_distinct_counts_close_to_exact(spark):
+    from matchflow.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+    n = fx.notifications(spark, SF_SMALL)
+    exact = {r.type: r for r in marts.stats_notifications(n).collect()}
+    approx = {r.type: r for r in marts.stats_notifications_approx(n, rsd=0.02).collect()}
+    for t, e in exact.items():
+        a = approx[t]
+        assert a.nombre_notifications == e.nombre_notifications
+        assert abs(a.nombre_utilisateurs_distincts - e.nombre_utilisateurs_distincts) <= 0.1 * e.nombre_utilisateurs_distincts + 1
+        assert abs(a.nombre_matchs_distincts - e.nombre_matchs_distincts) <= 0.1 * e.nombre_matchs_distincts + 1
