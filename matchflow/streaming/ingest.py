@@ -259,7 +259,20 @@ def start_notifier(spark: SparkSession, topics_root: str, out_root: str, ckpt_ro
                        & F.col("sport_id").isNotNull())
 
     def users_now():
-        return read_state(spark, out_root, "users")
+        # The users state table when the state query has written one; before
+        # that, the latest record per user straight from the users topic, so
+        # notifications never depend on which query started first.
+        st = read_state(spark, out_root, "users")
+        if st is not None:
+            return st
+        try:
+            recs = topics.read_dir_topic(spark, topics_root, "users")
+        except Exception:  # no users topic yet
+            return None
+        dec = decode.decode_json(recs, schema_of("users"), with_keys=False)
+        cols = schema_of("users").fieldNames()
+        return state.latest_per_key(dec.where(F.col("user_id").isNotNull()).select(*cols, decode.OFFSET),
+                                    "user_id", decode.OFFSET)
 
     w = (events.writeStream.queryName("notifier")
                .foreachBatch(notifier_batch(users_now, topics_root, strict))
