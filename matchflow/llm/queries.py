@@ -13,7 +13,8 @@ def _digest(df: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """Counts of the base kinds, and digests, from (doc_id, spans)."""
     text = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     base = F.filter("spans", lambda x: x["base"])
-    return df.select("doc_id", *[F.size(F.filter("spans", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in kinds],
+    of = lambda k: F.size(F.filter(base, lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return df.select("doc_id", *map(of, kinds),
                      F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
@@ -90,23 +91,23 @@ iw AS (SELECT item_id, i, string_agg(y, ' ') OVER v AS win, count(*) OVER v AS n
   WINDOW v AS (PARTITION BY item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {decontam.WIDTH - 1} FOLLOWING)),
 iv AS (SELECT item_id, i, win FROM iw WHERE n = {decontam.WIDTH} AND lit >= {decontam.LITERALS}),
 nw AS (SELECT item_id, count(*) AS n_windows FROM iv GROUP BY item_id),
-hit AS (SELECT DISTINCT doc_id, iv.item_id, dw.i - iv.i AS shift, iv.i AS at FROM dw JOIN iv USING (win) WHERE dw.n = {decontam.WIDTH}),
-cov AS (SELECT DISTINCT doc_id, item_id, shift, at + k AS p FROM hit, range(0, {decontam.WIDTH}) r(k)),
+hit AS (SELECT DISTINCT doc_id, iv.item_id, dw.i - iv.i AS shift, iv.i AS pos FROM dw JOIN iv USING (win) WHERE dw.n = {decontam.WIDTH}),
+cov AS (SELECT DISTINCT doc_id, item_id, shift, pos + k AS p FROM hit, range(0, {decontam.WIDTH}) r(k)),
 slots AS (SELECT DISTINCT c.doc_id, c.item_id, c.shift, lower(iy.t) AS mine, lower(dy.t) AS theirs FROM cov c
   JOIN iy ON iy.item_id = c.item_id AND iy.i = c.p JOIN dy ON dy.doc_id = c.doc_id AND dy.i = c.p + c.shift WHERE iy.y[1] = '#'),
 sl AS (SELECT doc_id, item_id, shift, count(*) AS n_slots, count(DISTINCT mine) AS n_mine, bool_and(mine = theirs) AS exact FROM slots GROUP BY ALL),
-ln AS (SELECT h.doc_id, h.item_id, h.at, coalesce(n_slots, 0) AS n_slots, coalesce(exact, true) AS exact FROM hit h LEFT JOIN sl USING (doc_id, item_id, shift)
+ln AS (SELECT h.doc_id, h.item_id, h.pos, coalesce(n_slots, 0) AS n_slots, coalesce(exact, true) AS exact FROM hit h LEFT JOIN sl USING (doc_id, item_id, shift)
   WHERE coalesce(n_slots = n_mine, true))
-SELECT doc_id, item_id, count(DISTINCT at) AS n_matched, any_value(n_windows) AS n_windows, max(n_slots) AS n_slots, bool_and(exact) AS exact
-FROM ln JOIN nw USING (item_id) GROUP BY doc_id, item_id HAVING count(DISTINCT at) >= 0.5 * any_value(n_windows)"""
+SELECT doc_id, item_id, count(DISTINCT pos) AS n_matched, any_value(n_windows) AS n_windows, max(n_slots) AS n_slots, bool_and(exact) AS exact
+FROM ln JOIN nw USING (item_id) GROUP BY doc_id, item_id HAVING count(DISTINCT pos) >= 0.5 * any_value(n_windows)"""
 
 _SQL8 = r"""WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
   ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END AS s FROM words),
 toks AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
-both AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM toks a JOIN toks b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
-link AS (SELECT x, y FROM both WHERE 100 * c >= 75 * (n + m - c)),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM toks a JOIN toks b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM pairs WHERE 100 * c >= 75 * (n + m - c)),
 sym AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
 reach(x, y) AS (SELECT x, y FROM sym UNION SELECT r.x, s.y FROM reach r JOIN sym s ON r.y = s.x)
 SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce((SELECT min(y) FROM reach r WHERE r.x = sets.doc_id), doc_id)) AS component_id FROM sets"""
