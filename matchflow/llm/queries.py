@@ -68,8 +68,8 @@ QUERIES = {f.__name__: f for f in (op1_secrets, op2_template_leaks, op3_bin_slac
                                    op7_crf, op8_multi_order_jaccard, op9_tree_text, op10_adaptive_rules)}
 
 _WORDS = r"""
-w AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{M}\p{N}]+(?:[.,][0-9]+)*'), x -> x <> '') AS toks FROM documents),
-b AS (SELECT DISTINCT item_id, list_filter(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{M}\p{N}]+(?:[.,][0-9]+)*'), x -> x <> '') AS toks FROM benchmark)"""
+w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{M}\p{N}]+(?:[.,][0-9]+)*') AS toks FROM documents),
+b AS (SELECT DISTINCT item_id, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{M}\p{N}]+(?:[.,][0-9]+)*') AS toks FROM benchmark)"""
 
 
 def _in(words: list[str]) -> str:
@@ -102,7 +102,7 @@ SELECT doc_id, item_id, count(DISTINCT pos) AS n_matched, any_value(n_windows) A
 FROM ln JOIN nw USING (item_id) GROUP BY doc_id, item_id HAVING count(DISTINCT pos) >= 0.5 * any_value(n_windows)"""
 
 _SQL8 = r"""WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
   ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END AS s FROM words),
 toks AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
