@@ -31,6 +31,8 @@ from matchflow.llm.common import Spans, buffers, components, lower_ascii, map_ba
 RANKED = 1 << 18
 #: Shingles that a task counts at a time; those that it meets once are not reported.
 COUNTED = 1 << 23
+#: Classes in candidate pairs up to which their ids are sent to every task (some 40 bytes each).
+BROADCAST_REPS = 500_000
 
 
 @dataclass(frozen=True)
@@ -111,6 +113,11 @@ def in_order(tokens: np.ndarray, ranked: tuple[np.ndarray, np.ndarray], order: i
     return tokens[np.lexsort((mix(tokens ^ np.uint64(0x51ED270B * (order + 1))), mine))]
 
 
+def signature(tokens: np.ndarray) -> bytes | None:
+    """128 bits that name a set; none for an empty one."""
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
@@ -124,7 +131,7 @@ def class_table(docs: DataFrame, id_col: str, text_col: str, setting: Setting, r
     def run(batch) -> Iterator[dict]:
         for a, z, data, off in buffers(batch.column(1)):
             sets = shingles(data, off, setting.k)
-            yield {"id": batch.column(0).slice(a, z - a), "sig": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+            yield {"id": batch.column(0).slice(a, z - a), "sig": list(map(signature, sets)),
                    "n": [len(s) for s in sets],
                    "prefix": [_signed(in_order(s, held.value, 0)[:setting.prefix(len(s))]) if len(s) else None for s in sets]}
 
@@ -136,57 +143,64 @@ def class_table(docs: DataFrame, id_col: str, text_col: str, setting: Setting, r
     def signatures(batch) -> Iterator[dict]:
         for a, z, data, off in buffers(batch.column(1)):
             sets = shingles(data, off, setting.k)
-            yield {"id": batch.column(0).slice(a, z - a), "sig": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+            yield {"id": batch.column(0).slice(a, z - a), "sig": list(map(signature, sets)),
                    "n": [len(s) for s in sets]}
 
     return map_rows(docs.select(id_col, text_col), f"id {kind}, sig binary, n long", signatures), classes
 
 
-def set_table(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, setting: Setting, ranked) -> DataFrame:
-    """(rep, n, tokens, prefixes) of the classes in reps(rep, sig): the sorted set and its
-    prefix under every order, as packed 64-bit numbers."""
-    held = docs.sparkSession.sparkContext.broadcast(ranked)
+def set_table(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, setting: Setting) -> DataFrame:
+    """(rep, tokens) of the classes in reps(rep, sig): the sorted set as packed 64-bit numbers.
+    The few classes that are in a candidate pair are looked up where the texts lie; from
+    BROADCAST_REPS on they are joined by a shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(reps, "rep").select("rep", "sig", "text")
+    few = reps.count() <= BROADCAST_REPS
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(F.broadcast(reps) if few else reps, "rep").select("rep", "sig", "text")
 
     def run(batch) -> Iterator[dict]:
         for a, z, data, off in buffers(batch.column(2)):
             sets = shingles(data, off, setting.k)
             sigs = batch.column(1).slice(a, z - a).to_pylist()
-            keep = [i for i, s in enumerate(sets) if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == sigs[i]]
+            keep = [i for i, s in enumerate(sets) if len(s) and signature(s) == sigs[i]]  # an id may repeat with another text
             if keep:
-                yield {"rep": batch.column(0).slice(a, z - a).take(pa.array(keep)), "n": [len(sets[i]) for i in keep],
-                       "tokens": [sets[i].tobytes() for i in keep],
-                       "prefixes": [[np.sort(in_order(sets[i], held.value, o)[:setting.prefix(len(sets[i]))]).tobytes()
-                                     for o in range(setting.orders)] for i in keep]}
+                yield {"rep": batch.column(0).slice(a, z - a).take(pa.array(keep)), "tokens": [sets[i].tobytes() for i in keep]}
 
-    return map_rows(texts, f"rep {kind}, n long, tokens binary, prefixes array<binary>", run).dropDuplicates(["rep", "tokens"])
+    return map_rows(texts, f"rep {kind}, tokens binary", run)
 
 
-def _common(a: bytes, b: bytes) -> int:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many of x are in the sorted y."""
     at = np.searchsorted(y, x)
     at[at == len(y)] = 0
-    return int((y[at] == x).sum()) if len(y) else 0
+    return int((y[at] == x).sum())
+
 
+def similar(x: np.ndarray, y: np.ndarray, setting: Setting, ranked) -> bool:
+    """Do two sorted sets share a prefix token under every order, and are they similar?"""
+    p, q = setting.prefix(len(x)), setting.prefix(len(y))
+    for order in range(setting.orders):
+        if not _common(in_order(x, ranked, order)[:p], np.sort(in_order(y, ranked, order)[:q])):
+            return False
+    both = _common(x, y)
+    return 100 * both >= setting.percent * (len(x) + len(y) - both)
 
-def verify(pairs: DataFrame, sets: DataFrame, setting: Setting) -> DataFrame:
-    """The pairs (a, b) that share a prefix shingle under every order and are similar."""
+
+def verify(pairs: DataFrame, docs: DataFrame, size: DataFrame, id_col: str, text_col: str, setting: Setting, ranked) -> DataFrame:
+    """The similar ones of the pairs (a, b); size has (rep, sig) of every class."""
+    held = docs.sparkSession.sparkContext.broadcast(ranked)  # RANKED rows at most
     kind = pairs.schema["a"].dataType.simpleString()
-    left = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"), F.col("prefixes").alias("pa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"), F.col("prefixes").alias("pb"))
+    pairs = pairs.select("a", "b")
+    reps = written(size.select("rep", "sig").join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi"), "pair-ends")
+    sets = written(set_table(docs, reps, id_col, text_col, setting), "sets")
 
     def run(batch) -> Iterator[dict]:
-        hold = []
-        for i, (ta, pa_, tb, pb) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("ta", "pa", "tb", "pb")), strict=True)):
-            if all(_common(x, y) for x, y in zip(pa_, pb, strict=True)):
-                both = _common(ta, tb)
-                if 100 * both >= setting.percent * ((len(ta) + len(tb)) // 8 - both):
-                    hold.append(i)
+        hold = [i for i, (x, y) in enumerate(zip(batch.column("ta"), batch.column("tb"), strict=True))
+                if similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), setting, held.value)]
         if hold:
             yield {"a": batch.column("a").take(pa.array(hold)), "b": batch.column("b").take(pa.array(hold))}
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "pa", "tb", "pb")
+    joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a") \
+        .join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
     return map_rows(joined, f"a {kind}, b {kind}", run)
 
 
@@ -199,34 +213,35 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
     with another text count as one document of that id. An empty table gives no rows; other
     columns are not read."""
     setting = setting or Setting()
+    percent = setting.percent
+    # sizes fit, and the shared prefix tokens with what stands behind both prefixes are enough
+    sizes = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    enough = f"{100 + percent} * (c + ({percent} * least(n, m) + 99) div 100 - 1) >= {percent} * (n + m)"
     ranked = frequent(docs, text_col, setting.k)
     rows, classes = class_table(docs, id_col, text_col, setting, ranked)
     classes = written(classes, "classes")
+    size = classes.select("rep", "sig", "n")
     # tokens that two classes or more have in their prefixes, with the smallest class
-    posts = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = written(posts.groupBy("token").agg(F.min("rep").alias("first"), F.count("*").alias("c")).where("c > 1").select("token", "first"), "shared-tokens")
+    posts = classes.select("rep", F.explode("prefix").alias("token"))
+    shared = written(posts.groupBy("token").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
+                     .select("token", "first"), "shared-tokens")
     posts = written(posts.join(shared, "token"), "postings")
-    sets = written(set_table(docs, classes.select("rep", "sig").join(posts.select("rep").distinct(), "rep", "left_semi"),
-                             id_col, text_col, setting, ranked), "sets")
     near = posts.where("first <> rep").groupBy("rep", "first").agg(F.count("*").alias("c")) \
-        .groupBy("rep").agg(F.max(F.struct(F.col("c"), F.col("first"))).alias("x")).select(F.col("x.first").alias("a"), F.col("rep").alias("b"))
-    edges = written(verify(near, sets, setting), "links-1")
+        .groupBy("rep").agg(F.max(F.struct("c", "first")).alias("x")).select(F.col("x.first").alias("a"), F.col("rep").alias("b"), "x.c")
+    near = near.join(size.select(F.col("rep").alias("a"), "n"), "a").join(size.select(F.col("rep").alias("b"), F.col("n").alias("m")), "b")
+    edges = written(verify(written(near.where(sizes).where(enough), "pairs-1"), docs, size, id_col, text_col, setting, ranked), "links-1")
     label = components(edges, "round-1")
-    mine = posts.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("root", "rep")) \
-        .select("token", "rep", "n", "pos", "label")
-    mine = written(mine, "labelled")
-    several = mine.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("token")
+    mine = posts.join(size.select("rep", "n"), "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left") \
+        .select("token", "rep", "n", F.coalesce("root", "rep").alias("label"))
+    several = mine.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("token")
     mine = written(mine.join(several, "token", "left_semi"), "open-tokens")
-    x, y = mine.alias("x"), mine.alias("y")
-    p, q = setting.percent, 100 + setting.percent
-    # both sizes fit, and what can follow the first common shingle is enough
-    cross = x.join(y, F.expr(
-        f"x.token = y.token AND x.label < y.label AND 100 * least(x.n, y.n) >= {p} * greatest(x.n, y.n) "
-        f"AND {q} * least(x.n - x.pos, y.n - y.pos) >= {p} * (x.n + y.n)")) \
-        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    more = verify(cross, sets, setting)
+    cross = mine.alias("x").join(mine.alias("y"), F.expr(
+        f"x.token = y.token AND x.label < y.label AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")) \
+        .groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")) \
+        .agg(F.count("*").alias("c"), F.min("x.n").alias("n"), F.min("y.n").alias("m")).where(enough)
+    more = verify(written(cross, "pairs-2"), docs, size, id_col, text_col, setting, ranked)
     root = components(edges.union(more), "round-2")
-    return rows, classes.select("rep", "sig").join(root.withColumnRenamed("node", "rep"), "rep", "left") \
+    return rows, size.select("rep", "sig").join(root.withColumnRenamed("node", "rep"), "rep", "left") \
         .select("sig", F.coalesce("root", "rep").alias("root"))
 
 
