@@ -214,9 +214,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
     columns are not read."""
     setting = setting or Setting()
     percent = setting.percent
-    # sizes fit, and the shared prefix tokens with what stands behind both prefixes are enough
+    # sizes fit; and all common tokens up to where the first of the two prefixes ends are in
+    # both prefixes, so these with what stands behind that prefix must be enough
     sizes = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    enough = f"{100 + percent} * (c + ({percent} * least(n, m) + 99) div 100 - 1) >= {percent} * (n + m)"
+    enough = f"{100 + percent} * (c + ({percent} * greatest(n, m) + 99) div 100 - 1) >= {percent} * (n + m)"
     ranked = frequent(docs, text_col, setting.k)
     rows, classes = class_table(docs, id_col, text_col, setting, ranked)
     classes = written(classes, "classes")
