@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from matchflow.session import scratch_path
 
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
+#: Rows of texts that Spark hands to Python at a time, where the session doesn't say (Spark's own: 10,000).
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _ODD = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -160,8 +163,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors."""
+    """``mapInArrow`` with this package at hand on the executors, in batches of few long texts."""
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(_BATCH) == "10000":
+        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
     return df.mapInArrow(f, schema)
 
 
