@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchflow.functions import constants as K
 from matchflow.functions.scalars import (active_label, category_colour, full_name, initials,
-                                         safe_ts, score_line, status_colour, versus)
+                                         parse_ts_ntz, safe_ts, score_line, status_colour, versus)
 
 
 def _given(v) -> bool:
@@ -23,6 +24,13 @@ def _given(v) -> bool:
     return v is not None and v != 0 and v != ""
 
 
+def _moment(m: DataFrame, date_col: str):
+    """The date column as a timestamp; the merged state holds wire text there,
+    whose unparsable dates are null and so in no range."""
+    text = isinstance(m.schema[date_col].dataType, T.StringType)
+    return parse_ts_ntz(date_col) if text else F.col(date_col)
+
+
 def match_search(m: DataFrame, sport_id=None, statut=None, date_debut=None, date_fin=None,
                  sport_nom=None, date_col: str = "date_match",
                  partition_cols: tuple[str, str, str] | None = None) -> DataFrame:
@@ -39,7 +47,7 @@ def match_search(m: DataFrame, sport_id=None, statut=None, date_debut=None, date
         out = out.where(F.col("sport_nom") == F.lit(sport_nom))
     if _given(statut):
         out = out.where(F.col("statut") == F.lit(statut))
-    d = F.col(date_col)
+    d = _moment(m, date_col)
     if _given(date_debut):
         lo = F.lit(date_debut).cast("timestamp_ntz")
         out = out.where(d >= lo)
@@ -97,17 +105,10 @@ def activity_feed(matches: DataFrame, notes: DataFrame, k: int = 20) -> DataFram
               .orderBy(F.col("moment").desc(), F.col("source"), F.col("item_id")).limit(k))
 
 
-PICK_PRIME = 1_000_003        # keys are folded below this first
-PICK_MULT = 2_654_435_761     # Knuth's multiplicative constant
-PICK_MOD = 4_294_967_291      # largest prime below 2^32
-
-
 def pick_order(key, seed: int = 0):
-    """Seeded pseudo-random rank of an integer key: a multiplicative step
-    modulo a prime over ``key mod p``. Every intermediate stays below 2^63, so
-    it never overflows, and any SQL engine reproduces it."""
-    k = F.pmod(F.col(key) if isinstance(key, str) else key, F.lit(PICK_PRIME))
-    return F.pmod(k * F.lit(PICK_MULT) + F.lit(seed * PICK_PRIME), F.lit(PICK_MOD))
+    """Seeded pseudo-random rank of a key of any range: the MD5 of ``key:seed``."""
+    k = F.col(key) if isinstance(key, str) else key
+    return F.md5(F.concat_ws(":", k.cast("string"), F.lit(str(seed))).cast("binary"))
 
 
 def random_pick(df: DataFrame, key: str, n: int = 1, seed: int = 0) -> DataFrame:
@@ -163,7 +164,7 @@ def upcoming_matches(m: DataFrame, today: str, days: int = 7,
                      date_col: str = "date_match") -> DataFrame:
     """matches dated from ``today`` to ``today + days`` (inclusive days)."""
     d0 = F.lit(today).cast("date")
-    d = F.to_date(F.col(date_col))
+    d = F.to_date(_moment(m, date_col))
     return m.where(d.between(d0, F.date_add(d0, days)))
 
 

@@ -25,7 +25,7 @@ _MATCHS = """matchs AS (
   JOIN nation x ON x.n_nationkey = (n.n_nationkey + 5 * (1 + o.o_orderkey % 4)) % 25)"""
 
 _LOG = """match_log AS (
-  SELECT 2 * match_id AS log_offset, date_match AS log_ts, true AS is_full, match_id, sport_id,
+  SELECT 4 * match_id AS log_offset, date_match AS log_ts, true AS is_full, match_id, sport_id,
     sport_nom, equipe_domicile, equipe_exterieur,
     CASE WHEN statut <> 'programmé' THEN score_domicile END AS score_domicile,
     CASE WHEN statut <> 'programmé' THEN score_exterieur END AS score_exterieur,
@@ -35,12 +35,12 @@ _LOG = """match_log AS (
     lieu, statut, CAST(NULL AS VARCHAR) AS derniere_mise_a_jour, statut <> 'programmé' AS has_score
   FROM matchs
   UNION ALL
-  SELECT 2 * match_id + 1000001, date_match + INTERVAL 2 HOUR, false, match_id, NULL, NULL, NULL, NULL,
+  SELECT 4 * match_id + 1, date_match + INTERVAL 2 HOUR, false, match_id, NULL, NULL, NULL, NULL,
     score_domicile + 1, score_exterieur, NULL, NULL, 'terminé',
     strftime(date_match + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S'), true
   FROM matchs WHERE match_id % 3 = 0
   UNION ALL
-  SELECT 2 * match_id - 1000001, date_match + INTERVAL 1 HOUR, false, match_id + 900000, NULL, NULL,
+  SELECT 4 * match_id + 2, date_match + INTERVAL 1 HOUR, false, -match_id, NULL, NULL,
     NULL, NULL, 1, 2, NULL, NULL, 'en cours',
     strftime(date_match + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S'), true
   FROM matchs WHERE match_id % 50 = 0)"""
@@ -58,7 +58,7 @@ agg AS (
     MAX(log_offset) FILTER (WHERE NOT is_full) AS last_upd_off
   FROM lg GROUP BY match_id),
 merged AS (
-  SELECT CAST(a.match_id AS INTEGER) AS match_id,
+  SELECT a.match_id,
     CASE WHEN a.lf IS NULL THEN 0 ELSE f.sport_id END AS sport_id,
     CASE WHEN a.lf IS NULL THEN 'Inconnu' ELSE f.sport_nom END AS sport_nom,
     CASE WHEN a.lf IS NULL THEN 'Équipe A' ELSE f.equipe_domicile END AS equipe_domicile,
@@ -169,28 +169,32 @@ FROM match_log GROUP BY sport_id, sport_nom, statut"""
   CAST(SUM(score_exterieur) AS BIGINT) AS total_buts_exterieur,
   COUNT(DISTINCT equipe_domicile) + COUNT(DISTINCT equipe_exterieur) AS nombre_equipes
 FROM match_log GROUP BY sport_id, sport_nom"""
-    side = """d AS (SELECT sport_id, sport_nom, equipe_domicile AS equipe, COUNT(*) AS nombre_matchs_joues,
-    CAST(SUM(score_domicile) AS BIGINT) AS buts_marques, CAST(SUM(score_exterieur) AS BIGINT) AS buts_encaisses
-  FROM match_log GROUP BY sport_id, sport_nom, equipe_domicile),
-e AS (SELECT sport_id, sport_nom, equipe_exterieur AS equipe, COUNT(*) AS nombre_matchs_joues,
-    CAST(SUM(score_exterieur) AS BIGINT) AS buts_marques, CAST(SUM(score_domicile) AS BIGINT) AS buts_encaisses
-  FROM match_log GROUP BY sport_id, sport_nom, equipe_exterieur)"""
-    s["stats_equipes_domicile"] = _with(m, lgc, side) + "SELECT * FROM d"
-    s["stats_equipes_exterieur"] = _with(m, lgc, side) + "SELECT * FROM e"
-    b1 = """SELECT d.sport_id, d.sport_nom, d.equipe,
-  d.nombre_matchs_joues + COALESCE(e.nombre_matchs_joues, 0) AS total_matchs,
-  d.buts_marques + COALESCE(e.buts_marques, 0) AS total_buts_marques,
-  d.buts_encaisses + COALESCE(e.buts_encaisses, 0) AS total_buts_encaisses
-FROM d LEFT JOIN e ON d.sport_id = e.sport_id AND d.equipe = e.equipe"""
-    b2 = """SELECT e.sport_id, e.sport_nom, e.equipe,
-  e.nombre_matchs_joues + COALESCE(d.nombre_matchs_joues, 0) AS total_matchs,
-  e.buts_marques + COALESCE(d.buts_marques, 0) AS total_buts_marques,
-  e.buts_encaisses + COALESCE(d.buts_encaisses, 0) AS total_buts_encaisses
-FROM e LEFT JOIN d ON e.sport_id = d.sport_id AND e.equipe = d.equipe
-WHERE d.equipe IS NULL"""
-    s["team_home_left"] = _with(m, lgc, side) + b1
-    s["team_away_only"] = _with(m, lgc, side) + b2
-    s["team_totals"] = _with(m, lgc, side) + b1 + "\nUNION\n" + b2
+    # Every match once for each side; a team's home and away figures side by side.
+    side = """sides AS (
+  SELECT sport_id, sport_nom, equipe_domicile AS equipe, true AS home, score_domicile AS pour, score_exterieur AS contre FROM match_log
+  UNION ALL SELECT sport_id, sport_nom, equipe_exterieur, false, score_exterieur, score_domicile FROM match_log),
+team AS (SELECT sport_id, sport_nom, equipe, sport_id IS NOT NULL AND equipe IS NOT NULL AS named,
+    COUNT(*) FILTER (home) AS n_home, COUNT(*) FILTER (NOT home) AS n_away,
+    CAST(SUM(pour) FILTER (home) AS BIGINT) AS for_home, CAST(SUM(pour) FILTER (NOT home) AS BIGINT) AS for_away,
+    CAST(SUM(contre) FILTER (home) AS BIGINT) AS against_home, CAST(SUM(contre) FILTER (NOT home) AS BIGINT) AS against_away
+  FROM sides GROUP BY sport_id, sport_nom, equipe)"""
+
+    def one_side(x: str) -> str:
+        return f"""SELECT sport_id, sport_nom, equipe, n_{x} AS nombre_matchs_joues, for_{x} AS buts_marques,
+  against_{x} AS buts_encaisses FROM team WHERE n_{x} > 0"""
+
+    def totals(x: str, other: str, also: str) -> str:
+        """Figures of side x, with the other side's for teams with a name (null keys join nothing)."""
+        plus = lambda c: f"{c}_{x} + CASE WHEN named THEN COALESCE({c}_{other}, 0) ELSE 0 END"
+        return f"""SELECT sport_id, sport_nom, equipe, {plus('n')} AS total_matchs, {plus('for')} AS total_buts_marques,
+  {plus('against')} AS total_buts_encaisses FROM team WHERE n_{x} > 0{also}"""
+
+    home_left, away_only = totals("home", "away", ""), totals("away", "home", " AND NOT (named AND n_home > 0)")
+    s["stats_equipes_domicile"] = _with(m, lgc, side) + one_side("home")
+    s["stats_equipes_exterieur"] = _with(m, lgc, side) + one_side("away")
+    s["team_home_left"] = _with(m, lgc, side) + home_left
+    s["team_away_only"] = _with(m, lgc, side) + away_only
+    s["team_totals"] = _with(m, lgc, side) + f"SELECT DISTINCT * FROM ({home_left} UNION ALL {away_only})"
     s["matches_per_sport"] = _with(m, lgc) + """SELECT sport_id, sport_nom, COUNT(*) AS nombre_matchs
 FROM match_log GROUP BY sport_id, sport_nom"""
     s["stats_notifications"] = _with(_NOTES) + """SELECT type, COUNT(*) AS nombre_notifications,
@@ -211,7 +215,7 @@ WHERE rn = 1"""
   AVG(score_domicile) AS moyenne_score_domicile, AVG(score_exterieur) AS moyenne_score_exterieur
 FROM merged GROUP BY sport_id, sport_nom, statut"""
     side_latest = side.replace("FROM match_log", "FROM merged")
-    s["team_totals_latest"] = _with(m, lgc, mg, side_latest) + b1 + "\nUNION\n" + b2
+    s["team_totals_latest"] = _with(m, lgc, mg, side_latest) + f"SELECT DISTINCT * FROM ({home_left} UNION ALL {away_only})"
     s["matches_per_sport_latest"] = _with(m, lgc, mg) + """SELECT sport_id, arg_min(sport_nom, first_offset) AS nom,
   COUNT(*) AS nombre_matchs FROM merged GROUP BY sport_id"""
     vals = ", ".join(f"({_sq(v)}, {i})" for i, v in enumerate(K.COUNTED_STATUSES))
@@ -238,10 +242,10 @@ FROM users u JOIN customer c ON u.user_id = c.c_custkey + 1"""
     full_k = "date_match,equipe_domicile,equipe_exterieur,lieu,match_id,score_domicile,score_exterieur,sport_id,sport_nom,statut"
     sched_k = "date_match,equipe_domicile,equipe_exterieur,lieu,match_id,sport_id,sport_nom,statut"
     part_k = "derniere_mise_a_jour,match_id,score_domicile,score_exterieur,statut"
-    s["topic_decode"] = _with(m, lgc) + f"""SELECT log_offset, CAST(match_id AS INTEGER) AS match_id, {MATCH_COLS},
+    s["topic_decode"] = _with(m, lgc) + f"""SELECT log_offset, match_id, {MATCH_COLS},
   CASE WHEN NOT is_full THEN '{part_k}' WHEN has_score THEN '{full_k}' ELSE '{sched_k}' END AS present_keys
 FROM match_log"""
-    s["typed_dates"] = _with(m, lgc) + """SELECT log_offset, CAST(match_id AS INTEGER) AS match_id,
+    s["typed_dates"] = _with(m, lgc) + """SELECT log_offset, match_id,
   TRY_CAST(date_match AS TIMESTAMP) AS date_match_ts,
   TRY_CAST(derniere_mise_a_jour AS TIMESTAMP) AS derniere_mise_a_jour_ts FROM match_log"""
     s["partition_counts"] = _with(m, lgc) + """SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
@@ -258,7 +262,7 @@ FROM matchs"""
   SELECT CASE event_type WHEN 'error' THEN 'not_an_object' WHEN 'click' THEN 'bad_key'
     WHEN 'view' THEN 'missing_key' WHEN 'signup' THEN 'not_an_object' ELSE 'zero_key' END FROM events)
 GROUP BY raison"""
-    s["raw_scan"] = _with(m, lgc) + f"""SELECT CAST(match_id AS INTEGER) AS match_id, {MATCH_COLS} FROM match_log"""
+    s["raw_scan"] = _with(m, lgc) + f"""SELECT match_id, {MATCH_COLS} FROM match_log"""
     s["score_defaults"] = _with(m, lgc) + """SELECT log_offset, match_id, COALESCE(score_domicile, 0) AS score_domicile,
   COALESCE(score_exterieur, 0) AS score_exterieur FROM match_log"""
     ins = _map_case("code", K.STATUS_LABELS_INSERT, _sq(K.STATUS_LABEL_DEFAULT))
@@ -277,7 +281,7 @@ FROM feed"""
     s["notify_type"] = _with(m) + f"SELECT match_id, {_type_expr()} AS type FROM matchs WHERE sport_id IS NOT NULL"
     s["notify_render"] = _with(m) + f"""SELECT match_id, sport_id, type, {_render_expr()} AS contenu
 FROM (SELECT *, {_type_expr()} AS type FROM matchs WHERE sport_id IS NOT NULL)"""
-    s["notify_fanout"] = _with(m, _USERS, _AUDIENCE) + f"""SELECT ev.match_id * 2147483648 + aud.user_id AS notification_id,
+    s["notify_fanout"] = _with(m, _USERS, _AUDIENCE) + f"""SELECT 
   aud.user_id, ev.match_id, ev.type
 FROM (SELECT match_id, sport_id, {_type_expr()} AS type FROM matchs WHERE sport_id IS NOT NULL) ev
 JOIN aud ON ev.sport_id = aud.sport_id"""
@@ -322,9 +326,8 @@ FROM merged GROUP BY sport_id, sport_nom ORDER BY nombre_matchs DESC, sport_id L
     COALESCE(TRY_CAST(date_envoi AS TIMESTAMP), TIMESTAMP '1970-01-01 00:00:00'), contenu
   FROM notifications)
 ORDER BY moment DESC, source, item_id LIMIT 20"""
-    from matchflow.operators.serve import PICK_MOD, PICK_MULT, PICK_PRIME
     s["random_pick"] = _with(m) + f"""SELECT * FROM matchs
-ORDER BY ((match_id % {PICK_PRIME}) * {PICK_MULT} + {Q.PICK_SEED * PICK_PRIME}) % {PICK_MOD}, match_id
+ORDER BY md5(CAST(match_id AS VARCHAR) || ':{Q.PICK_SEED}'), match_id
 LIMIT {Q.PICK_N}"""
     s["facets"] = _with(m, _NOTES) + """SELECT 'sport_nom' AS facette, sport_nom AS valeur FROM matchs
 UNION SELECT 'statut', statut FROM matchs
@@ -343,6 +346,12 @@ FROM merged"""
 FROM sports s LEFT JOIN (SELECT sport_id, COUNT(*) AS n FROM matchs GROUP BY sport_id) c ON s.sport_id = c.sport_id"""
     s["upcoming_matches"] = _with(m) + f"""SELECT * FROM matchs
 WHERE CAST(date_match AS DATE) BETWEEN DATE '{Q.TODAY}' AND DATE '{Q.TODAY}' + INTERVAL 7 DAY"""
+    moment = """COALESCE(try_strptime(date_match, '%Y-%m-%d %H:%M:%S'), try_strptime(date_match, '%Y-%m-%dT%H:%M:%SZ'))"""
+    s["upcoming_matches_latest"] = _with(m, lgc, mg) + f"""SELECT * FROM merged
+WHERE CAST({moment} AS DATE) BETWEEN DATE '{Q.TODAY}' AND DATE '{Q.TODAY}' + INTERVAL 7 DAY"""
+    lo, hi = Q.SEARCH_LATEST["date_debut"], Q.SEARCH_LATEST["date_fin"]
+    s["match_search_latest"] = _with(m, lgc, mg) + f"""SELECT * FROM merged WHERE statut = {_sq(Q.SEARCH_LATEST["statut"])}
+  AND {moment} BETWEEN TIMESTAMP '{lo}' AND TIMESTAMP '{hi}'"""
     a1, a2 = K.BRANCH_LABELS
     s["threshold_branch"] = f"""SELECT CASE WHEN COUNT(*) > 0 THEN {_sq(a1)} ELSE {_sq(a2)} END AS branche,
   COUNT(*) AS lignes FROM part WHERE p_retailprice >= {K.PRICE_THRESHOLD}"""

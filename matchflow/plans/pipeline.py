@@ -29,6 +29,23 @@ def generation_branch(matches: DataFrame, threshold: int) -> DataFrame:
          .alias("branche"))
 
 
+def next_state(spark: SparkSession, valid: DataFrame, root: str, batch_id: int) -> DataFrame:
+    """The merged state after this batch: the previous version's rows go in as full
+    records at their last log position, so keys that the batch doesn't touch
+    stay and its partial records update what they carry. A re-run of the batch
+    starts from the same version (the newest below ``batch_id``)."""
+    path = sinks.latest_snapshot_path(spark, root, before=batch_id)
+    if path is None:
+        return state.merge_partial(valid)
+    prev = spark.read.parquet(path)
+    old = prev.select("match_id", *state.MATCH_FIELDS, F.col("last_offset").alias(decode.OFFSET),
+                      F.array(*[F.lit(f) for f in state.MATCH_FIELDS]).alias(decode.KEYS))
+    both = old.unionByName(valid.select(*[c for c in valid.columns if c in old.columns or c == decode.TS]), allowMissingColumns=True)
+    first = prev.select("match_id", F.col("first_offset").alias("_first"))
+    return state.merge_partial(both).join(first, "match_id", "left") \
+        .withColumn("first_offset", F.least("first_offset", "_first")).drop("_first")
+
+
 def run_pipeline(spark: SparkSession, records: DataFrame, out_root: str,
                  batch_id: int = 0) -> dict[str, str]:
     """Y2: decode -> validate -> curated partitioned table + quarantine ->
@@ -50,7 +67,7 @@ def run_pipeline(spark: SparkSession, records: DataFrame, out_root: str,
         sinks.write_batch(bad, paths["quarantine"], batch_id)
         sinks.write_batch(marts.matches_per_sport(valid), paths["stats_matchs_par_sport"], batch_id,
                           stamp=True)
-        sinks.write_snapshot(state.merge_partial(valid), paths["state"], batch_id)
+        sinks.write_snapshot(next_state(spark, valid, paths["state"], batch_id), paths["state"], batch_id)
         return paths
     finally:
         tagged.unpersist()

@@ -28,6 +28,7 @@ QUERIES: dict[str, Query] = {}
 
 # Parameters of the serving queries (fixed, like an API call's arguments).
 SEARCH = dict(sport_id=2, statut="terminé", date_debut="1996-01-01", date_fin="1997-12-31")
+SEARCH_LATEST = dict(statut="terminé", date_debut="1996-01-01", date_fin="1997-12-31")
 LOOKUP_ID = 4242
 USER_ID = 77
 POLL_CUTOFF = "2024-01-04 00:00:00"
@@ -381,6 +382,18 @@ def q_upcoming_matches(spark, d):
     return serve.upcoming_matches(fx.matchs(spark, d), TODAY)
 
 
+@query("upcoming_matches_latest")
+def q_upcoming_matches_latest(spark, d):
+    """F10 over the merged state, whose dates are wire text."""
+    return serve.upcoming_matches(merged_matches(spark, d), TODAY)
+
+
+@query("match_search_latest")
+def q_match_search_latest(spark, d):
+    """F3 over the merged state."""
+    return serve.match_search(merged_matches(spark, d), **SEARCH_LATEST)
+
+
 @query("threshold_branch")
 def q_threshold_branch(spark, d):
     p = read_table(spark, d, "part", "p_partkey", "p_name", "p_type", "p_retailprice")

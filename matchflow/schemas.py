@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-I, S, B = T.IntegerType(), T.StringType(), T.BooleanType()
+I, L, S, B = T.IntegerType(), T.LongType(), T.StringType(), T.BooleanType()
 
 
 def _struct(*fields) -> T.StructType:
@@ -19,24 +19,25 @@ SPORT = _struct(("sport_id", I), ("nom", S), ("categorie", S),
                 ("nombre_joueurs", I), ("description", S))
 
 # Wire shape of a match record; dates travel as strings.
-MATCH = _struct(("match_id", I), ("sport_id", I), ("sport_nom", S),
+MATCH = _struct(("match_id", L), ("sport_id", I), ("sport_nom", S),
                 ("equipe_domicile", S), ("equipe_exterieur", S),
                 ("score_domicile", I), ("score_exterieur", I),
                 ("date_match", S), ("lieu", S), ("statut", S),
                 ("derniere_mise_a_jour", S))
 
 # A partial update carries a subset of MATCH's fields.
-MATCH_UPDATE = _struct(("match_id", I), ("statut", S), ("score_domicile", I),
+MATCH_UPDATE = _struct(("match_id", L), ("statut", S), ("score_domicile", I),
                        ("score_exterieur", I), ("derniere_mise_a_jour", S))
 
-USER = _struct(("user_id", I), ("prenom", S), ("nom", S), ("email", S),
+USER = _struct(("user_id", L), ("prenom", S), ("nom", S), ("email", S),
                ("date_inscription", S), ("sports_favoris", T.ArrayType(I)),
                ("notification_active", B))
 
-NOTIFICATION = _struct(("notification_id", I), ("user_id", I), ("match_id", I),
+# A generated notification's id names its event and its user, see operators.notify.
+NOTIFICATION = _struct(("notification_id", S), ("user_id", L), ("match_id", L),
                        ("type", S), ("contenu", S), ("date_envoi", S), ("statut", S))
 
-PRODUCT = _struct(("produit_id", I), ("nom", S), ("categorie", S), ("prix", T.DoubleType()))
+PRODUCT = _struct(("produit_id", L), ("nom", S), ("categorie", S), ("prix", T.DoubleType()))
 
 # Upstream feed document: {"matches": [ {utcDate, status, venue, homeTeam{name},
 # awayTeam{name}, score{fullTime{home, away}}} ]}

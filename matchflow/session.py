@@ -8,6 +8,7 @@ names (shuffle partitions, checkpoint directory, memory).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -54,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         spark.sparkContext.setCheckpointDir(conf)
         return spark.sparkContext.getCheckpointDir() or conf
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="matchflow-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(path)
     return path

@@ -1,8 +1,8 @@
 """Adapters: the driver's TPC-H-like tables -> the domain tables.
 
 ``FIXTURES.md`` section 3 gives the same adapters in SQL; ``plans.oracle``
-holds their DuckDB text. Ids are kept BIGINT here (the wire schema says INT)
-so that the adapters never overflow at large scale factors.
+holds their DuckDB text. Ids are BIGINT, as on the wire; an id that no
+full record has is the negative of one, so the two never meet.
 
 Joins: orders x customer is the only large join (both sides grow with the
 scale factor) and is left to the planner (sort-merge or AQE broadcast by
@@ -173,17 +173,17 @@ def match_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     wire_date = (F.when(lieu == "1-URGENT", F.date_format(ts, ISO_TS))
                   .when(lieu == "4-NOT SPECIFIED", F.lit(BAD_DATE))
                   .otherwise(F.date_format(ts, WIRE_TS)))
-    full = record(mid * 2, ts, mid, F.col("sport_id"), F.col("sport_nom"),
+    full = record(mid * 4, ts, mid, F.col("sport_id"), F.col("sport_nom"),
                   F.col("equipe_domicile"), F.col("equipe_exterieur"),
                   F.when(~scheduled, F.col("score_domicile")),
                   F.when(~scheduled, F.col("score_exterieur")),
                   wire_date, lieu, F.col("statut"), null_s,
                   F.when(scheduled, _keys(SCHEDULED_KEYS)).otherwise(_keys(FULL_KEYS)))
-    upd = F.when(mid % 3 == 0, partial(mid * 2 + 1000001, ts + F.expr("INTERVAL 2 HOURS"), mid,
+    upd = F.when(mid % 3 == 0, partial(mid * 4 + 1, ts + F.expr("INTERVAL 2 HOURS"), mid,
                                        F.col("score_domicile") + 1, F.col("score_exterieur"),
                                        "terminé"))
-    unknown = F.when(mid % 50 == 0, partial(mid * 2 - 1000001, ts + F.expr("INTERVAL 1 HOURS"),
-                                            mid + 900000, F.lit(1), F.lit(2), "en cours"))
+    unknown = F.when(mid % 50 == 0, partial(mid * 4 + 2, ts + F.expr("INTERVAL 1 HOURS"),
+                                            -mid, F.lit(1), F.lit(2), "en cours"))
     return (m.select(F.explode(F.array(full, upd, unknown)).alias("r"))
              .where(F.col("r").isNotNull())
              .select("r.*"))

@@ -38,17 +38,21 @@ def kafka_available(spark: SparkSession) -> bool:
 
 
 def read_kafka(spark: SparkSession, servers: str, topic: str, stream: bool = True,
-               starting: str = "latest", min_partitions: int | None = None) -> DataFrame:
-    """Topic source; ``failOnDataLoss=false`` as in the source app.
+               starting: str | None = None, min_partitions: int | None = None,
+               fail_on_data_loss: bool = False) -> DataFrame:
+    """Topic source. A stream starts from ``latest`` and a batch read from
+    ``earliest`` (the only word that Kafka batch reads take) unless told.
+    ``fail_on_data_loss`` is off for streams as in the source app; readers that
+    rebuild a state from the log turn it on.
     ``min_partitions`` splits the offset ranges of a topic with few partitions
     (the source app's topics have one) over that many tasks."""
     r = (spark.readStream if stream else spark.read).format("kafka")
     r = (r.option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-          .option("startingOffsets", starting))
+          .option("startingOffsets", starting or ("latest" if stream else "earliest")))
     if min_partitions:
         r = r.option("minPartitions", str(min_partitions))
     if stream:
-        r = r.option("failOnDataLoss", "false")
+        r = r.option("failOnDataLoss", str(fail_on_data_loss).lower())
     else:
         r = r.option("endingOffsets", "latest")
     return r.load()

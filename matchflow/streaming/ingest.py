@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from matchflow.functions.scalars import parse_ts
 from matchflow.operators import decode, marts, notify, state
 from matchflow.schemas import key_of, schema_of
 from matchflow.sources import sinks, topics
@@ -38,12 +39,14 @@ def _trigger(w, trigger: dict | None):
 
 def topic_stream(spark: SparkSession, topics_root: str, topic: str,
                  max_files_per_trigger: int | None = None, kafka: str | None = None,
-                 min_partitions: int | None = None, starting: str = "latest") -> DataFrame:
+                 min_partitions: int | None = None, starting: str | None = None,
+                 fail_on_data_loss: bool = False) -> DataFrame:
     """Topic records as a stream: Kafka when ``kafka`` names brokers (offset
     ranges split over ``min_partitions`` tasks, first run from ``starting``),
     else a directory topic, read from its first file (ST1, ST9)."""
     if kafka:
         return topics.read_kafka(spark, kafka, topic, stream=True, starting=starting,
+                                 fail_on_data_loss=fail_on_data_loss,
                                  min_partitions=min_partitions or spark.sparkContext.defaultParallelism)
     return topics.read_dir_topic(spark, topics_root, topic, stream=True,
                                  max_files_per_trigger=max_files_per_trigger)
@@ -61,6 +64,14 @@ def _batch_stats(entity: str, valid: DataFrame) -> DataFrame | None:
     return None
 
 
+def _typed(detail: DataFrame) -> DataFrame:
+    """Wire dates of users and notifications as timestamps (bad -> null)."""
+    for c in ("date_inscription", "date_envoi"):
+        if c in detail.columns:
+            detail = detail.withColumn(c, parse_ts(c))
+    return detail
+
+
 def process_batch(entity: str, out_root: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch body of one topic's ingest query."""
     key = key_of(entity)
@@ -79,7 +90,7 @@ def process_batch(entity: str, out_root: str) -> Callable[[DataFrame, int], None
                 sinks.write_partitioned(decode.curate_matches(detail),
                                         os.path.join(out_root, entity), batch_id)
             else:
-                sinks.write_batch(detail.withColumn("processed_time", F.current_timestamp()),
+                sinks.write_batch(_typed(detail).withColumn("processed_time", F.current_timestamp()),
                                   os.path.join(out_root, entity), batch_id)
             sinks.write_batch(bad, os.path.join(out_root, "quarantine", entity), batch_id)
             st = _batch_stats(entity, valid)
@@ -192,16 +203,19 @@ def state_stream(spark: SparkSession, topics_root: str, entity: str, **src) -> D
     ST6), whole-record replace for the others (W1, ST5)."""
     key = key_of(entity)
     src.setdefault("starting", "earliest")  # state replays the whole log (ST5)
+    src.setdefault("fail_on_data_loss", True)
     dec = decode.decode_json(topic_stream(spark, topics_root, entity, **src), schema_of(entity))
     valid = dec.where(state.valid_key(key, nonzero=(entity == "matchs")))
+    order = (decode.TS, decode.PARTITION, decode.OFFSET)  # offsets only order one partition
     if entity == "matchs":
-        return state.merge_partial(valid)
+        merged = state.merge_partial(valid, order=order)
+        return merged.withColumns({c: F.col(c)[decode.OFFSET] for c in ("first_offset", "last_offset")})
     cols = schema_of(entity).fieldNames()
-    return state.latest_per_key(valid.select(*cols, decode.OFFSET), key, decode.OFFSET)
+    return state.latest_per_key(valid.select(*cols, *order), key, order).drop(decode.TS, decode.PARTITION)
 
 
 def start_state(spark: SparkSession, topics_root: str, out_root: str, ckpt_root: str,
-                entity: str, trigger: dict | None = None, mode: str = "snapshot",
+                entity: str, trigger: dict | None = None, mode: str = "changelog",
                 **src) -> StreamingQuery:
     """Streaming latest state of one entity. ``mode="snapshot"`` writes a full
     new state version per batch (simple readers, O(state) per batch);
@@ -218,9 +232,18 @@ def start_state(spark: SparkSession, topics_root: str, out_root: str, ckpt_root:
 
 
 def read_state(spark: SparkSession, out_root: str, entity: str) -> DataFrame | None:
-    """Current state table of an entity (highest complete version)."""
-    p = sinks.latest_snapshot_path(spark, os.path.join(out_root, "state", entity))
-    return spark.read.parquet(p) if p else None
+    """Current state of an entity, from either layout: the highest complete
+    snapshot version, or the changelog merged on read; None if neither is there."""
+    root = os.path.join(out_root, "state", entity)
+    p = sinks.latest_snapshot_path(spark, root)
+    if p:
+        return spark.read.parquet(p)
+    return read_changelog_state(spark, root, key_of(entity)) if _exists(spark, f"{root}/changes") else None
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 # --- notifications -----------------------------------------------------------------------------
@@ -232,17 +255,19 @@ def notifier_batch(users_fn: Callable[[], DataFrame | None], topics_root: str,
     batch, overwritten on retry; ids are deterministic)."""
 
     def run(events: DataFrame, batch_id: int) -> None:
-        users = users_fn()
-        if users is None or decode.is_empty(events):
+        if decode.is_empty(events):
             return
+        users = users_fn()
+        if users is None:  # the batch fails and is replayed: its events aren't lost
+            raise RuntimeError("no users table and no users topic yet")
         notes = notify.notifications_for(
             events, users, event_key=decode.OFFSET, strict=strict,
-            id_key=[decode.PARTITION, decode.OFFSET],
+            id_key=[decode.PARTITION, decode.OFFSET], also=(decode.OFFSET,),
             sent_at=F.date_format(F.col(decode.TS), "yyyy-MM-dd HH:mm:ss"))
         recs = notes.select(
-            F.lit(0).alias("partition"), F.col("notification_id").alias("offset"),
-            F.current_timestamp().alias("timestamp"), F.lit(None).cast("string").alias("key"),
-            F.to_json(F.struct(*[F.col(c) for c in notes.columns])).alias("value"))
+            F.lit(0).alias("partition"), F.col(decode.OFFSET).alias("offset"),  # the event's place: later events, later offsets
+            F.current_timestamp().alias("timestamp"), F.col("notification_id").alias("key"),
+            F.to_json(F.struct(*[F.col(c) for c in notes.columns if c != decode.OFFSET])).alias("value"))
         topics.write_dir_topic(recs, topics_root, "notifications", mode="overwrite",
                                batch_id=batch_id)
 
@@ -265,9 +290,11 @@ def start_notifier(spark: SparkSession, topics_root: str, out_root: str, ckpt_ro
         st = read_state(spark, out_root, "users")
         if st is not None:
             return st
-        try:
+        if src.get("kafka"):
+            recs = topics.read_kafka(spark, src["kafka"], "users", stream=False)
+        elif _exists(spark, topics.topic_dir(topics_root, "users")):
             recs = topics.read_dir_topic(spark, topics_root, "users")
-        except Exception:  # no users topic yet
+        else:
             return None
         dec = decode.decode_json(recs, schema_of("users"), with_keys=False)
         cols = schema_of("users").fieldNames()
@@ -299,15 +326,18 @@ def supervise(start: Callable[[], list[StreamingQuery]], max_restarts: int = 3,
     import time
     from pyspark.errors import StreamingQueryException
     restarts = 0
+    until = time.monotonic() + timeout if timeout else None
     while True:
         qs = start()
         try:
-            for q in qs:
-                q.awaitTermination(timeout)
-            for q in qs:
-                if q.exception() is not None:
-                    raise q.exception()
-            return restarts
+            while True:  # any query's failure counts, whichever it is
+                running = [q for q in qs if q.isActive]
+                for q in qs:
+                    if not q.isActive and q.exception() is not None:
+                        raise q.exception()
+                if not running or (until and time.monotonic() > until):
+                    return restarts
+                running[0].awaitTermination(0.5)
         except StreamingQueryException:
             for q in qs:
                 if q.isActive:

@@ -152,3 +152,24 @@ def test_merge_property_hypothesis(spark):
         assert got == replay(msgs)
 
     check()
+
+
+def test_pipeline_state_keeps_keys_of_earlier_days(spark, scratch):
+    import json
+
+    from matchflow.plans.pipeline import run_pipeline
+    from matchflow.sources import sinks
+
+    def day(rows):
+        return spark.createDataFrame([(json.dumps(r).encode(), o, f"2024-01-01 00:00:0{o % 10}") for o, r in rows], "value binary, offset long, t string") \
+            .selectExpr("CAST(NULL AS BINARY) AS key", "value", "'matchs' AS topic", "0 AS partition", "offset", "CAST(t AS TIMESTAMP) AS timestamp")
+    full = {"sport_id": 1, "sport_nom": "F", "equipe_domicile": "A", "equipe_exterieur": "B", "date_match": "2024-01-01 10:00:00", "lieu": "L", "statut": "programmé"}
+    big = 3_000_000_000
+    one = [(0, {"match_id": 1, **full}), (1, {"match_id": big, **full})]
+    two = [(2, {"match_id": 1, "statut": "terminé", "score_domicile": 3}), (3, {"match_id": 9, **full})]
+    for k, rows in enumerate((one, two, two)):  # the last is a retry of the second
+        paths = run_pipeline(spark, day(rows), scratch, batch_id=min(k, 1))
+    got = {r.match_id: r for r in spark.read.parquet(sinks.latest_snapshot_path(spark, paths["state"])).collect()}
+    assert set(got) == {1, big, 9}
+    assert (got[1].statut, got[1].score_domicile, got[1].equipe_domicile, got[1].first_offset, got[1].last_offset) == ("terminé", 3, "A", 0, 2)
+    assert got[big].statut == "programmé"

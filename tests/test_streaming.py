@@ -76,7 +76,7 @@ def test_notifier_stream_static(spark, scratch):
     full = fx.match_log(spark, SF_SMALL).where("sport_id IS NOT NULL")
     expect = notify.fan_out(full.select("sport_id"), notify.audience(users)).count()
     assert notes.count() == expect
-    assert notes.select("offset").distinct().count() == expect
+    assert notes.select("key").distinct().count() == expect
 
 
 def test_all_topics_ingest_and_state(spark, scratch):
@@ -172,3 +172,59 @@ def test_changelog_state_equals_batch_and_compacts(spark, scratch):
         assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0, step
         if step == "before":
             assert ingest.compact_changelog(spark, root, "match_id") is not None
+
+
+def test_state_orders_partitions_by_time(spark, scratch):
+    import json
+
+    from matchflow.streaming import ingest
+    root, out = os.path.join(scratch, "t"), os.path.join(scratch, "o")
+    full = {"match_id": 5, "sport_id": 1, "sport_nom": "F", "statut": "old"}
+    recs = spark.createDataFrame([(0, 9, "2024-01-01 00:00:00", json.dumps(full)), (1, 2, "2024-01-01 01:00:00", json.dumps({**full, "statut": "new"}))],
+                                 "partition int, offset long, t string, value string").selectExpr("partition", "offset", "CAST(t AS TIMESTAMP) AS timestamp", "value")
+    topics.write_dir_topic(recs, root, "matchs")
+    q = ingest.start_state(spark, root, out, os.path.join(scratch, "c"), "matchs", trigger={"availableNow": True})
+    q.awaitTermination()
+    assert [r.statut for r in ingest.read_state(spark, out, "matchs").collect()] == ["new"]
+
+
+def test_notifier_fails_rather_than_drop_events(spark, scratch):
+    import json
+
+    import pytest
+    from pyspark.errors import StreamingQueryException
+
+    from matchflow.streaming import ingest
+    root = os.path.join(scratch, "t")
+    recs = spark.createDataFrame([(0, 1, json.dumps({"match_id": 5, "sport_id": 1, "sport_nom": "F", "statut": "rappel"}))], "partition int, offset long, value string") \
+        .selectExpr("partition", "offset", "CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS timestamp", "value")
+    topics.write_dir_topic(recs, root, "matchs")
+    args = (spark, root, os.path.join(scratch, "o"), os.path.join(scratch, "c"))
+    with pytest.raises(StreamingQueryException):
+        ingest.start_notifier(*args, trigger={"availableNow": True}).awaitTermination()
+    users = spark.createDataFrame([(0, 1, json.dumps({"user_id": 3, "sports_favoris": [1]}))], "partition int, offset long, value string") \
+        .selectExpr("partition", "offset", "CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS timestamp", "value")
+    topics.write_dir_topic(users, root, "users")
+    ingest.start_notifier(*args, trigger={"availableNow": True}).awaitTermination()  # replays the batch
+    assert topics.read_dir_topic(spark, root, "notifications").count() == 1
+
+
+def test_supervise_sees_the_second_query_fail(spark, scratch):
+    from matchflow.streaming import ingest
+    runs = []
+
+    def start():
+        runs.append(1)
+
+        def body(batch, _):
+            if len(runs) == 1:
+                raise ValueError("boom")
+
+        s = spark.readStream.format("rate").load()
+        ok = s.writeStream.foreachBatch(lambda b, i: None).trigger(processingTime="1 second").start()
+        bad = s.writeStream.foreachBatch(body).trigger(processingTime="1 second").start()
+        return [ok, bad]
+
+    assert ingest.supervise(start, max_restarts=2, delay_s=0.1, timeout=8) == 1
+    for q in spark.streams.active:
+        q.stop()
