@@ -28,7 +28,7 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 WORD = re.compile("[^\t-\r \x85\xa0  -     　]+")
 #: Latin letters, and ASCII marks behind them that are tokens of their own (an apostrophe may not be).
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
-CACHE = 300_000  # words whose ids a worker remembers in each of two generations, and as many stems
+CACHE = 100_000  # words whose ids a worker remembers in each of two generations, and as many stems
 SEQUENCE_BITS = 36
 
 
