@@ -223,7 +223,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
     classes = written(classes, "classes")
     size = classes.select("rep", "sig", "n")
     # tokens that two classes or more have in their prefixes, with the smallest class
-    posts = classes.select("rep", F.explode("prefix").alias("token"))
+    posts = classes.select("rep", F.posexplode("prefix").alias("pos", "token"))
     shared = written(posts.groupBy("token").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
                      .select("token", "first"), "shared-tokens")
     posts = written(posts.join(shared, "token"), "postings")
@@ -233,13 +233,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
     edges = written(verify(written(near.where(sizes).where(enough), "pairs-1"), docs, size, id_col, text_col, setting, ranked), "links-1")
     label = components(edges, "round-1")
     mine = posts.join(size.select("rep", "n"), "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left") \
-        .select("token", "rep", "n", F.coalesce("root", "rep").alias("label"))
+        .select("token", "rep", "n", "pos", F.coalesce("root", "rep").alias("label"))
     several = mine.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("token")
     mine = written(mine.join(several, "token", "left_semi"), "open-tokens")
+    # of a similar pair's common tokens, the first in the order has enough behind it in both sets
     cross = mine.alias("x").join(mine.alias("y"), F.expr(
-        f"x.token = y.token AND x.label < y.label AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")) \
-        .groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")) \
-        .agg(F.count("*").alias("c"), F.min("x.n").alias("n"), F.min("y.n").alias("m")).where(enough)
+        f"x.token = y.token AND x.label < y.label AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) "
+        f"AND {100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n)")) \
+        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     more = verify(written(cross, "pairs-2"), docs, size, id_col, text_col, setting, ranked)
     root = components(edges.union(more), "round-2")
     return rows, size.select("rep", "sig").join(root.withColumnRenamed("node", "rep"), "rep", "left") \
