@@ -67,6 +67,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # Labelled lines; [kind|token token] marks a span, # a digit and @w a word.
 LINES = """call me on [phone|(###) ###-####] today
 phone: [phone|###-###-####] or mail [email|@w.##@@w#.example.com]
+mail [email|@w.@w@@w.de], [phone|+# (###) ###-####] or [phone|(###) ###-####]; [ip|##.#.#.###] too
+dial [phone|(###) ###-####]; ask for @w
 tel [phone|### ### ####] and fax [phone|### ### ####]
 mobile [phone|+# (###) ###-####] please
 ring [phone|(###) ###-####] now
