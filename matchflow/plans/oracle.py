@@ -251,6 +251,10 @@ FROM match_log"""
     s["partition_counts"] = _with(m, lgc) + """SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
   COUNT(*) AS nombre_matchs
 FROM (SELECT TRY_CAST(date_match AS TIMESTAMP) AS ts FROM match_log) GROUP BY 1, 2"""
+    s["stream_state"] = s["merge_partial"]
+    s["stream_ingest"] = _with(m, lgc) + """SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
+  CAST(day(ts) AS INTEGER) AS day, COUNT(*) AS nombre_matchs
+FROM (SELECT TRY_CAST(date_match AS TIMESTAMP) AS ts FROM match_log) GROUP BY 1, 2, 3"""
     s["encode_json"] = _with(m) + """SELECT match_id, CAST(to_json({'match_id': match_id, 'sport_id': sport_id,
   'sport_nom': sport_nom, 'equipe_domicile': equipe_domicile, 'equipe_exterieur': equipe_exterieur,
   'score_domicile': score_domicile, 'score_exterieur': score_exterieur,

@@ -22,6 +22,7 @@ from matchflow.sources import feed as feedsrc
 from matchflow.sources import fixtures as fx
 from matchflow.sources import topics
 from matchflow.sources.tables import read_table
+from matchflow.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -408,6 +409,32 @@ def q_generation_branch(spark, d):
     return generation_branch(merged_matches(spark, d), GENERATION_THRESHOLD)
 
 
+# --- streaming -------------------------------------------------------------------------------
+
+def _stream_folders(spark, d, name):
+    """Folders of topics, output and checkpoints, with the whole match topic in the first."""
+    tr, out, ck = (f"{scratch_path(spark, name)}/{x}" for x in ("topics", "out", "ckpt"))
+    recs = fx.match_topic(spark, d).select("partition", "offset", "timestamp", F.col("value").cast("string").alias("value"))
+    topics.write_dir_topic(recs, tr, "matchs")
+    return tr, out, ck
+
+
+@query("stream_state")
+def q_stream_state(spark, d):
+    """ST6: the topic replayed by the streaming state job, then the state as its readers see it."""
+    tr, out, ck = _stream_folders(spark, d, "stream-state")
+    ingest.start_state(spark, tr, out, ck, "matchs", trigger={"availableNow": True}).awaitTermination()
+    return ingest.read_state(spark, out, "matchs").select(*merged_matches(spark, d).columns)
+
+
+@query("stream_ingest")
+def q_stream_ingest(spark, d):
+    """ST2, S7, P6: the rows that the ingest job wrote for each day."""
+    tr, out, ck = _stream_folders(spark, d, "stream-ingest")
+    ingest.start_ingest(spark, tr, out, ck, "matchs", trigger={"availableNow": True}).awaitTermination()
+    return spark.read.parquet(f"{out}/matchs").groupBy("year", "month", "day").agg(F.count(F.lit(1)).alias("nombre_matchs"))
+
+
 @query("notify_fanout")
 def q_notify_fanout(spark, d):
     return notify.notify_pairs(fx.matchs(spark, d), fx.users(spark, d))
