@@ -2,7 +2,8 @@
 
 Each document's measures are counted where it lies; thresholds come from mergeable quantile
 sketches (KLL) of every measure for each language and source, and are joined back. A group's
-sketches are built in every task and merged, so a hot source costs no more than another.
+sketches are built in every task and merged, so a hot source costs no more than another. A
+group of few rows takes the fences of its language, whose sketch is its sources' merged.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ WINDOW = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-#: measure: expression over the counts, and the least and most that its fence may be.
+#: measure: expression over the counts, and the part of a group's rows that is usual by it. Repeats
+#: are rare behind the base rules, and what is left of them is seldom odd; symbols come in whole rows of junk.
 MEASURES = {
-    "symbol_share": ("n_symbols / greatest(word_chars, 1)", 0.08, 0.5),
-    "repeat_share": ("n_repeat_words / greatest(n_words, 1)", 0.25, 0.3),
-    "dup_line_words": ("n_dup_lines / greatest(n_words, 1)", 0.05, 0.3),
-    "word_length": ("word_chars / greatest(n_words, 1)", 12.0, 40.0),
+    "symbol_share": ("n_symbols / greatest(word_chars, 1)", 0.9),
+    "repeat_share": ("n_repeat_words / greatest(n_words, 1)", 0.99),
+    "dup_line_words": ("n_dup_lines / greatest(n_words, 1)", 0.99),
+    "word_length": ("word_chars / greatest(n_words, 1)", 0.9),
 }
+SKETCH = 4096  # k of the sketches: quantiles are right to about 0.1% of the rows
+LEAST = 1000  # rows of a group that has fences of its own: ten behind its 0.99 quantile
 
 
 def _share(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -84,20 +88,27 @@ def failed(c: str = "") -> str:
     return "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 
 
-def thresholds(measured: DataFrame, by: tuple[str, ...] = ("lang", "source"), spread: float = 3.0) -> DataFrame:
-    """(by..., n, <measure>_max): upper fence median + ``spread`` * (upper quartile - lower
-    quartile), within the bounds in MEASURES, of each group's rows that pass the base rules.
-    Null keys are a group like any other."""
-    ok = measured.where(f"NOT ({failed()})").selectExpr(*[f"`{c}`" for c in by], *[f"{e} AS {m}" for m, (e, _, _) in MEASURES.items()])
-    sk = ok.groupBy(*by).agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(m).cast("double"), F.lit(200)).alias(m) for m in MEASURES])
+def thresholds(measured: DataFrame, by: tuple[str, ...] = ("lang", "source"), spread: float = 3.0, least: int = LEAST) -> DataFrame:
+    """(by..., n, <measure>_max) of each group's rows that pass the base rules: the quantile in
+    MEASURES and ``spread`` times its distance from the median, so the margin is as wide as
+    the group's own tail; where fewer rows than that have any, the fence is 0. A group of fewer
+    than ``least`` rows takes the fences of all groups that share its keys but the last. Null
+    keys are a group like any other."""
+    ok = measured.where(f"NOT ({failed()})").selectExpr(*[f"`{c}`" for c in by], *[f"{e} AS {m}" for m, (e, _) in MEASURES.items()])
+    own = ok.groupBy(*by).agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(m).cast("double"), F.lit(SKETCH)).alias(m) for m in MEASURES])
+    own = written(own, "rule-sketches")
+    wide = own.groupBy(*[F.col(c).alias(f"_w_{c}") for c in by[:-1]]).agg(*[F.kll_merge_agg_double(m, F.lit(SKETCH)).alias(f"_w_{m}") for m in MEASURES])
+    same = F.lit(True)
+    for c in by[:-1]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_w_{c}"))
     q = lambda m, p: f"kll_sketch_get_quantile_double({m}, {p}D)"
-    return sk.selectExpr(*[f"`{c}`" for c in by], "n", *[
-        f"least({hi}D, greatest({lo}D, {q(m, 0.5)} + {spread}D * ({q(m, 0.75)} - {q(m, 0.25)}))) AS {m}_max"
-        for m, (_, lo, hi) in MEASURES.items()])
+    fence = lambda m, p: f"{q(m, p)} + {spread}D * ({q(m, p)} - {q(m, 0.5)})"
+    return own.join(wide, same).selectExpr(*[f"`{c}`" for c in by], "n", *[
+        f"CASE WHEN n >= {least} THEN {fence(m, p)} ELSE {fence(f'_w_{m}', p)} END AS {m}_max" for m, (_, p) in MEASURES.items()])
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                by: tuple[str, ...] = ("lang", "source"), spread: float = 3.0) -> DataFrame:
+                by: tuple[str, ...] = ("lang", "source"), spread: float = 3.0, least: int = LEAST) -> DataFrame:
     """(id, by..., counts..., base_failed, kept, reason) of every row.
 
     A row is kept unless the base rules fail or a measure passes its group's fence. Rows with
@@ -105,11 +116,11 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a group all of whose rows fail the base rules has no fence and needs none. The counts
     are written once and joined with the fences, one row for each group."""
     m = written(measure(docs, id_col, text_col, by), "rule-counts")
-    t = thresholds(m, by, spread).select(*[F.col(c).alias(f"_t_{c}") for c in by], *[f"{x}_max" for x in MEASURES])
+    t = thresholds(m, by, spread, least).select(*[F.col(c).alias(f"_t_{c}") for c in by], *[f"{x}_max" for x in MEASURES])
     cond = F.lit(True)
     for c in by:
         cond = cond & m[c].eqNullSafe(t[f"_t_{c}"])
     j = m.join(t, cond, "left").withColumn("base_failed", F.expr(failed()))
     j = j.withColumn("reason", F.expr(
-        "CASE WHEN base_failed THEN 'base' " + " ".join(f"WHEN {e} > {x}_max THEN '{x}'" for x, (e, _, _) in MEASURES.items()) + " END"))
+        "CASE WHEN base_failed THEN 'base' " + " ".join(f"WHEN {e} > {x}_max THEN '{x}'" for x, (e, _) in MEASURES.items()) + " END"))
     return j.select(id_col, *by, *COUNTS, "base_failed", F.col("reason").isNull().alias("kept"), "reason")

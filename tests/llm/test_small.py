@@ -145,6 +145,21 @@ def test_rules_keep_clean_rows_and_drop_odd_ones(spark):
     assert all(got[i] for i, *_ in clean) and not got[1000]
 
 
+def test_rule_fences_are_the_groups_own(spark):
+    text = lambda i, marks, size=60: " ".join(f"word{(i * 31 + j) % 900 + 100}" for j in range(size - marks)) + " %" * marks
+    # of every five rows of "code" four have 1 to 9 marks, of "news" none; a row with 3 marks is usual in one only
+    rows = [(i, text(i, i % 10 if i % 5 else 0), "en", "code") for i in range(1200)] + [(2000 + i, text(i, 0), "en", "news") for i in range(1200)]
+    rows += [(5000, text(1, 3), "en", "news"), (5001, text(1, 3), "en", "code"), (5002, text(1, 3), None, "few"), (5003, text(1, 0).replace(" ", "%%%% "), "en", "few")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    fences = {(r.lang, r.source): r for r in rules.thresholds(rules.measure(docs)).collect()}
+    news, code = fences["en", "news"], fences["en", "code"]
+    assert news.symbol_share_max == 0 < code.symbol_share_max and code.word_length_max != news.word_length_max
+    # few rows: the language's
+    assert fences["en", "few"].symbol_share_max not in (news.symbol_share_max, code.symbol_share_max) and fences[None, "few"].n == 1
+    got = {r.doc_id: (r.kept, r.reason) for r in rules.apply_rules(docs).collect()}
+    assert len(got) == len(rows) and got[5000] == (False, "symbol_share") and got[5001] == (True, None) and got[5002][0] and not got[5003][0]
+
+
 def test_packing_round_trip(spark, odd, none):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(packing.vocabulary())
