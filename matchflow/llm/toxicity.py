@@ -1,7 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models over the letters of terms, of toxic and of ordinary text: a term is a walk from
-its first byte to its eighth (or its end), each step given the bytes before it. A step's count
+its first byte to its end, each step given the bytes before it, from the ninth on the last
+eight. A step's count
 in the class is discounted, and what the discount takes goes to one shared distribution: in
 how many different terms of documents, over the whole corpus, the step occurs. A rare expression so weighs the
 same in both models, but for the part of it that the classes use differently. The
@@ -9,8 +10,8 @@ length-normalised log-likelihood difference of the whole text and of its most to
 and the most toxic term, are turned into a probability by a logistic regression on labelled
 rows that the counts haven't seen.
 
-Nodes (prefixes) are hashed into tables of fixed size, so a model's memory is bounded while
-its counts cover every row. Tasks add up their own rows' tables; the tables meet in one
+Nodes (prefixes, and the bytes around a step behind them) are hashed into tables of fixed size,
+one for either kind, so a model's memory is bounded while its counts cover every row. Tasks add up their own rows' tables; the tables meet in one
 aggregate. How many different steps follow a node is found by 64-slot linear counting, whose
 bitmaps merge by OR.
 """
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 from matchflow.llm.common import Spans, alphanumeric, buffers, fold, lower_ascii, map_batches, map_rows, mix, words, written
 
 BITS = 20
-SIZE = 1 << BITS  # buckets of nodes; the root is node SIZE
-WIDTH = SIZE + 1
-DEPTH = 8  # bytes of the longest prefix
+SIZE = 1 << BITS  # buckets of prefixes; the root is node SIZE, behind it as many buckets of sliding contexts
+WIDTH = 2 * SIZE + 1
+DEPTH = 8  # bytes of the longest prefix, and of the context that slides from there to a term's end
 DISCOUNT = 0.75
 SPAN = 12  # terms in a window
 FEATURES = ("top_term", "top_ratio", "mean_ratio")
@@ -38,7 +39,9 @@ _END = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 class Steps:
     """The terms of some texts: each one's document and number among the different terms, and
-    the steps of the different terms' walks as (terms, parents, children, slots of the children)."""
+    the steps of the different terms' walks as (terms, parents, children, slots of the children,
+    whether the parents are sliding contexts, which no step leads to: they count as often as
+    they are left). A term of n bytes has n steps and one for its end."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
         starts, ends, self.doc, _ = words(np.where(alphanumeric(data), data, np.uint8(32)), off)
@@ -52,14 +55,25 @@ class Steps:
 
         def step(own: np.ndarray, h: np.ndarray) -> None:
             child = (h & np.uint64(SIZE - 1)).astype(np.int64)
-            self.edges.append((own, parent[own], child, h >> np.uint64(58)))
+            self.edges.append((own, parent[own], child, h >> np.uint64(58), False))
             parent[own] = child
 
+        def slide(own: np.ndarray, context: np.ndarray, h: np.ndarray) -> None:
+            node = lambda x: (x & np.uint64(SIZE - 1)).astype(np.int64) + (SIZE + 1)
+            self.edges.append((own, node(context), node(h), h >> np.uint64(58), True))
+
         for level in range(1, DEPTH + 1):
             own = np.flatnonzero(size >= level)
             step(own, spans.hash(starts[own], starts[own] + level))
         own = np.flatnonzero(size <= DEPTH)
         step(own, mix(spans.hash(starts[own], ends[own]) ^ _END))
+        long = np.flatnonzero(size > DEPTH)
+        left = size[long] - DEPTH
+        own = np.repeat(long, left)
+        begin = starts[own] + np.arange(len(own)) - np.repeat(np.cumsum(left) - left, left)
+        slide(own, spans.hash(begin, begin + DEPTH), spans.hash(begin, begin + DEPTH + 1))
+        last = spans.hash(ends[long] - DEPTH, ends[long])
+        slide(long, last, mix(last ^ _END))
 
 
 def distinct(bitmap: np.ndarray) -> np.ndarray:
@@ -80,9 +94,11 @@ def class_counts(rows: DataFrame, text_col: str, toxic_col: str) -> DataFrame:
                 for c in (0, 1):
                     times = np.bincount(s.term[cls == c], minlength=s.different)
                     count[c, SIZE] += times.sum()
-                    for own, parent, child, slot in s.edges:
+                    for own, parent, child, slot, slides in s.edges:
                         m = np.flatnonzero(times[own])
                         np.add.at(count[c], child[m], times[own[m]])
+                        if slides:
+                            np.add.at(count[c], parent[m], times[own[m]])
                         np.bitwise_or.at(fan[c], parent[m], np.uint64(1) << slot[m])
         for c in (0, 1):
             at = np.flatnonzero(count[c])
@@ -108,8 +124,10 @@ def shared_counts(docs: DataFrame, text_col: str) -> DataFrame:
                     continue
                 times = np.bincount(np.unique(s.doc * s.different + s.term) % s.different, minlength=s.different)
                 df[SIZE] += times.sum()
-                for own, _, child, _ in s.edges:
+                for own, parent, child, _, slides in s.edges:
                     np.add.at(df, child, times[own])
+                    if slides:
+                        np.add.at(df, parent, times[own])
         at = np.flatnonzero(df)
         for k in range(0, len(at), 1 << 16):
             p = at[k:k + (1 << 16)]
@@ -135,14 +153,14 @@ class Models:
     def ratio(self, s: Steps) -> np.ndarray:
         """log P(term | toxic) - log P(term | ordinary) of every term."""
         out = np.zeros(s.different)
-        for own, parent, child, _ in s.edges:
-            back = np.minimum((self.df[child] + 0.1) / (self.df[parent] + 1), 1)
+        for own, parent, child, _, slides in s.edges:
+            back = np.minimum((self.df[child] + 0.1) / (self.df[parent] + (0.1 if slides else 1)), 1)  # a long term's only way on adds nothing
             p = []
             for c in (1, 0):
                 n = self.n[c, parent]
                 high = np.maximum(np.minimum(self.n[c, child], n) - DISCOUNT, 0) / np.maximum(n, 1)
                 p.append(high + self.rest[c, parent] * back)
-            out[own] += np.log(p[0] / p[1])
+            np.add.at(out, own, np.log(p[0] / p[1]))
         return out[s.term]
 
 

@@ -335,6 +335,23 @@ def test_held_out_accuracy(spark):
     assert np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]) > 0.9
 
 
+def test_terms_are_walked_to_their_end(spark):
+    texts = ["abcdefghijkl abcdefgh a", "éèêëé", "x" * 5000]
+    for _, _, data, off in buffers(pa.array(texts)):
+        s = toxicity.Steps(data, off)
+    steps = sum(np.bincount(own, minlength=s.different) for own, *_ in s.edges)
+    assert [int(x) for x in steps[s.term]] == [len(t.encode()) + 1 for t in " ".join(texts).split()]
+    # words, and sentences without blanks, that differ only behind the eighth byte
+    pairs = [("umweltschutzgesetz", "umweltschutzhalunke"), ("今天天气很好我们出去玩", "今天天气很好你是个坏蛋")]
+    for fine, toxic in pairs:
+        rows = [(i, f"{toxic if i % 2 else fine} w{i}", i % 2) for i in range(40)]
+        taught = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        models = toxicity.Models(toxicity.class_counts(taught, "text", "toxic").toArrow(), toxicity.shared_counts(taught, "text").toArrow())
+        asked = spark.createDataFrame([(0, fine), (1, toxic), (2, fine[:2] + toxic[2:]), (3, "ganz " + toxic[:-1])], "doc_id long, text string")
+        got = {r.doc_id: r.top_term for r in toxicity.log_ratios(asked, models, "doc_id", "text").collect()}
+        assert got[0] < -0.5 and got[1] > 0.5 and got[2] > 0.5 and got[3] > 0.5
+
+
 def test_cumulative_link_orders_three_grades():
     rng = np.random.default_rng(0)
     grades = rng.integers(0, 3, 300)
