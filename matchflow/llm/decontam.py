@@ -5,12 +5,14 @@ template tokens is hashed and joined with the benchmark's. Windows of a document
 that lie on one diagonal (same distance of their positions) are an alignment, and its slots
 must be consistent: one value of the item stands for one value of the document throughout.
 That finds items that were copied and items that were asked anew with other numbers and names.
+Beside each window goes one in which the letter case is folded: a word is a name only for its
+capital, so a copy in capitals or in lower case has other names, but the same folded windows.
 Everything is DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTH = 8  # a power of two
@@ -32,11 +34,12 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{M}\p{N}]+(?:[.,][0-9]+)*"), F.lit(0))
 
 
-def template(words: Column) -> Column:
-    """A hash for every token; a placeholder's is its type."""
+def template(words: Column, folded: bool = False) -> Column:
+    """A hash for every token; a placeholder's is its type. ``folded``: no token is a name."""
     def one(t: Column) -> Column:
         low = F.lower(t)
-        return F.when((t >= "0") & (t < ":"), F.lit(NUMBER).cast("long")).when(t != low, F.lit(NAME).cast("long")) \
+        typed = F.when((t >= "0") & (t < ":"), F.lit(NUMBER).cast("long"))
+        return (typed if folded else typed.when(t != low, F.lit(NAME).cast("long"))) \
             .when(low.isin(NUMBERS), F.lit(NUMBER).cast("long")).when(low.isin(UNITS), F.lit(UNIT).cast("long")) \
             .otherwise(F.xxhash64(low))
     return F.transform(words, one)
@@ -60,15 +63,26 @@ def _windows(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.slice(column, 1, F.greatest(F.col("_n") - (WIDTH - 1), F.lit(0)))).drop("_n")
 
 
+def _both(df: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., at, w, f, typed): each window of tokens ``t`` as typed (w) and folded (f), once
+    to be taken typed and, where that isn't the same, once folded."""
+    df = _windows(_windows(df.withColumns({"w": template(F.col("t")), "f": template(F.col("t"), True)}), "w"), "f")
+    df = df.select(*keep, F.posexplode_outer(F.arrays_zip("w", "f")).alias("at", "x")).select(*keep, "at", "x.w", "x.f")
+    return df.withColumn("typed", F.explode(F.array(F.lit(True), F.lit(False))))
+
+
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, item_tokens, item_types, at, window): the windows of the items that have enough
-    literal tokens, with the item's tokens and template."""
+    """(item, item_tokens, item_types, at, window, typed): the windows of the items that have
+    enough literal tokens, typed and folded, with the item's tokens and template. An item none of
+    whose typed windows has enough (one in capitals) has those whose folded ones have."""
     base = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item"), tokens(F.col(text_col)).alias("item_tokens")).distinct()
-    base = base.withColumn("item_types", template(F.col("item_tokens")))
-    w = _windows(base.withColumn("w", F.col("item_types")), "w")
-    w = w.select("item", "item_tokens", "item_types", F.posexplode_outer("w").alias("at", "window"))
-    few = F.size(F.filter(F.slice("item_types", F.col("at") + 1, WIDTH), lambda x: ~x.isin(NUMBER, NAME, UNIT)))
-    return w.where(few >= LITERALS)
+    base = base.withColumns({"item_types": template(F.col("item_tokens")), "_plain": template(F.col("item_tokens"), True)})
+    w = _both(base.withColumn("t", F.col("item_tokens")), "item", "item_tokens", "item_types", "_plain")
+    enough = lambda c: F.size(F.filter(F.slice(c, F.col("at") + 1, WIDTH), lambda x: ~x.isin(NUMBER, NAME, UNIT))) >= LITERALS
+    w = w.where("at IS NOT NULL").withColumns({"_typed": enough("item_types"), "_folded": enough("_plain")})
+    w = w.withColumn("_any", F.max("_typed").over(Window.partitionBy("item", "item_tokens")))
+    w = w.where("IF(_any, _typed, _folded) AND IF(typed, _typed, NOT (_typed AND w = f))")
+    return w.select("item", "item_tokens", "item_types", "at", F.expr("IF(typed, w, f)").alias("window"), "typed")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -76,21 +90,24 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(id, item, n_matched, n_windows, n_slots, exact): documents that hold an item.
 
     Reported where the item's windows found on consistent alignments are at least ``share`` of
-    its windows. exact: every slot has the item's own value. A null text is empty; items with a
-    null id, of fewer than WIDTH tokens, or without a window of LITERALS literal tokens can't
-    be found and aren't reported. Documents with a null id are reported under the null id, and
+    its windows, typed ones alone or together with folded ones, which cover the item's windows as
+    well. exact: every slot has the item's own value, in any letter case. A null text is empty;
+    items with a null id, of fewer than WIDTH tokens, or without a window of LITERALS literal
+    tokens (or words, where all have capitals) can't be found and aren't reported. Documents with a null id are reported under the null id, and
     rows that repeat an id count as one document; items that repeat an id with another text are
     matched by whichever text has more. Empty tables give no rows; other columns are not read."""
     windows = item_windows(items, item_id, item_text)
-    key = windows.select(F.col("window"), "item", "at", F.xxhash64("item_tokens").alias("text_hash"))
+    key = windows.select(F.col("window"), "item", "at", F.xxhash64("item_tokens").alias("text_hash"), F.col("typed").alias("_typed"))
     small = windows.count() <= BROADCAST_WINDOWS
     key = F.broadcast(key) if small else key
-    texts = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("w"))
-    found = _windows(texts.withColumn("w", template(F.col("w"))), "w") \
-        .select("doc", F.posexplode_outer("w").alias("pos", "window")).join(key, "window")
-    diagonal = found.groupBy("doc", "item", "text_hash", (F.col("pos") - F.col("at")).alias("shift")) \
+    texts = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("t"))
+    found = _both(texts, "doc").where("typed OR w <> f") \
+        .select("doc", F.col("at").alias("pos"), F.expr("IF(typed, w, f)").alias("window"), "typed").join(key, "window")
+    # alignments of typed windows (way 0), and of all (way 1): a folded hit takes no typed one away
+    found = found.withColumn("way", F.explode(F.expr("IF(typed AND _typed, array(0, 1), array(1))")))
+    diagonal = found.groupBy("doc", "item", "text_hash", "way", (F.col("pos") - F.col("at")).alias("shift")) \
         .agg(F.collect_set("at").alias("ats"))  # at most the item's windows
-    about = windows.groupBy("item", "item_tokens", "item_types").agg(F.count("*").alias("n_windows")) \
+    about = windows.groupBy("item", "item_tokens", "item_types").agg(F.countDistinct("at").alias("n_windows")) \
         .withColumn("text_hash", F.xxhash64("item_tokens"))
     words = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     hits = diagonal.select(F.col("doc").alias("_hit")).distinct()
@@ -104,7 +121,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     lines = lines.withColumn("slots", F.array_distinct(slot)) \
         .where(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["mine"])))) \
         .withColumn("exact", F.forall("slots", lambda s: s["mine"] == s["theirs"]))
-    whole = lines.groupBy("doc", "item", "text_hash").agg(
+    whole = lines.groupBy("doc", "item", "text_hash", "way").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("n_matched"), F.max("n_windows").alias("n_windows"),
         F.max(F.size("slots")).cast("long").alias("n_slots"), F.min("exact").alias("exact"))
     best = whole.where(F.col("n_matched") >= share * F.col("n_windows")).groupBy("doc", "item").agg(

@@ -203,6 +203,19 @@ def test_template_leaks(spark, none):
     assert decontam.contaminated(none, items).count() == 0 and decontam.contaminated(docs, items.where("false")).count() == 0
 
 
+def test_template_leaks_in_any_letter_case(spark):
+    item = "Alice bought 12 apples and gave 5 to her brother who then ate 12 of the apples with great joy"
+    loud = "EVERY WORD OF THIS ITEM STANDS IN CAPITALS AND NONE OF THEM IS A NAME"
+    named = "Anna Berta Clara Dora met Emil Franz Georg and Hans near Berlin on Monday with Ida Karl and Ludwig there"
+    items = spark.createDataFrame([(1, item), (2, loud), (3, named)], "item_id long, text string")
+    texts = [item, item.upper(), item.lower(), "So " + item.title(), item.upper().replace("12", "30"), item.upper().replace("ATE 12", "ATE 13"), loud, loud.lower(), named.upper(), named.lower(),
+             "NOTHING OF THE KIND IS TO BE FOUND IN THIS TEXT HERE", item[:48] + item[48:].upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs, items).collect()}
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (6, 2), (7, 2), (8, 3), (9, 3), (11, 1)}
+    assert all(r.exact == (i != 4) for (i, _), r in got.items()) and all(got[i, 1].n_matched == got[i, 1].n_windows for i in range(5))
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     res = compare(spark, SF_SMALL, [name], verbose=False)[name]
