@@ -49,7 +49,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     if DIGIT.search(text):
         if "." in text:
             for m in IP.finditer(text):
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
                     out.append((m.start(), m.end(), "ip"))
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")

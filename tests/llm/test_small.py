@@ -101,6 +101,11 @@ def test_personal_spans(spark):
     assert [(s["kind"], alone[s["start"]:s["end"]]) for s in r.spans] == [("crf_phone", "(555) 123-4567")]
 
 
+def test_ip_parts_of_many_zeros():
+    text = "0" * 5000 + "10.0.0." + "0" * 5000 + " 10.0.0.256"
+    assert [x for x in pii.base_spans(text) if x[2] == "ip"] == [(0, text.index(" "), "ip")]
+
+
 def test_crf_decodes_the_best_path_and_fits_its_table():
     field = pii.train()
     table = pii.labelled_table(copies=2, seed=99)
