@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchflow.llm import decontam, html, jaccard, lines, packing, pii, quality, rules, secrets, toxicity
+from matchflow.llm import bpe, decontam, html, jaccard, lines, packing, pii, quality, resample, rules, secrets, toxicity, turns
 from matchflow.llm.common import read
 
 
@@ -64,8 +64,22 @@ def op10_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reason")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_turn_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_damaged(read(spark, sf_dir, "conversations"))
+
+
+def op13_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.round_trip(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_template_leaks, op3_bin_slack, op4_ordinal_quality, op5_kneser_ney, op6_line_join,
-                                   op7_crf, op8_multi_order_jaccard, op9_tree_text, op10_adaptive_rules)}
+                                   op7_crf, op8_multi_order_jaccard, op9_tree_text, op10_adaptive_rules,
+                                   op11_importance_resampling, op12_turn_alignment, op13_bpe_stream)}
 
 _WORDS = r"""
 w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{M}\p{N}]+(?:[.,][0-9]+)*') AS toks FROM documents),
