@@ -21,13 +21,15 @@ whose ``date_match`` is the arrival time of the first record.
 
 from __future__ import annotations
 
-from typing import Iterable, Mapping, Sequence
+from typing import Callable, Iterable, Mapping, NamedTuple, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from matchflow.functions import constants as K
-from matchflow.operators.decode import KEYS, OFFSET, TS
+from matchflow.operators.decode import KEYS, OFFSET, PARTITION, TS
+from matchflow.schemas import key_of, schema_of
 
 MATCH_FIELDS = ("sport_id", "sport_nom", "equipe_domicile", "equipe_exterieur",
                 "score_domicile", "score_exterieur", "date_match", "lieu", "statut",
@@ -74,18 +76,15 @@ def latest_per_key(df: DataFrame, key: str, order: str | Sequence[str] = OFFSET,
     return agg.select(key, *[F.col(f"_row.{c}").alias(c) for c in cols], *last)
 
 
-def merge_partial(df: DataFrame, key: str = "match_id", order: str | Sequence[str] = OFFSET,
-                  ts: str | None = TS, fields: Sequence[str] = MATCH_FIELDS,
-                  full_markers: Sequence[str] = FULL_MARKERS,
-                  always_present: Sequence[str] = ALWAYS_PRESENT,
-                  defaults: Mapping[str, object] = K.UNKNOWN_MATCH_DEFAULTS,
-                  default_ts_field: str | None = "date_match",
-                  nonzero_key: bool = True) -> DataFrame:
-    """Field-level merge of full and partial records per key.
-
-    Output: key, ``fields`` (wire types), ``first_offset`` and ``last_offset``
-    (the log positions of the first and last record applied).
-    """
+def merge_cells(df: DataFrame, key: str = "match_id", order: str | Sequence[str] = OFFSET,
+                ts: str | None = TS, fields: Sequence[str] = MATCH_FIELDS,
+                full_markers: Sequence[str] = FULL_MARKERS,
+                always_present: Sequence[str] = ALWAYS_PRESENT,
+                default_ts_field: str | None = "date_match",
+                nonzero_key: bool = True) -> DataFrame:
+    """The mergeable half of W2: one row of cells per key, each the last value of a
+    field with its log position. Cells of any parts of a log, in any order and
+    however often, combine (``combine_cells``) to those of the whole log."""
     o = _order(order)
     src = df.where(valid_key(key, nonzero_key))
     is_full = None
@@ -104,17 +103,40 @@ def merge_partial(df: DataFrame, key: str = "match_id", order: str | Sequence[st
         else:
             aggs.append(F.max(F.when(_present(src, f), F.struct(o.alias("o"), F.col(f).alias("v"))))
                         .alias(f"_{f}"))
-    agg = src.groupBy(key).agg(*aggs)
+    return src.groupBy(key).agg(*aggs)
+
+
+def combining(columns: Iterable[str]) -> list[Column]:
+    """The aggregates that combine cells of one key: the last value of each, the first of firsts."""
+    out = []
+    for c in columns:
+        if c == "_first_o":
+            out.append(F.min(c).alias(c))
+        elif c == "_first_ts":
+            out.append(F.min_by(c, "_first_o").alias(c))
+        else:
+            out.append(F.max(c).alias(c))
+    return out
+
 
+def combine_cells(cells: DataFrame, key: str = "match_id") -> DataFrame:
+    return cells.groupBy(key).agg(*combining(c for c in cells.columns if c != key))
+
+
+def finish_columns(cells: StructType, key: str = "match_id", fields: Sequence[str] = MATCH_FIELDS,
+                   always_present: Sequence[str] = ALWAYS_PRESENT,
+                   defaults: Mapping[str, object] = K.UNKNOWN_MATCH_DEFAULTS,
+                   default_ts_field: str | None = "date_match") -> list[Column]:
+    """The state's columns over a table of cells: key, ``fields``, ``first_offset``, ``last_offset``."""
     last_full = F.col("_last_full")
     out = [F.col(key)]
     for f in fields:
         cell = F.col(f"_{f}")
-        dtype = src.schema[f].dataType
+        dtype = cells[f"_{f}"].dataType["v"].dataType
         if f in always_present:
             val = cell["v"]
         else:
-            if f == default_ts_field and "_first_ts" in agg.columns:
+            if f == default_ts_field and "_first_ts" in cells.names:
                 dflt = F.date_format(F.col("_first_ts"), "yyyy-MM-dd HH:mm:ss").cast(dtype)
             elif f in defaults:
                 dflt = F.lit(defaults[f]).cast(dtype)
@@ -123,5 +145,51 @@ def merge_partial(df: DataFrame, key: str = "match_id", order: str | Sequence[st
             val = (F.when(last_full.isNull(), F.when(cell.isNotNull(), cell["v"]).otherwise(dflt))
                     .when(cell["o"] >= last_full, cell["v"]))
         out.append(val.cast(dtype).alias(f))
-    out += [F.col("_first_o").alias("first_offset"), F.col("_last_o").alias("last_offset")]
-    return agg.select(*out)
+    return out + [F.col("_first_o").alias("first_offset"), F.col("_last_o").alias("last_offset")]
+
+
+def merge_partial(df: DataFrame, key: str = "match_id", order: str | Sequence[str] = OFFSET,
+                  ts: str | None = TS, fields: Sequence[str] = MATCH_FIELDS,
+                  full_markers: Sequence[str] = FULL_MARKERS,
+                  always_present: Sequence[str] = ALWAYS_PRESENT,
+                  defaults: Mapping[str, object] = K.UNKNOWN_MATCH_DEFAULTS,
+                  default_ts_field: str | None = "date_match",
+                  nonzero_key: bool = True) -> DataFrame:
+    """Field-level merge of full and partial records per key.
+
+    Output: key, ``fields`` (wire types), ``first_offset`` and ``last_offset``
+    (the log positions of the first and last record applied).
+    """
+    cells = merge_cells(df, key, order, ts, fields, full_markers, always_present, default_ts_field, nonzero_key)
+    return cells.select(*finish_columns(cells.schema, key, fields, always_present, defaults, default_ts_field))
+
+
+def latest_cells(df: DataFrame, key: str, order: str | Sequence[str], cols: Iterable[str]) -> DataFrame:
+    """The mergeable half of W1: the last row of each key with its log position."""
+    row = F.struct(*[F.col(c) for c in cols if c != key])
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(_order(order).alias("o"), row.alias("v"))).alias("_row"))
+
+
+class Folding(NamedTuple):
+    """How an entity's decoded records become cells, and the state's columns over cells; cells of
+    one key combine by ``combining``."""
+    key: str
+    kind: str  # the key's type
+    cells: Callable[[DataFrame], DataFrame]
+    columns: Callable[[StructType], list[Column]]
+
+    def finish(self, cells: DataFrame) -> DataFrame:
+        return cells.select(*self.columns(cells.schema))
+
+
+def folding(entity: str) -> Folding:
+    """State of an entity by (timestamp, partition, offset): field merge for matches (W2), whole
+    records for the others (W1)."""
+    key, order = key_of(entity), (TS, PARTITION, OFFSET)  # offsets only order one partition
+    kind = schema_of(entity)[key].dataType.simpleString()
+    if entity == "matchs":
+        return Folding(key, kind, lambda df: merge_cells(df, key, order),
+                       lambda t: [*finish_columns(t, key)[:-2], F.col("_first_o")[OFFSET].alias("first_offset"), F.col("_last_o")[OFFSET].alias("last_offset")])
+    cols = [c for c in schema_of(entity).fieldNames() if c != key]
+    return Folding(key, kind, lambda df: latest_cells(df, key, order, cols),
+                   lambda t: [F.col(key), *[F.col("_row.v")[c].alias(c) for c in cols], F.col("_row.o")[OFFSET].alias(OFFSET)])

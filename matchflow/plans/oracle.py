@@ -251,7 +251,18 @@ FROM match_log"""
     s["partition_counts"] = _with(m, lgc) + """SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
   COUNT(*) AS nombre_matchs
 FROM (SELECT TRY_CAST(date_match AS TIMESTAMP) AS ts FROM match_log) GROUP BY 1, 2"""
-    s["stream_state"] = s["merge_partial"]
+    s["stream_state"] = s["state_buckets"] = s["stream_state_processor"] = s["merge_partial"]
+    for name in ("matches_per_status", "matches_per_month"):
+        s[f"{name}_delta"] = s[name]
+    s["stats_matchs_delta"] = s["stats_matchs_latest"]
+    s["state_changes"] = _with(m, lgc, mg) + """, a AS (SELECT match_id, log_offset, statut, COALESCE(score_domicile, 0) AS score_domicile,
+  COALESCE(score_exterieur, 0) AS score_exterieur FROM match_log WHERE log_offset % 4 = 0 AND match_id % 5 <> 0),
+b AS (SELECT * FROM merged WHERE lieu IS DISTINCT FROM '5-LOW')
+SELECT COALESCE(a.match_id, b.match_id) AS match_id,
+  CASE WHEN a.match_id IS NULL THEN 'insert' WHEN b.match_id IS NULL THEN 'delete' ELSE 'update' END AS type,
+  a.statut AS statut_avant, a.score_domicile AS score_domicile_avant, a.score_exterieur AS score_exterieur_avant,
+  b.statut AS statut_apres, b.score_domicile AS score_domicile_apres, b.score_exterieur AS score_exterieur_apres
+FROM a FULL OUTER JOIN b ON a.match_id = b.match_id WHERE a.match_id IS NULL OR b.match_id IS NULL OR a.log_offset <> b.last_offset"""
     s["stream_ingest"] = _with(m, lgc) + """SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
   CAST(day(ts) AS INTEGER) AS day, COUNT(*) AS nombre_matchs
 FROM (SELECT TRY_CAST(date_match AS TIMESTAMP) AS ts FROM match_log) GROUP BY 1, 2, 3"""

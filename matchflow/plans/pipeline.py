@@ -30,20 +30,17 @@ def generation_branch(matches: DataFrame, threshold: int) -> DataFrame:
 
 
 def next_state(spark: SparkSession, valid: DataFrame, root: str, batch_id: int) -> DataFrame:
-    """The merged state after this batch: the previous version's rows go in as full
-    records at their last log position, so keys that the batch doesn't touch
-    stay and its partial records update what they carry. A re-run of the batch
-    starts from the same version (the newest below ``batch_id``)."""
+    """The merged state after this batch, with the cells it stands for (``_cells``): the
+    previous version's cells and the batch's combine by (timestamp, partition, offset),
+    so keys that the batch doesn't touch stay, its partial records update what they
+    carry, and a row of another partition, or a late one, takes its place in the log's
+    order. A re-run of the batch starts from the same version (the newest below ``batch_id``)."""
+    fold = state.folding("matchs")
+    cells = fold.cells(valid)
     path = sinks.latest_snapshot_path(spark, root, before=batch_id)
-    if path is None:
-        return state.merge_partial(valid)
-    prev = spark.read.parquet(path)
-    old = prev.select("match_id", *state.MATCH_FIELDS, F.col("last_offset").alias(decode.OFFSET),
-                      F.array(*[F.lit(f) for f in state.MATCH_FIELDS]).alias(decode.KEYS))
-    both = old.unionByName(valid.select(*[c for c in valid.columns if c in old.columns or c == decode.TS]), allowMissingColumns=True)
-    first = prev.select("match_id", F.col("first_offset").alias("_first"))
-    return state.merge_partial(both).join(first, "match_id", "left") \
-        .withColumn("first_offset", F.least("first_offset", "_first")).drop("_first")
+    if path is not None:
+        cells = state.combine_cells(cells.unionByName(spark.read.parquet(path).select(fold.key, "_cells.*")), fold.key)
+    return cells.select(*fold.columns(cells.schema), F.struct(*[c for c in cells.columns if c != fold.key]).alias("_cells"))
 
 
 def run_pipeline(spark: SparkSession, records: DataFrame, out_root: str,

@@ -22,7 +22,7 @@ from matchflow.sources import feed as feedsrc
 from matchflow.sources import fixtures as fx
 from matchflow.sources import topics
 from matchflow.sources.tables import read_table
-from matchflow.streaming import ingest
+from matchflow.streaming import buckets, ingest, processor
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +36,7 @@ POLL_CUTOFF = "2024-01-04 00:00:00"
 TODAY = "1998-06-01"
 GENERATION_THRESHOLD = 100_000
 PICK_N, PICK_SEED = 5, 42
+STORE_BUCKETS = 16
 
 
 def query(name: str):
@@ -320,7 +321,8 @@ def q_match_search(spark, d):
 
 @query("match_lookup")
 def q_match_lookup(spark, d):
-    return serve.match_lookup(merged_matches(spark, d), LOOKUP_ID)
+    """one key of the standing state; only its bucket is opened."""
+    return _match_store(spark, d).lookup(LOOKUP_ID)
 
 
 @query("user_notifications")
@@ -435,6 +437,66 @@ def q_stream_ingest(spark, d):
     return spark.read.parquet(f"{out}/matchs").groupBy("year", "month", "day").agg(F.count(F.lit(1)).alias("nombre_matchs"))
 
 
+@fx.per_session
+def _match_store(spark, d):
+    """The standing state that the lookups and delta marts read: the topic, in two partitions, folded
+    into buckets by two runs of the streaming job, the second from the first's checkpoint."""
+    root = scratch_path(spark, "match-store")
+    recs = fx.match_topic(spark, d).select((F.col("offset") % 2).cast("int").alias("partition"), "offset", "timestamp",
+                                           F.col("value").cast("string").alias("value"))
+    for half in (0, 1):
+        topics.write_dir_topic(recs.where(F.pmod(F.xxhash64("offset"), F.lit(2)) == half), f"{root}/topics", "matchs")
+        ingest.start_state(spark, f"{root}/topics", root, f"{root}/ckpt", "matchs", trigger={"availableNow": True},
+                           mode="buckets", buckets=STORE_BUCKETS).awaitTermination()
+    return ingest.bucket_store(spark, root, "matchs")
+
+
+@query("state_buckets")
+def q_state_buckets(spark, d):
+    """ST5 / ST6 / W2: the state that the copy-on-write job keeps."""
+    return _match_store(spark, d).read().select(*merged_matches(spark, d).columns)
+
+
+@query("matches_per_status_delta")
+def q_matches_per_status_delta(spark, d):
+    """A11 from the changes of each batch."""
+    return buckets.matches_per_status(_match_store(spark, d))
+
+
+@query("matches_per_month_delta")
+def q_matches_per_month_delta(spark, d):
+    """A12 from the changes of each batch."""
+    return buckets.matches_per_month(_match_store(spark, d))
+
+
+@query("stats_matchs_delta")
+def q_stats_matchs_delta(spark, d):
+    """A1 over the latest matches from the changes of each batch."""
+    return buckets.stats_matchs(_match_store(spark, d))
+
+
+@query("state_changes")
+def q_state_changes(spark, d):
+    """What changed between the state of four fifths of the full records and the
+    state of all records without the least urgent matches."""
+    dec = decoded_matches(spark, d)
+    store = ingest.bucket_store(spark, scratch_path(spark, "state-changes"), "matchs", STORE_BUCKETS)
+    early = (F.col(decode.OFFSET) % 4 == 0) & (F.col("match_id") % 5 != 0)
+    first = store.apply(dec.where(early), 0)
+    store.apply(dec.where(~early), 1)
+    last = store.remove(store.read().where("lieu = '5-LOW'"))
+    side = lambda s, n: [F.col(s)[c].alias(f"{c}_{n}") for c in ("statut", "score_domicile", "score_exterieur")]
+    return store.changes(first.number, last.number).select("match_id", F.col("change").alias("type"), *side("before", "avant"), *side("after", "apres"))
+
+
+@query("stream_state_processor")
+def q_stream_state_processor(spark, d):
+    """ST6: the topic through the keyed state processor, its state read from the state store."""
+    tr, _, ck = _stream_folders(spark, d, "state-processor")
+    processor.start_processor(spark, tr, ck, trigger={"availableNow": True}).awaitTermination()
+    return processor.read_processor_state(spark, ck)
+
+
 @query("notify_fanout")
 def q_notify_fanout(spark, d):
     return notify.notify_pairs(fx.matchs(spark, d), fx.users(spark, d))

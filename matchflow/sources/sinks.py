@@ -33,13 +33,14 @@ def write_partitioned(curated: DataFrame, path: str, batch_id: int,
     _overwrite_partitions(df, path, ["batch_id", *cols])
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, stamp: bool = False) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, stamp: bool = False, by: tuple[str, ...] = ()) -> None:
     """Append-style table, idempotent per batch; ``stamp`` adds the
-    processing time like the source's statistics snapshots."""
+    processing time like the source's statistics snapshots; ``by`` are columns
+    whose folders come before the batch's."""
     out = df.withColumn("batch_id", F.lit(batch_id))
     if stamp:
         out = out.withColumn("processed_time", F.current_timestamp())
-    _overwrite_partitions(out, path, ["batch_id"])
+    _overwrite_partitions(out, path, [*by, "batch_id"])
 
 
 def write_snapshot(state: DataFrame, root: str, batch_id: int) -> str:
@@ -71,6 +72,30 @@ def latest_snapshot_path(spark, root: str, before: int | None = None) -> str | N
     return None if best is None else os.path.join(root, f"v={best}")
 
 
+def children(spark, root: str, prefix: str, complete: bool = False) -> list[str]:
+    """What follows ``prefix`` in the names of a folder's children (``complete``: only of those that
+    a writer has finished)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    found = [st.getPath() for st in fs.listStatus(p) if st.getPath().getName().startswith(prefix)]
+    return [x.getName()[len(prefix):] for x in found if not complete or fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+
+
+def modified(spark, path: str) -> int:
+    """When a folder was last written to, in milliseconds."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(p).getModificationTime() if fs.exists(p) else 0
+
+
+def delete(spark, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def compact(spark, src: str, dst: str, partition_cols: list[str] | tuple[str, ...] = ()) -> None:
     """Compaction job for small files (one file per trigger and task adds up):
     rewrite ``src`` into ``dst`` with files of about the advisory partition

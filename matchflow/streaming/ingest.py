@@ -18,6 +18,7 @@ Tests drive every query with ``trigger(availableNow=True)``.
 
 from __future__ import annotations
 
+import json
 import os
 from typing import Callable
 
@@ -29,6 +30,7 @@ from matchflow.functions.scalars import parse_ts
 from matchflow.operators import decode, marts, notify, state
 from matchflow.schemas import key_of, schema_of
 from matchflow.sources import sinks, topics
+from matchflow.streaming.buckets import BUCKETS, MATCH_MARTS, BucketStore
 
 ENTITIES = ("sports", "matchs", "users", "notifications")
 
@@ -163,55 +165,63 @@ def upsert_snapshot(root: str, key: str) -> Callable[[DataFrame, int], None]:
 
 
 def append_changes(root: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body of the changelog mode: append the batch's changed
-    keys (one row per key, as ``update`` mode emits them) under
-    ``changes/batch_id=<id>`` -- O(changes) per batch, idempotent on retry."""
+    """foreachBatch body of the changelog mode: append the cells of the batch's
+    changed keys (one row per key, as ``update`` mode emits them) under
+    ``changes/run=<query>/batch_id=<id>`` -- O(changes) per batch, idempotent on
+    retry; a job with a new checkpoint is another run and replaces nothing."""
 
     def run(changed: DataFrame, batch_id: int) -> None:
-        sinks.write_batch(changed, f"{root.rstrip('/')}/changes", batch_id)
+        sinks.write_batch(changed.withColumn("run", F.lit(run_of(changed))), f"{root.rstrip('/')}/changes", batch_id, by=("run",))
 
     return run
 
 
-def read_changelog_state(spark: SparkSession, root: str, key: str) -> DataFrame:
-    """Merge on read: the latest row per key over the newest compacted base
-    and the changes written after it (the W1 aggregate, map-side combined)."""
-    root = root.rstrip("/")
-    base_path = sinks.latest_snapshot_path(spark, f"{root}/base")
+def _changes(spark: SparkSession, root: str, base: int | None) -> DataFrame:
+    """Changes that aren't in a base version; which batches are is a small table beside it."""
     ch = spark.read.parquet(f"{root}/changes")
-    if base_path is not None:
-        v = int(base_path.rsplit("v=", 1)[1])
-        ch = spark.read.parquet(base_path).withColumn("batch_id", F.lit(v)).unionByName(
-            ch.where(F.col("batch_id") > v))
-    cols = [c for c in ch.columns if c != "batch_id"]
-    return state.latest_per_key(ch, key, "batch_id", cols=cols).drop("batch_id")
+    if base is None:
+        return ch
+    done = spark.read.schema("run string, upto long").json(f"{root}/folded/v={base}")
+    return ch.join(F.broadcast(done), "run", "left").where("upto IS NULL OR batch_id > upto").drop("upto")  # a row for each run of the job
+
+
+def _changelog_cells(spark: SparkSession, root: str, key: str, changes: DataFrame | None = None) -> DataFrame:
+    base_path = sinks.latest_snapshot_path(spark, f"{root}/base")
+    ch = changes if changes is not None else _changes(spark, root, int(base_path.rsplit("v=", 1)[1]) if base_path else None)
+    ch = ch.drop("run", "batch_id")
+    return state.combine_cells(ch.unionByName(spark.read.parquet(base_path)) if base_path else ch, key)
+
+
+def read_changelog_state(spark: SparkSession, root: str, key: str) -> DataFrame:
+    """Merge on read: the cells of the newest compacted base and of the changes
+    that it lacks, combined by key (one aggregate, map-side combined). Cells
+    carry their places in the log, so neither the order of batches nor their
+    numbers matter, which a new checkpoint begins anew: what a second job
+    replays doesn't undo anything newer."""
+    fold = state.folding(next(e for e in ENTITIES if key_of(e) == key))
+    return fold.finish(_changelog_cells(spark, root.rstrip("/"), key))
 
 
 def compact_changelog(spark: SparkSession, root: str, key: str) -> str | None:
-    """Fold the changelog into a new base version (``base/v=<last batch>``);
-    later reads skip the folded changes."""
+    """Fold the changelog into a new base version; later reads skip the folded
+    batches. The base counts only when its list of batches is there, which is written first."""
     root = root.rstrip("/")
-    ch = spark.read.parquet(f"{root}/changes")
-    last = ch.agg(F.max("batch_id")).first()[0]
-    if last is None:
+    upto = spark.read.parquet(f"{root}/changes").groupBy("run").agg(F.max("batch_id").cast("long").alias("upto")).collect()  # a row for each run
+    if not upto:
         return None
-    return sinks.write_snapshot(read_changelog_state(spark, root, key), f"{root}/base", last)
+    v = 1 + max(map(int, sinks.children(spark, f"{root}/base", "v=", complete=True)), default=-1)
+    folded = _changelog_cells(spark, root, key)
+    spark.createDataFrame([tuple(r) for r in upto], "run string, upto long").coalesce(1).write.mode("overwrite").json(f"{root}/folded/v={v}")
+    return sinks.write_snapshot(folded, f"{root}/base", v)
 
 
 def state_stream(spark: SparkSession, topics_root: str, entity: str, **src) -> DataFrame:
-    """Streaming latest state of one entity: field merge for matches (W2,
-    ST6), whole-record replace for the others (W1, ST5)."""
-    key = key_of(entity)
+    """Streaming cells of one entity's latest state: field merge for matches
+    (W2, ST6), whole-record replace for the others (W1, ST5)."""
     src.setdefault("starting", "earliest")  # state replays the whole log (ST5)
     src.setdefault("fail_on_data_loss", True)
     dec = decode.decode_json(topic_stream(spark, topics_root, entity, **src), schema_of(entity))
-    valid = dec.where(state.valid_key(key, nonzero=(entity == "matchs")))
-    order = (decode.TS, decode.PARTITION, decode.OFFSET)  # offsets only order one partition
-    if entity == "matchs":
-        merged = state.merge_partial(valid, order=order)
-        return merged.withColumns({c: F.col(c)[decode.OFFSET] for c in ("first_offset", "last_offset")})
-    cols = schema_of(entity).fieldNames()
-    return state.latest_per_key(valid.select(*cols, *order), key, order).drop(decode.TS, decode.PARTITION)
+    return state.folding(entity).cells(dec.where(state.valid_key(key_of(entity), nonzero=(entity == "matchs"))))
 
 
 def start_state(spark: SparkSession, topics_root: str, out_root: str, ckpt_root: str,
@@ -221,9 +231,15 @@ def start_state(spark: SparkSession, topics_root: str, out_root: str, ckpt_root:
     new state version per batch (simple readers, O(state) per batch);
     ``mode="changelog"`` appends only the changed keys (O(changes) per batch)
     and readers merge on read (``read_changelog_state``), with
-    ``compact_changelog`` folding old changes into a base."""
+    ``compact_changelog`` folding old changes into a base; ``mode="buckets"``
+    rewrites the buckets that a batch touches (``streaming.buckets``), keeps no
+    state of its own, and adds its changes to the marts."""
+    if mode == "buckets":
+        return _start_buckets(spark, topics_root, out_root, ckpt_root, entity, trigger, **src)
     s = state_stream(spark, topics_root, entity, **src)
     root = os.path.join(out_root, "state", entity)
+    if mode == "snapshot":
+        s = state.folding(entity).finish(s)
     body = upsert_snapshot(root, key_of(entity)) if mode == "snapshot" else append_changes(root)
     w = (s.writeStream.queryName(f"state_{entity}").outputMode("update")
           .foreachBatch(body)
@@ -231,14 +247,67 @@ def start_state(spark: SparkSession, topics_root: str, out_root: str, ckpt_root:
     return _trigger(w, trigger).start()
 
 
-def read_state(spark: SparkSession, out_root: str, entity: str) -> DataFrame | None:
-    """Current state of an entity, from either layout: the highest complete
-    snapshot version, or the changelog merged on read; None if neither is there."""
+def bucket_store(spark: SparkSession, out_root: str, entity: str, buckets: int = BUCKETS) -> BucketStore:
+    return BucketStore(spark, os.path.join(out_root, "state", entity, "buckets"), state.folding(entity), buckets,
+                       MATCH_MARTS if entity == "matchs" else None)
+
+
+def _start_buckets(spark: SparkSession, topics_root: str, out_root: str, ckpt_root: str, entity: str,
+                   trigger: dict | None, buckets: int = BUCKETS, **src) -> StreamingQuery:
+    src.setdefault("starting", "earliest")
+    src.setdefault("fail_on_data_loss", True)
+    dec = decode.decode_json(topic_stream(spark, topics_root, entity, **src), schema_of(entity))
+    valid = dec.where(state.valid_key(key_of(entity), nonzero=(entity == "matchs")))
+
+    def body(batch: DataFrame, batch_id: int) -> None:
+        store = bucket_store(batch.sparkSession, out_root, entity, buckets)
+        store.apply(batch, batch_id, run_of(batch))
+
+    w = (valid.writeStream.queryName(f"state_{entity}").foreachBatch(body)
+          .option("checkpointLocation", os.path.join(ckpt_root, f"state_{entity}")))
+    return _trigger(w, trigger).start()
+
+
+def run_of(batch: DataFrame) -> str:
+    """The id of the streaming query that a batch belongs to; it stays as long as its checkpoint."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+
+
+def state_version(spark: SparkSession, out_root: str, entity: str) -> dict | None:
+    """What ``read_state`` reads now, to be read again later: of the layouts that are there
+    the one written last (a job may have changed its mode); None if there is none."""
+    root = os.path.join(out_root, "state", entity)
+    found = []
+    if (v := bucket_store(spark, out_root, entity).version()) is not None:
+        found.append((sinks.modified(spark, f"{root}/buckets/manifest"), {"layout": "buckets", "version": v.number}))
+    if p := sinks.latest_snapshot_path(spark, root):
+        found.append((sinks.modified(spark, root), {"layout": "snapshot", "version": int(p.rsplit("v=", 1)[1])}))
+    if _exists(spark, f"{root}/changes"):
+        upto = spark.read.parquet(f"{root}/changes").groupBy("run").agg(F.max("batch_id").cast("long").alias("upto")).collect()
+        found.append((max(sinks.modified(spark, f"{root}/changes/run={r.run}") for r in upto) if upto else 0,
+                      {"layout": "changelog", "upto": {r.run or "": r.upto for r in upto}}))
+    return max(found, key=lambda x: x[0])[1] if found else None
+
+
+def read_state(spark: SparkSession, out_root: str, entity: str, version: dict | None = None) -> DataFrame | None:
+    """Current state of an entity, from the layout that was written last, or as it was at a
+    ``state_version``; None if there is none. (A changelog's version counts the batches up to
+    it; once these are compacted with later ones, its rows are the later ones'.)"""
+    version = version or state_version(spark, out_root, entity)
     root = os.path.join(out_root, "state", entity)
-    p = sinks.latest_snapshot_path(spark, root)
-    if p:
-        return spark.read.parquet(p)
-    return read_changelog_state(spark, root, key_of(entity)) if _exists(spark, f"{root}/changes") else None
+    if version is None:
+        return None
+    if version["layout"] == "buckets":
+        return bucket_store(spark, out_root, entity).read(version["version"])
+    if version["layout"] == "snapshot":
+        return spark.read.parquet(f"{root}/v={version['version']}")
+    upto = version["upto"]
+    if not sinks.latest_snapshot_path(spark, f"{root}/base"):
+        known = spark.createDataFrame(list(upto.items()), "run string, _upto long")
+        ch = spark.read.parquet(f"{root}/changes").withColumn("run", F.coalesce("run", F.lit("")))
+        ch = ch.join(F.broadcast(known), "run").where("batch_id <= _upto").drop("_upto")
+        return state.folding(entity).finish(_changelog_cells(spark, root, key_of(entity), ch))
+    return read_changelog_state(spark, root, key_of(entity))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -248,28 +317,44 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 # --- notifications -----------------------------------------------------------------------------
 
-def notifier_batch(users_fn: Callable[[], DataFrame | None], topics_root: str,
-                   strict: bool = False) -> Callable[[DataFrame, int], None]:
-    """ST7: each match event of the batch x the users as of now -> rendered
-    notifications appended to the notification topic (one directory per
-    batch, overwritten on retry; ids are deterministic)."""
+def pinned(spark: SparkSession, path: str, now: Callable[[], dict | None]) -> dict | None:
+    """The version under which a batch was begun: read from ``path``, or ``now()`` and put there
+    before anything else is done, so that a replay of the batch sees the same."""
+    if _exists(spark, f"{path}/_SUCCESS"):
+        return json.loads(spark.read.text(path).first()[0])
+    found = now()
+    if found is not None:
+        spark.createDataFrame([(json.dumps(found),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return found
+
+
+def notifier_batch(users_at: Callable[[dict], DataFrame], users_now: Callable[[], dict | None], topics_root: str, pins: str,
+                   strict: bool = False, kafka: str | None = None) -> Callable[[DataFrame, int], None]:
+    """ST7: each match event of the batch x the users at the version that the batch
+    is pinned to -> rendered notifications on the notification topic: Kafka's, or a
+    directory per batch, overwritten on retry. Ids are deterministic; a task's rows are a
+    partition of the directory topic, their offsets go up batch by batch."""
 
     def run(events: DataFrame, batch_id: int) -> None:
         if decode.is_empty(events):
             return
-        users = users_fn()
-        if users is None:  # the batch fails and is replayed: its events aren't lost
+        spark = events.sparkSession
+        version = pinned(spark, f"{pins}/run={run_of(events)}/batch={batch_id}", users_now)
+        if version is None:  # the batch fails and is replayed: its events aren't lost
             raise RuntimeError("no users table and no users topic yet")
         notes = notify.notifications_for(
-            events, users, event_key=decode.OFFSET, strict=strict,
+            events, users_at(version), event_key=decode.OFFSET, strict=strict,
             id_key=[decode.PARTITION, decode.OFFSET], also=(decode.OFFSET,),
             sent_at=F.date_format(F.col(decode.TS), "yyyy-MM-dd HH:mm:ss"))
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
         recs = notes.select(
-            F.lit(0).alias("partition"), F.col(decode.OFFSET).alias("offset"),  # the event's place: later events, later offsets
+            F.spark_partition_id().alias("partition"), (F.lit(batch_id << 33) + row).alias("offset"),
             F.current_timestamp().alias("timestamp"), F.col("notification_id").alias("key"),
             F.to_json(F.struct(*[F.col(c) for c in notes.columns if c != decode.OFFSET])).alias("value"))
-        topics.write_dir_topic(recs, topics_root, "notifications", mode="overwrite",
-                               batch_id=batch_id)
+        if kafka:
+            topics.write_kafka(recs.select("key", "value"), kafka, "notifications")
+        else:
+            topics.write_dir_topic(recs, topics_root, "notifications", mode="overwrite", batch_id=batch_id)
 
     return run
 
@@ -283,26 +368,35 @@ def start_notifier(spark: SparkSession, topics_root: str, out_root: str, ckpt_ro
     events = dec.where(state.valid_key("match_id") & decode.present("sport_id")
                        & F.col("sport_id").isNotNull())
 
-    def users_now():
-        # The users state table when the state query has written one; before
-        # that, the latest record per user straight from the users topic, so
-        # notifications never depend on which query started first.
-        st = read_state(spark, out_root, "users")
-        if st is not None:
-            return st
+    def records():
         if src.get("kafka"):
-            recs = topics.read_kafka(spark, src["kafka"], "users", stream=False)
-        elif _exists(spark, topics.topic_dir(topics_root, "users")):
-            recs = topics.read_dir_topic(spark, topics_root, "users")
-        else:
+            return topics.read_kafka(spark, src["kafka"], "users", stream=False)
+        if _exists(spark, topics.topic_dir(topics_root, "users")):
+            return topics.read_dir_topic(spark, topics_root, "users")
+        return None
+
+    def users_now():
+        # The users' state when the state query has written one; before that, the users
+        # topic up to its present offsets, so that notifications never depend on which query
+        # started first.
+        if (found := state_version(spark, out_root, "users")) is not None:
+            return found
+        recs = records()
+        if recs is None:
             return None
-        dec = decode.decode_json(recs, schema_of("users"), with_keys=False)
-        cols = schema_of("users").fieldNames()
-        return state.latest_per_key(dec.where(F.col("user_id").isNotNull()).select(*cols, decode.OFFSET),
-                                    "user_id", decode.OFFSET)
+        last = recs.groupBy(F.coalesce("partition", F.lit(0)).alias("p")).agg(F.max("offset").alias("o")).collect()  # a row for each partition
+        return {"layout": "topic", "upto": {str(r.p): r.o for r in last}}
+
+    def users_at(version):
+        if version["layout"] != "topic":
+            return read_state(spark, out_root, "users", version)
+        upto = spark.createDataFrame([(int(p), o) for p, o in version["upto"].items()], "_p int, _o long")
+        recs = records().withColumn("_p", F.coalesce("partition", F.lit(0))).join(F.broadcast(upto), "_p").where("offset IS NULL OR offset <= _o")
+        fold = state.folding("users")
+        return fold.finish(fold.cells(decode.decode_json(recs, schema_of("users"), with_keys=False)))
 
     w = (events.writeStream.queryName("notifier")
-               .foreachBatch(notifier_batch(users_now, topics_root, strict))
+               .foreachBatch(notifier_batch(users_at, users_now, topics_root, os.path.join(out_root, "notifier", "pins"), strict, src.get("kafka")))
                .option("checkpointLocation", os.path.join(ckpt_root, "notifier")))
     return _trigger(w, trigger).start()
 

@@ -173,3 +173,21 @@ def test_pipeline_state_keeps_keys_of_earlier_days(spark, scratch):
     assert set(got) == {1, big, 9}
     assert (got[1].statut, got[1].score_domicile, got[1].equipe_domicile, got[1].first_offset, got[1].last_offset) == ("terminé", 3, "A", 0, 2)
     assert got[big].statut == "programmé"
+
+
+def test_pipeline_orders_partitions_by_time(spark, scratch):
+    """Batch 0 has (partition 0, offset 10), batch 1 the newer (partition 1, offset 3) and a late
+    full record under an update that came before it."""
+    from matchflow.plans.pipeline import run_pipeline
+    from matchflow.sources import sinks
+
+    def day(rows):
+        return spark.createDataFrame([(json.dumps(m).encode(), p, o, t) for p, o, t, m in rows], "value binary, partition int, offset long, t string") \
+            .selectExpr("CAST(NULL AS BINARY) AS key", "value", "'matchs' AS topic", "partition", "offset", "CAST(t AS TIMESTAMP) AS timestamp")
+    one = [(0, 10, "2024-01-01 00:00:10", FULL), (1, 2, "2024-01-01 00:00:30", {"match_id": 2, "statut": "en cours"})]
+    two = [(1, 3, "2024-01-01 00:00:20", {"match_id": 1, "statut": "terminé", "score_domicile": 5}), (0, 1, "2024-01-01 00:00:01", dict(FULL, match_id=2))]
+    for k, rows in enumerate((one, two, two)):
+        paths = run_pipeline(spark, day(rows), scratch, batch_id=min(k, 1))
+    got = {r.match_id: r for r in spark.read.parquet(sinks.latest_snapshot_path(spark, paths["state"])).collect()}
+    assert (got[1].statut, got[1].score_domicile, got[1].lieu) == ("terminé", 5, "L")
+    assert (got[2].statut, got[2].lieu, got[2].last_offset) == ("en cours", "L", 2)

@@ -228,3 +228,68 @@ def test_supervise_sees_the_second_query_fail(spark, scratch):
     assert ingest.supervise(start, max_restarts=2, delay_s=0.1, timeout=8) == 1
     for q in spark.streams.active:
         q.stop()
+
+
+def _wire(spark, rows):
+    import json
+    return spark.createDataFrame([(p, o, t, json.dumps(m)) for p, o, t, m in rows], "partition int, offset long, t string, value string") \
+        .selectExpr("partition", "offset", "CAST(t AS TIMESTAMP) AS timestamp", "value")
+
+
+def test_changelog_of_two_jobs_and_a_compaction(spark, scratch):
+    """A job with a new checkpoint, after a compaction: its rows are read, and those it
+    replays don't undo newer ones."""
+    root, out = os.path.join(scratch, "t"), os.path.join(scratch, "o")
+    full = {"match_id": 5, "sport_id": 1, "sport_nom": "F", "statut": "old"}
+    start = lambda c: ingest.start_state(spark, root, out, os.path.join(scratch, c), "matchs", trigger=ONCE, max_files_per_trigger=1).awaitTermination()
+    status = lambda: [r.statut for r in ingest.read_state(spark, out, "matchs").collect()]
+    for i, s in enumerate(("old", "old2")):
+        topics.write_dir_topic(_wire(spark, [(0, i, f"2024-01-01 00:0{i}:00", {**full, "statut": s})]).coalesce(1), root, "matchs")
+        start("c")
+    assert status() == ["old2"] and ingest.compact_changelog(spark, os.path.join(out, "state", "matchs"), "match_id")
+    assert status() == ["old2"]
+    topics.write_dir_topic(_wire(spark, [(1, 0, "2024-01-01 01:00:00", {**full, "statut": "new"})]).coalesce(1), root, "matchs")
+    start("other")
+    assert status() == ["new"]
+    assert ingest.compact_changelog(spark, os.path.join(out, "state", "matchs"), "match_id")
+    start("third")
+    assert status() == ["new"]
+
+
+def test_state_is_read_from_the_layout_written_last(spark, scratch):
+    root, out = os.path.join(scratch, "t"), os.path.join(scratch, "o")
+    full = {"match_id": 5, "sport_id": 1, "sport_nom": "F"}
+    for i, mode in enumerate(("snapshot", "changelog", "buckets")):
+        topics.write_dir_topic(_wire(spark, [(0, i, f"2024-01-01 00:0{i}:00", {**full, "statut": mode})]), root, "matchs")
+        ingest.start_state(spark, root, out, os.path.join(scratch, mode), "matchs", trigger=ONCE, mode=mode).awaitTermination()
+        assert [r.statut for r in ingest.read_state(spark, out, "matchs").collect()] == [mode]
+
+
+@pytest.mark.parametrize("mode", [None, "changelog", "buckets"])
+def test_a_replayed_batch_sees_the_users_it_was_begun_with(spark, scratch, monkeypatch, mode):
+    """Users change between a batch's failure and its replay; the notifications don't."""
+    from pyspark.errors import StreamingQueryException
+    root, out, ck = (os.path.join(scratch, x) for x in ("t", "o", "c"))
+
+    def users(offset, *ids):
+        topics.write_dir_topic(_wire(spark, [(0, offset + i, "2024-01-01 00:00:00", {"user_id": u, "sports_favoris": [1]}) for i, u in enumerate(ids)]), root, "users")
+        if mode:
+            ingest.start_state(spark, root, out, ck, "users", trigger=ONCE, mode=mode).awaitTermination()
+    users(0, 3, 4)
+    topics.write_dir_topic(_wire(spark, [(0, i, "2024-01-01 00:00:00", {"match_id": i + 1, "sport_id": 1, "sport_nom": "F", "statut": "rappel"}) for i in range(3)]), root, "matchs")
+    write = topics.write_dir_topic
+
+    def failing(*a, **k):
+        write(*a, **k)
+        raise RuntimeError("lost after the write")
+    monkeypatch.setattr(topics, "write_dir_topic", failing)
+    with pytest.raises(StreamingQueryException):
+        ingest.start_notifier(spark, root, out, ck, trigger=ONCE).awaitTermination()
+    monkeypatch.setattr(topics, "write_dir_topic", write)
+    users(2, 7)
+    ingest.start_notifier(spark, root, out, ck, trigger=ONCE).awaitTermination()
+    got = topics.read_dir_topic(spark, root, "notifications")
+    assert got.count() == 6 and got.select("partition", "offset").distinct().count() == 6
+    topics.write_dir_topic(_wire(spark, [(0, 9, "2024-01-01 00:00:00", {"match_id": 9, "sport_id": 1, "sport_nom": "F", "statut": "rappel"})]), root, "matchs")
+    ingest.start_notifier(spark, root, out, ck, trigger=ONCE).awaitTermination()
+    assert topics.read_dir_topic(spark, root, "notifications").count() == 9  # the next batch sees all three
