@@ -174,8 +174,14 @@ def threshold_branch(products: DataFrame, threshold: float = K.PRICE_THRESHOLD,
 
     The predicate is pushed into the scan (row groups whose max price is
     below the threshold are skipped) and a global count of the survivors is
-    taken with map-side partial aggregation: one row out, no driver loop."""
+    taken with map-side partial aggregation: one row out, no driver loop.
+    Where only the branch is asked for, ``reaches`` looks for one row."""
     hits = products.where(F.col(price_col) >= F.lit(threshold))
     a1, a2 = K.BRANCH_LABELS
     return hits.agg(F.count(F.lit(1)).alias("lignes")).select(
         F.when(F.col("lignes") > 0, F.lit(a1)).otherwise(F.lit(a2)).alias("branche"), "lignes")
+
+
+def reaches(products: DataFrame, threshold: float = K.PRICE_THRESHOLD, price_col: str = "prix") -> bool:
+    """Whether any row reaches the threshold; the scan ends with the first found."""
+    return not products.where(F.col(price_col) >= F.lit(threshold)).limit(1).isEmpty()

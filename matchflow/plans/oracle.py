@@ -252,6 +252,13 @@ FROM match_log"""
   COUNT(*) AS nombre_matchs
 FROM (SELECT TRY_CAST(date_match AS TIMESTAMP) AS ts FROM match_log) GROUP BY 1, 2"""
     s["stream_state"] = s["state_buckets"] = s["stream_state_processor"] = s["merge_partial"]
+    s["state_sports"] = _with(_SPORTS) + "SELECT * FROM sports"
+    s["state_users"] = _with(_USERS) + """SELECT user_id, prenom, nom, email, array_to_string(sports_favoris, ',') AS sports_favoris,
+  notification_active FROM users"""
+    s["state_notifications"] = _with(_NOTES) + """SELECT CAST(notification_id AS VARCHAR) AS notification_id, user_id, match_id, type, contenu,
+  date_envoi, statut FROM notifications"""
+    s["table_counts_stream"] = s["table_counts"]
+    s["stats_notifications_sketched"] = s["stats_notifications"]
     for name in ("matches_per_status", "matches_per_month"):
         s[f"{name}_delta"] = s[name]
     s["stats_matchs_delta"] = s["stats_matchs_latest"]
@@ -289,6 +296,7 @@ GROUP BY raison"""
   CASE WHEN lieu = '4-NOT SPECIFIED' THEN 'TBD' ELSE strftime(date_match, '%Y-%m-%d %H:%M:%S') END AS date_match,
   lieu, {ins} AS statut
 FROM feed"""
+    s["feed_normalize_variant"] = s["feed_normalize"]
     s["status_map"] = _with(m, _FEED) + f"""SELECT fid AS match_id, code, {ins} AS statut_insert, {upd} AS statut_update
 FROM feed"""
 

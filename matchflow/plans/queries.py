@@ -9,13 +9,14 @@ the same way.
 
 from __future__ import annotations
 
+import functools
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchflow.functions.scalars import parse_ts_ntz, score_or_zero
-from matchflow.operators import decode, marts, notify, serve, state
+from matchflow.operators import decode, marts, notify, serve, sketches, state
 from matchflow.schemas import MATCH
 from matchflow.session import scratch_path
 from matchflow.sources import feed as feedsrc
@@ -437,6 +438,62 @@ def q_stream_ingest(spark, d):
     return spark.read.parquet(f"{out}/matchs").groupBy("year", "month", "day").agg(F.count(F.lit(1)).alias("nombre_matchs"))
 
 
+@fx.per_session
+def _stores(spark, d):
+    """Stores of the other entities: each topic has an older record of every key, in another
+    partition, and the present one; two micro-batches at least."""
+    root, out = scratch_path(spark, "entity-stores"), {}
+    for entity, table, stale in (("sports", fx.sports(spark, d), "nom"), ("users", fx.users(spark, d), "prenom"), ("notifications", fx.notifications(spark, d), "contenu")):
+        key = table.columns[0]
+        for p, (rows, at) in enumerate(((table, "2024-02-02 00:00:00"), (table.withColumn(stale, F.lit("ancien")), "2024-01-01 00:00:00"))):
+            topics.write_dir_topic(rows.select(F.lit(p).alias("partition"), F.col(key).cast("long").alias("offset"), F.lit(at).cast("timestamp").alias("timestamp"),
+                                               F.to_json(F.struct("*")).alias("value")), f"{root}/topics", entity)
+            ingest.start_state(spark, f"{root}/topics", root, f"{root}/ckpt", entity, trigger={"availableNow": True}, mode="buckets", buckets=4).awaitTermination()
+        out[entity] = ingest.bucket_store(spark, root, entity)
+    return out
+
+
+@query("state_sports")
+def q_state_sports(spark, d):
+    """ST5: latest sports."""
+    return _stores(spark, d)["sports"].read().drop(decode.OFFSET)
+
+
+@query("state_users")
+def q_state_users(spark, d):
+    """ST5: latest users."""
+    return _stores(spark, d)["users"].read().drop(decode.OFFSET, "date_inscription").withColumn("sports_favoris", F.array_join("sports_favoris", ","))
+
+
+@query("state_notifications")
+def q_state_notifications(spark, d):
+    """ST5: latest notifications."""
+    return _stores(spark, d)["notifications"].read().drop(decode.OFFSET)
+
+
+@query("table_counts_stream")
+def q_table_counts_stream(spark, d):
+    """A16 from the sizes that the state jobs observed batch by batch."""
+    stores = {**_stores(spark, d), "matchs": _match_store(spark, d)}
+    parts = [s.sizes().agg(F.sum(F.col("inserted") - F.col("removed")).alias("n")).select(F.lit(name).alias("collection"), "n") for name, s in stores.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query("stats_notifications_sketched")
+def q_stats_notifications_sketched(spark, d):
+    """A5 from distinct sketches per day and type that three batches left."""
+    path, n = scratch_path(spark, "sketches"), fx.notifications(spark, d)
+    for batch in range(3):
+        sketches.write_sketches(n.where(F.pmod(F.xxhash64("notification_id"), F.lit(3)) == batch), path, batch)
+    return sketches.read_distinct(spark, path)
+
+
+@query("feed_normalize_variant")
+def q_feed_normalize_variant(spark, d):
+    """S12 with variants: only the needed paths of each document are read."""
+    return feedsrc.normalize_variants(feedsrc.feed_variants(feedsrc.feed_documents(fx.matchs(spark, d))))
+
+
 @fx.per_session
 def _match_store(spark, d):
     """The standing state that the lookups and delta marts read: the topic, in two partitions, folded

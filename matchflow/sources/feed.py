@@ -81,3 +81,36 @@ def status_codes(items: DataFrame) -> DataFrame:
     return items.select("match_id", F.col("status").alias("code"),
                         status_label(code, "insert").alias("statut_insert"),
                         status_label(code, "update").alias("statut_update"))
+
+
+# --- documents with fields that nobody declared --------------------------------------------------
+
+#: Paths of a feed match that are read, with their types.
+FEED_PATHS = {"utcDate": ("$.utcDate", "string"), "status": ("$.status", "string"), "venue": ("$.venue", "string"),
+              "home": ("$.homeTeam.name", "string"), "away": ("$.awayTeam.name", "string"),
+              "home_goals": ("$.score.fullTime.home", "int"), "away_goals": ("$.score.fullTime.away", "int")}
+
+
+def feed_variants(docs: DataFrame, doc_col: str = "doc", id_base: str | None = "id_base") -> DataFrame:
+    """Documents -> (match_id, v): each match as it came, as a variant. A document that is no JSON,
+    or whose ``matches`` is no array, has no matches."""
+    base = F.col(id_base) if id_base else F.lit(FEED_FIRST_ID)
+    parsed = docs.select(base.alias("_base"), F.try_parse_json(F.col(doc_col)).alias("_d"))
+    items = F.try_variant_get("_d", "$.matches", "array<variant>")
+    return parsed.select("_base", F.posexplode(items).alias("_pos", "v")).select((F.col("_base") + F.col("_pos")).alias("match_id"), "v")
+
+
+def normalize_variants(variants: DataFrame) -> DataFrame:
+    """Feed matches -> wire match rows, like ``normalize_feed``, reading only the paths needed: a
+    missing part or one of another type is null, parts nobody declared are left alone."""
+    at = {n: F.try_variant_get("v", path, kind) for n, (path, kind) in FEED_PATHS.items()}
+    team = lambda n: F.struct(at[n].alias("name"))
+    goals = F.struct(F.struct(at["home_goals"].alias("home"), at["away_goals"].alias("away")).alias("fullTime"))
+    return normalize_feed(variants.select("match_id", at["utcDate"].alias("utcDate"), at["status"].alias("status"), at["venue"].alias("venue"),
+                                          team("home").alias("homeTeam"), team("away").alias("awayTeam"), goals.alias("score")))
+
+
+def feed_schema(variants: DataFrame) -> DataFrame:
+    """One row (matches, shape): how many matches there are and the schema of all of them
+    together, undeclared parts included (an aggregate, combined in the tasks)."""
+    return variants.agg(F.count("v").alias("matches"), F.schema_of_variant_agg("v").alias("shape"))

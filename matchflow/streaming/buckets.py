@@ -15,13 +15,14 @@ the marts take their deltas: -1 for the old row, +1 for the new one.
     root/data/v=<version>/bucket=<b>/...   rows of one bucket, sorted by key, with Bloom filters
     root/manifest/v=<version>/...          bucket, version, buckets, run, batch
     root/marts/<name>/v=<version>/...      what the version adds to a mart
+    root/sizes/v=<version>/...             rows it inserted, updated and removed
 """
 
 from __future__ import annotations
 
 from typing import Callable, Mapping, NamedTuple, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from matchflow.functions import constants as K
@@ -30,6 +31,7 @@ from matchflow.operators.state import Folding, combining
 from matchflow.sources import sinks
 
 BUCKETS = 64
+_SIZES = "inserted long, updated long, removed long"
 _MANIFEST = "bucket int, version long, buckets int, run string, batch long"
 
 
@@ -121,14 +123,16 @@ class BucketStore:
         try:
             near = [b for (b,) in gone.select(self._bucket(old.buckets).alias("b")).distinct().collect()]
             found = self._cells(old, near)
-            hit = found.join(gone, self.fold.key, "left_semi").select(self._bucket(old.buckets).alias("b")).distinct() if found is not None else None
-            touched = [b for (b,) in hit.collect()] if hit is not None else []
+            if found is None:
+                return old
+            hits = found.join(gone, self.fold.key, "left_semi").groupBy(self._bucket(old.buckets).alias("b")).count().persist()
+            touched = [b for b, _ in hits.collect()]
             if not touched:
                 return old
             found = self._cells(old, touched)
             dead = self._with_row(found.join(gone, self.fold.key, "left_semi"), "_before")
             dead = dead.select("_before", F.lit(None).cast(dead.schema["_before"].dataType).alias("_after"))
-            return self._publish(self._unchanged(found.join(gone, self.fold.key, "left_anti")), old._replace(number=old.number + 1), touched, dead)
+            return self._publish(self._unchanged(found.join(gone, self.fold.key, "left_anti")), old._replace(number=old.number + 1), touched, dead, hits.agg(F.sum("count")).first()[0])
         finally:
             gone.unpersist()
 
@@ -138,12 +142,17 @@ class BucketStore:
         rows = self._unchanged(self._cells(old, sorted(old.holds)))
         return self._publish(rows, old._replace(number=old.number + 1, buckets=buckets, holds={}), range(buckets))
 
-    def _publish(self, rows: DataFrame, v: Version, touched: Sequence[int], changed: DataFrame | None = None) -> Version:
+    def _publish(self, rows: DataFrame, v: Version, touched: Sequence[int], changed: DataFrame | None = None, removed: int = 0) -> Version:
         """Write the touched buckets and the marts' deltas, then the manifest."""
         data, key = f"{self.root}/data/v={v.number}", self.fold.key
         # a bucket's rows lie together, a large one's in several files, sorted by key
         out = rows.withColumn("bucket", self._bucket(v.buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", key)
+        seen = Observation()
+        out = out.observe(seen, F.count_if(F.col("_changed") & F.col("_before").isNull()).alias("inserted"),
+                          F.count_if(F.col("_changed") & F.col("_before").isNotNull()).alias("updated"))
         out.write.mode("overwrite").partitionBy("bucket").option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(data)
+        sizes = [(seen.get["inserted"], seen.get["updated"], removed)]
+        self.spark.createDataFrame(sizes, _SIZES).coalesce(1).write.mode("overwrite").json(f"{self.root}/sizes/v={v.number}")
         filled = [int(b) for b in sinks.children(self.spark, data, "bucket=")]
         v = v._replace(holds={b: n for b, n in v.holds.items() if b not in set(touched)} | dict.fromkeys(filled, v.number))
         if changed is None and filled and self.marts:
@@ -201,6 +210,13 @@ class BucketStore:
         """Put the deltas so far into one table, which later reads start from."""
         self.mart(name).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/marts/{name}/base={self.version().number}")
 
+    def sizes(self) -> DataFrame:
+        """(v, inserted, updated, removed) of every committed version, counted while it was written;
+        what was inserted less what was removed is the state's size, without reading the state."""
+        now = self.version()
+        rows = self.spark.read.schema(_SIZES + ", v int").json(f"{self.root}/sizes")
+        return rows.where(F.col("v") <= (now.number if now else -1))
+
     # --- reading --------------------------------------------------------------------------
 
     def read(self, number: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame | None:
