@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchflow.llm.common import written
+
 WIDTH = 8  # a power of two
 LITERALS = 4  # tokens of an item's window that must not be placeholders
 #: Item windows up to which they are sent to every task; more are joined by a shuffle.
@@ -107,6 +109,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     found = found.withColumn("way", F.explode(F.expr("IF(typed AND _typed, array(0, 1), array(1))")))
     diagonal = found.groupBy("doc", "item", "text_hash", "way", (F.col("pos") - F.col("at")).alias("shift")) \
         .agg(F.collect_set("at").alias("ats"))  # at most the item's windows
+    diagonal = written(diagonal, "diagonals")  # read twice; the texts are taken apart once
     about = windows.groupBy("item", "item_tokens", "item_types").agg(F.countDistinct("at").alias("n_windows")) \
         .withColumn("text_hash", F.xxhash64("item_tokens"))
     words = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
