@@ -28,7 +28,7 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 WORD = re.compile("[^\t-\r \x85\xa0  -     　]+")
 #: Latin letters, and ASCII marks behind them that are tokens of their own (an apostrophe may not be).
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
-CACHE = 100_000  # words whose ids a worker remembers in each of two generations, and as many stems
+CACHE = 300_000  # words whose ids a worker remembers in each of two generations, and as many stems
 SEQUENCE_BITS = 36
 
 
@@ -45,20 +45,34 @@ def _bytes_as_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-class Encoder(dict):
+class _Words(dict):
+    """Ids of words; one not met yet is looked for in the generation before, or encoded."""
+
+    def __init__(self, encode, before: dict):
+        super().__init__()
+        self.encode, self.before = encode, before
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        self[word] = ids
+        return ids
+
+
+class Encoder:
     """Ids (little-endian unsigned 32-bit) of texts under a tokenizer that splits at white
     space, so that a text's ids are those of its words, which are remembered. A word of Latin
     letters and marks has the ids of its stem in lower case and those of the marks."""
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _bytes_as_letters()
         self.stems: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.old_stems: dict[str, bytes] = {}
+        self.words = _Words(self.word, {})
 
     def _pack(self, ids) -> bytes:
         out = array("I", ids)
@@ -80,30 +94,25 @@ class Encoder(dict):
             found = self.stems[stem] = self._pack([t.id for t in self.model.tokenize(text)])
         return found
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:  # words not met since the last time are forgotten
-            self.old = dict(self)
-            self.clear()
-        known = self.old.get(word)
-        if known is not None:
-            self[word] = known
-            return known
+    def word(self, word: str) -> bytes:
         m = PLAIN.fullmatch(word)
         if m is None:
-            ids = self._whole(word)
-        else:
-            ids = self._stem(m[1].lower())
-            if m[2]:
-                marks = self.stems.get(m[2])
-                if marks is None:
-                    marks = self.stems[m[2]] = self._whole(m[2])
-                ids += marks
-        self[word] = ids
+            return self._whole(word)
+        ids = self._stem(m[1].lower())
+        if m[2]:
+            marks = self.stems.get(m[2])
+            if marks is None:
+                marks = self.stems[m[2]] = self._whole(m[2])
+            ids += marks
         return ids
 
     def ids(self, text: str) -> bytes:
         words = WORD.findall(text) if ODD_SPACE.search(text) else text.split()
-        return b"".join(map(self.__getitem__, words))
+        out = b"".join(map(self.words.__getitem__, words))
+        if len(self.words) >= CACHE:  # words not met since the last time are forgotten
+            before, self.words.before = self.words, {}
+            self.words = _Words(self.word, before)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
