@@ -33,6 +33,8 @@ WIDTH = 2 * SIZE + 1
 DEPTH = 8  # bytes of the longest prefix, and of the context that slides from there to a term's end
 DISCOUNT = 0.75
 SPAN = 12  # terms in a window
+#: Labelled rows up to which they are sent to the texts; beyond that the texts are joined by a shuffle.
+BROADCAST_LABELS = 2_000_000
 FEATURES = ("top_term", "top_ratio", "mean_ratio")
 _END = np.uint64(0xA5A5A5A5A5A5A5A5)
 
@@ -211,6 +213,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndar
     return w
 
 
+def _fewer(docs: DataFrame) -> DataFrame:
+    """The rows in a quarter as many tasks, two for each core at least: what a counting task
+    hands over is a table of fixed size, so larger tasks hand over less for each row."""
+    parts, cores = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
+    return docs.coalesce(max(1, min(parts, max(2 * cores, parts // 4))))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "toxic", fit_rows: int = 20_000) -> DataFrame:
     """(id, held_out, n_terms, mean_ratio, top_ratio, top_term, score, predicted) of every row.
@@ -223,9 +232,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     gives a row. Other columns are not read."""
     known = labels.where(f"{id_col} IS NOT NULL AND {label_col} IS NOT NULL").groupBy(id_col).agg(F.max(label_col).cast("int").alias("_toxic"))
     known = known.select(F.col(id_col).alias("_id"), "_toxic", fold(id_col).alias("_fold"))
-    taught = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(fold("_id").isin(1, 2, 3)) \
-        .join(known.where("_fold IN (1, 2, 3)").drop("_fold"), "_id")
-    models = Models(class_counts(taught, "_text", "_toxic").toArrow(), shared_counts(docs, text_col).toArrow())
+    teaching = written(known.where("_fold IN (1, 2, 3)").drop("_fold"), "toxic-labels")
+    teaching = F.broadcast(teaching) if teaching.count() <= BROADCAST_LABELS else teaching
+    fewer = _fewer(docs)
+    taught = fewer.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(fold("_id").isin(1, 2, 3)).join(teaching, "_id")
+    models = Models(class_counts(taught, "_text", "_toxic").toArrow(), shared_counts(fewer, text_col).toArrow())
     found = written(log_ratios(docs, models, id_col, text_col), "toxic-ratios")
     sample = found.join(known.where("_fold = 4"), found[id_col] == F.col("_id")) \
         .select(*FEATURES, "_toxic", "_id").orderBy(F.xxhash64("_id"), "_id", *FEATURES).limit(fit_rows).toArrow()
