@@ -41,7 +41,8 @@ def long_lines(text: str, min_chars: int) -> Iterator[tuple[int, str]]:
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(line, id, no): every occurrence of a line."""
+    """(line, id, copy, no): every occurrence of a line; copy is a hash of the document's text,
+    which tells apart documents that repeat an id."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch) -> Iterator[dict]:
@@ -51,9 +52,11 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
                 line.append(line_hash(s))
                 of.append(k)
                 no.append(i)
-        yield {"line": line, "id": names.take(pa.array(of, pa.int64())), "no": no}
+        of = pa.array(of, pa.int64())
+        yield {"line": line, "id": names.take(of), "copy": batch.column(2).take(of), "no": no}
 
-    return map_rows(docs.where(F.col(id_col).isNotNull()).select(id_col, text_col), f"line long, id {kind}, no int", run)
+    held = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col), F.xxhash64(text_col))
+    return map_rows(held, f"line long, id {kind}, copy long, no int", run)
 
 
 class Points:
@@ -200,8 +203,9 @@ def within(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
 def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> DataFrame:
     """The pairs within ``edits`` edits. The lines' texts are read from their first documents."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    of = needed.join(first, "line").groupBy(F.col("first.id").alias("_id")).agg(F.collect_set("line").alias("_lines"))  # lines of one document
-    held = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(of, "_id").select("_text", "_lines")
+    of = needed.join(first, "line").groupBy(F.col("first.id").alias("_id"), F.col("first.copy").alias("_copy")).agg(F.collect_set("line").alias("_lines"))  # lines of one document
+    held = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_copy"), F.col(text_col).alias("_text")) \
+        .join(of, ["_id", "_copy"]).select("_text", "_lines")
 
     def texts(batch) -> Iterator[dict]:
         line, out = [], []
@@ -232,31 +236,35 @@ def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, id_col: str, t
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, drop array<int>): the numbers of the lines of a document that repeat an earlier one."""
+    """(id, copy, drop array<int>): the numbers of the lines of a document that repeat an earlier one."""
     seen = written(occurrences(docs, id_col, text_col, min_chars), "line-occurrences")
-    lines = written(seen.groupBy("line").agg(F.min(F.struct("id", "no")).alias("first"), F.count("*").alias("times")), "lines")
+    lines = written(seen.groupBy("line").agg(F.min(F.struct("id", "copy", "no")).alias("first"), F.count("*").alias("times")), "lines")
     pairs = written(candidates(docs, id_col, text_col, edits, min_chars), "line-pairs")
     root = components(verified(pairs, docs, lines, id_col, text_col, edits, min_chars), "line-classes")
     lines = lines.join(root.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
     classes = lines.groupBy("root").agg(F.min("first").alias("kept"), F.sum("times").alias("times")).where("times > 1")
     keep = written(lines.select("line", "root").join(classes.select("root", "kept"), "root").select("line", "kept"), "kept-lines")
     # a class whose occurrences all lie in one place (rows that repeat a document) drops nothing
-    return seen.join(keep, "line").where("NOT (id = kept.id AND no = kept.no)").groupBy("id").agg(F.collect_set("no").alias("drop"))
+    return seen.join(keep, "line").where("NOT (id = kept.id AND copy = kept.copy AND no = kept.no)").groupBy("id", "copy").agg(F.collect_set("no").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of all rows, with the repeated lines cut out of the text, and n_lines and
-    n_removed (long) behind them.
+    n_removed (long) behind them (in place of columns that docs has under these names).
 
     Only lines of ``min_chars`` characters or more, blanks at their ends not counted, repeat
     anything; the others, and blank ones, stay. A null text stays null, with no lines. Rows
     with a null id stay as they are and nothing repeats them. Rows that repeat an id and a text
-    are one document: each loses the same lines. An empty table gives no rows."""
-    drop = repeated_lines(docs, id_col, text_col, edits, min_chars).select(F.col("id").alias("_drop_id"), F.col("drop").alias("_drop"))
-    out = docs.join(drop, F.col(id_col) == F.col("_drop_id"), "left")
-    every = F.split(F.col(text_col), "\n", -1)
-    kept = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.filter(every, lambda _, i: ~F.array_contains(F.col("_drop"), i)), "\n"))
-    return out.select(*[F.col(c) if c != text_col else kept.alias(c) for c in docs.columns],
-                      F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(every)).cast("long").alias("n_lines"),
-                      F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_removed"))
+    are one document: each loses the same lines. Rows that repeat an id with other texts are
+    documents of their own, in the order of a hash of their texts. An empty table gives no rows."""
+    own = ("n_lines", "n_removed")
+    drop = repeated_lines(docs, id_col, text_col, edits, min_chars)
+    text = F.col("row")[text_col]
+    out = docs.select(F.struct(*[F.col(c) for c in docs.columns if c not in own]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("copy")) \
+        .join(drop, ["id", "copy"], "left")
+    every = F.split(text, "\n", -1)
+    kept = F.when(F.col("drop").isNull(), text).otherwise(
+        F.array_join(F.filter(every, lambda _, i: ~F.array_contains(F.col("drop"), i)), "\n"))
+    return out.select(*[F.col("row")[c].alias(c) if c != text_col else kept.alias(c) for c in docs.columns if c not in own],
+                      F.when(text.isNull(), F.lit(0)).otherwise(F.size(every)).cast("long").alias("n_lines"),
+                      F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed"))

@@ -30,7 +30,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 @pytest.fixture()
 def odd(spark):
-    extra = {c: F.lit(1) for c in ("n", "sig", "rep", "token", "root", "label", "id", "spans", "score", "n_words", "item", "pos", "window", "_text", "drop", "tails", "grade", "line")}
+    extra = {c: F.lit(1) for c in ("n", "sig", "rep", "token", "root", "label", "id", "spans", "score", "n_words", "item", "pos", "window", "_text", "drop", "tails", "grade", "line", "_leak", "_row", "_id", "_drop", "n_lines", "n_removed", "copy")}
     return spark.createDataFrame(ODD, SCHEMA).withColumns(extra)
 
 
@@ -312,6 +312,15 @@ def test_line_join_equals_brute_force(spark, odd, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_lines_of_a_repeated_id_with_another_text_stay(spark):
+    a, b, c = "A line that two documents hold.", "A line that only one of them holds.", "Another, of a third text, alone."
+    rows = [(1, a), (5, a), (5, f"{b}\n{a}"), (5, c), (5, c), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: F.lit(1) for x in ("_drop", "n_lines", "n_removed", "id", "copy", "drop", "row", "_id", "_copy")})
+    got = lines.dedup_lines(docs)
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted([("1", a), ("5", ""), ("5", b), ("5", c), ("5", c), ("None", a)])
+    assert got.where("n_removed = 1").count() == 2 and set(got.columns) == set(docs.columns)
+
+
 def test_banded_distance():
     rng = random.Random(6)
     pairs = [("".join(rng.choice("abé") for _ in range(rng.randint(6, 30))), "".join(rng.choice("abé") for _ in range(rng.randint(6, 30)))) for _ in range(200)]
