@@ -43,7 +43,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, as it stands or asked anew."""
     found = decontam.contaminated(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    held = docs.select(F.col("doc_id").alias("_id"), F.struct("*").alias("_row"))
+    return held.join(found, F.col("_id").eqNullSafe(F.col("_leak")), "left_anti").select("_row.*")
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
