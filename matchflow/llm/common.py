@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -209,6 +211,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 64) ->
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")) \
         .union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -229,6 +233,13 @@ def terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return Spans(lower_ascii(data)).hash(starts, ends), doc
 
 
+def apart(spans: list[tuple], base: list[tuple]) -> list[tuple]:
+    """Those of ``spans`` that overlap none of ``base``, both (start, end, ...); base by start."""
+    starts, reach = [b[0] for b in base], list(accumulate((b[1] for b in base), max))
+    at = lambda s: bisect_left(starts, s[1])
+    return [s for s in spans if not (i := at(s)) or reach[i - 1] <= s[0]]
+
+
 def fold(id_col: str) -> F.Column:
     """crc32 of the id as text, modulo 5."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5

@@ -11,12 +11,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from heapq import merge
+from operator import itemgetter
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from matchflow.llm.common import column, map_rows
+from matchflow.llm.common import apart, column, map_rows
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -38,14 +40,15 @@ charlie thomas robert daniel andrew jessica ashley orange banana cookie cheese c
 the and for you are with this that from have what when your mother father sister brother house
 water money music happy angel lucky star blue green black white silver golden purple yellow""".split()
 RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-LONGEST = max(map(len, COMMON))
 # Rows of a keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
 LEET = str.maketrans("4@301!$57", "aaeoiisst")
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])"
                   r"|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
-REPEAT = re.compile(r"(.{1,8}?)\1+", re.S)
+UNIT = 8  # characters of a repeat's unit at most
+WORDS = 50_000  # words of the corpus that a guesser tries, most common first
+_END = itemgetter(1)
 SWITCH = math.log10(2)  # each further span doubles the guesses
 
 
@@ -58,47 +61,88 @@ def _alphabet(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
 
-def matches(value: str) -> list[tuple[int, int, str, float]]:
-    """(start, end, kind, log10 guesses) of every span that beats brute force."""
-    found, n, low = [], len(value), value.lower()
-    plain = low.translate(LEET) if len(low.translate(LEET)) == n == len(low) else low
-    if len(low) == n:
-        for i in range(n):
-            for j in range(i + 3, min(n, i + LONGEST) + 1):
-                for w, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
-                    if w in RANK:
-                        case = 0.0 if value[i:j] == low[i:j] else SWITCH
-                        found.append((i, j, "word", math.log10(RANK[w] + 1) + extra + case))
-                        break
-    for i in range(n):
-        if m := DATE.match(value, i):
-            year_only = m.end() - i == 4
-            found.append((i, m.end(), "date", math.log10(200 if year_only else 200 * 365)))
-    at = 0
-    while m := REPEAT.search(value, at):
-        if m.end() - m.start() >= 3:
-            unit = m[1]
-            found.append((m.start(), m.end(), "repeat", sum(map(_alphabet, unit)) + math.log10((m.end() - m.start()) // len(unit) + 1)))
-        at = m.end()
-    i = 0
-    while i < n - 1:
-        j = i + 1
-        while j < n and _near(value[j - 1], value[j]):
-            j += 1
-        if j - i >= 4:
-            found.append((i, j, "walk", math.log10(47 * (j - i)) + 0.3 * (j - i)))
-        i = max(j - 1, i + 1) if j - i >= 2 else j
-    return found
-
-
-def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
-    """Least log10 of guesses, and the spans that give it. Empty: 0 and no spans. Takes time
-    in proportion to the length: brute-force spans grow by one character at a step, so only
-    the matched spans and two states (last span brute force or not) are kept for a position."""
+def repeats(value: str, unit: int) -> Iterator[tuple[int, int, str, float]]:
+    """Spans that repeat a unit of so many characters twice or oftener, over 3 characters or more, by
+    their ends: to every end the longest, and to a run's last ends all, so from every start
+    the longest as well. A unit that repeats a shorter one is left to that one."""
+    n, first = len(value), 0
+    while first < n - unit:
+        last = first
+        while last < n - unit and value[last] == value[last + unit]:
+            last += 1
+        stop = last + unit  # value[first:stop] has this period
+        one = value[first:first + unit]
+        if stop - first >= max(2 * unit, 3) and one not in (one + one)[1:-1]:
+            letters = sum(map(_alphabet, one))
+            for end in range(first + max(2 * unit, 3), stop + 1):
+                most = (end - first) // unit
+                for count in range(2 if end > stop - unit else most, most + 1):
+                    if count * unit >= 3:
+                        yield end - count * unit, end, "repeat", letters + math.log10(count + 1)
+        first = last + 1
+
+
+def walks(value: str) -> Iterator[tuple[int, int, str, float]]:
+    """Runs of 4 or more neighbouring keys by their ends: to every end and from every start the longest."""
+    first, n = 0, len(value)
+    while first < n:
+        stop = first + 1
+        while stop < n and _near(value[stop - 1], value[stop]):
+            stop += 1
+        for end in range(first + 4, stop + 1):
+            for i in range(first, end - 3 if end == stop else first + 1):
+                yield i, end, "walk", math.log10(47 * (end - i)) + 0.3 * (end - i)
+        first = stop
+
+
+def listed(value: str, rank: dict[str, int]) -> Iterator[tuple[int, int, str, float]]:
+    """The words of the list, by their ends; letters may be typed as signs that look like them."""
+    low, n = value.lower(), len(value)
+    if len(low) != n:
+        return
+    plain = low.translate(LEET)
+    longest, heads = _shape(rank)
+    ending: dict[int, list] = {}
+    for i in range(n - 2):
+        if low[i:i + 3] in heads or plain[i:i + 3] in heads:
+            for j in range(i + 3, min(n, i + longest) + 1):
+                best = min((math.log10(rank[w] + 1) + extra for w, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)) if w in rank), default=None)
+                if best is not None:
+                    ending.setdefault(j, []).append((i, j, "word", best + (0.0 if value[i:j] == low[i:j] else SWITCH)))
+        yield from ending.pop(i + 3, ())
+    for j in sorted(ending):
+        yield from ending[j]
+
+
+def dates(value: str) -> list[tuple[int, int, str, float]]:
+    found = [m for i in range(len(value)) if (m := DATE.match(value, i))]
+    return sorted(((*m.span(), "date", math.log10(200 if m.end() - m.start() == 4 else 200 * 365)) for m in found), key=_END)
+
+
+def matches(value: str, rank: dict[str, int] = RANK) -> Iterator[tuple[int, int, str, float]]:
+    """(start, end, kind, log10 guesses) of every span that may beat brute force, by their ends."""
+    return merge(listed(value, rank), dates(value), walks(value), *[repeats(value, unit) for unit in range(1, UNIT + 1)], key=_END)
+
+
+_shapes: dict[int, tuple[dict, int, set[str]]] = {}
+
+
+def _shape(rank: dict[str, int]) -> tuple[int, set[str]]:
+    """Characters of the longest word of a list, and its words' first three; worked out once for each list."""
+    known = _shapes.get(id(rank))
+    if known is None or known[0] is not rank:
+        known = _shapes[id(rank)] = (rank, max(map(len, rank), default=0), {w[:3] for w in rank})
+    return known[1:]
+
+
+def guess_cost(value: str, rank: dict[str, int] = RANK) -> tuple[float, list[tuple[int, int, str]]]:
+    """Least log10 of guesses, and the spans that give it, over the spans of ``matches`` and brute
+    force. Empty: 0 and no spans. Takes time in proportion to the length: brute-force spans grow
+    by one character at a step, and matched spans are made where they end, so only two states
+    (last span brute force or not) are kept for a position."""
     n = len(value)
-    ends: dict[int, list] = {}
-    for s, e, kind, cost in matches(value):
-        ends.setdefault(e, []).append((s, kind, cost))
+    found = matches(value, rank)
+    span = next(found, None)
     inf = math.inf
     brute, other = [inf] * (n + 1), [0.0] + [inf] * n
     back_b: list[bool] = [False] * (n + 1)  # brute at i came from brute at i - 1
@@ -108,7 +152,9 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
         fresh = other[i - 1] + (SWITCH if i > 1 else 0.0)
         back_b[i] = brute[i - 1] <= fresh
         brute[i] = min(brute[i - 1], fresh) + c
-        for s, kind, cost in ends.get(i, ()):
+        while span and span[1] == i:
+            s, _, kind, cost = span
+            span = next(found, None)
             total = min(brute[s], other[s]) + cost + (SWITCH if s else 0.0)
             if total < other[i]:
                 other[i], back_o[i] = total, (s, kind)
@@ -154,12 +200,7 @@ def matches_at(pattern: re.Pattern, text: str, places: list[int]) -> Iterator[re
             yield m
 
 
-@lru_cache(4096)
-def _cost(value: str) -> float:
-    return guess_cost(value)[0]
-
-
-def scan(text: str, min_log10: float) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], float]:
+def scan(text: str, min_log10: float, cost_of: Callable[[str], float] | None = None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], float]:
     """Base spans, added spans (each by start, then kind) and the largest guess cost added."""
     places = cues(text)
     base = [(m.start(), m.end(), "assign") for m in matches_at(ASSIGN, text, places) if len(m[2]) >= 12]
@@ -168,11 +209,9 @@ def scan(text: str, min_log10: float) -> tuple[list[tuple[int, int, str]], list[
     base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     base.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     more, top = [], 0.0
-    for m in matches_at(CONTEXT, text, places):
-        s, e = m.span(1)
-        if any(s < b[1] and b[0] < e for b in base):
-            continue
-        cost = _cost(m[1]) if len(m[1]) <= 256 else guess_cost(m[1])[0]
+    cost_of = cost_of or (lambda v: guess_cost(v)[0])
+    for s, e, _ in apart([(*m.span(1), "guess") for m in matches_at(CONTEXT, text, places)], base):
+        cost = cost_of(text[s:e])
         if cost >= min_log10:
             more.append((s, e, "guess"))
             top = max(top, cost)
@@ -187,18 +226,43 @@ def digest(spans: list[tuple[int, int, str]]) -> str:
     return hashlib.sha256(joined(spans).encode()).hexdigest()
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10: float = 10.0) -> DataFrame:
+def ranked_words(docs: DataFrame, text_col: str = "text", size: int = WORDS) -> dict[str, int]:
+    """Ranks of the words that a guesser tries: COMMON, and then the ``size`` words of 4 to 20 letters
+    that stand most often in the texts, ties by the word. All texts are counted; only the
+    list's words come to the driver."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"(?<![a-z])[a-z]{4,20}(?![a-z])"), F.lit(0))).alias("w"))
+    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size)
+    rank = dict(RANK)
+    for (w,) in top.select("w").collect():
+        rank.setdefault(w, len(rank) + 1)
+    return rank
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10: float = 10.0,
+                 rank: dict[str, int] | None = None) -> DataFrame:
     """(id, spans array<struct<start, end, kind, base>>, top_log10) of every row's whole text.
 
+    ``rank``: the guesser's words (None: ``ranked_words`` of these texts), sent with the task.
     A null text is empty and has no spans; ids may be null or repeat, each row gives a row;
-    other columns are not read. Rows are scanned where they lie: nothing is shuffled."""
+    other columns are not read. Rows are scanned where they lie: only word counts are shuffled."""
+    rank = ranked_words(docs, text_col) if rank is None else rank
     schema = (f"{id_col} {docs.schema[id_col].dataType.simpleString()}, "
               "spans array<struct<start:int,`end`:int,kind:string,base:boolean>>, top_log10 double")
+    known: dict[str, float] = {}
+
+    def cost_of(value: str) -> float:
+        if len(value) > 256:
+            return guess_cost(value, rank)[0]
+        if value not in known:
+            if len(known) >= 4096:
+                known.clear()
+            known[value] = guess_cost(value, rank)[0]
+        return known[value]
 
     def run(batch) -> Iterator[dict]:
         spans, tops = [], []
         for t in column(batch, 1):
-            base, more, top = scan(t, min_log10)
+            base, more, top = scan(t, min_log10, cost_of)
             rows = [(*s, True) for s in base] + [(*s, False) for s in more]
             rows.sort(key=lambda s: (s[0], KINDS.index(s[2])))
             spans.append([dict(zip(("start", "end", "kind", "base"), r, strict=True)) for r in rows])

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from array import array
 from collections import Counter
@@ -15,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchflow.llm import decontam, html, jaccard, lines, packing, pii, quality, rules, secrets, toxicity
-from matchflow.llm.common import buffers, components
+from matchflow.llm.common import apart, buffers, components
 from matchflow.llm.queries import ORACLE_SQL, QUERIES
 from tests.conftest import SF_SMALL
 from tests.oracle_compare import compare
@@ -73,7 +75,7 @@ def test_guess_cost_is_least_over_all_segmentations():
     for _ in range(60):
         v = "".join(rng.choice(["pass", "word", "love", "2019", "aa", "qwer", "x", "7", "Q"]) for _ in range(rng.randint(1, 4)))
         best = {0: (0.0, None)}
-        found = secrets.matches(v)
+        found = list(secrets.matches(v))
         spans = [(s, e, c, "m") for s, e, _, c in found] + [(i, j, sum(map(secrets._alphabet, v[i:j])), "b") for i in range(len(v)) for j in range(i + 1, len(v) + 1)]
         least = [0.0] + [float("inf")] * len(v)
         last = [{""}] + [set() for _ in v]
@@ -90,6 +92,48 @@ def test_guess_cost_is_least_over_all_segmentations():
         assert best and last
 
 
+def test_guess_cost_finds_every_repeat_walk_and_listed_word():
+    assert abs(secrets.guess_cost("aabaabaabaab")[0] - (3 * secrets._alphabet("a") + math.log10(5))) < 1e-9
+    rank = secrets.RANK | {"correct": 200, "horse": 300, "battery": 400, "staple": 500}
+    assert [k for *_, k in secrets.guess_cost("correcthorsebatterystaple", rank)[1]] == ["word"] * 4
+    rng = random.Random(4)
+    for _ in range(300):
+        v = "".join(rng.choice("aab1") for _ in range(rng.randint(0, 14)))
+        found = {(s, e) for s, e, k, _ in secrets.matches(v) if k == "repeat"}
+        every = {(i, i + u * c) for u in range(1, 9) for i in range(len(v)) for c in range(2, len(v) + 1)
+                 if i + u * c <= len(v) and u * c >= 3 and v[i:i + u * c] == v[i:i + u] * c}
+        # none is made up, and from every start and to every end the longest of its unit is there
+        assert found <= every and {s for s, _ in found} == {s for s, _ in every} and {e for _, e in found} == {e for _, e in every}
+        assert all((i, max(e for s, e in every if s == i)) in found for i, _ in every)
+        ends = [e for _, e, *_ in secrets.matches(v)]
+        assert ends == sorted(ends)
+
+
+def test_guessers_words_come_from_the_texts(spark):
+    docs = spark.createDataFrame([(1, "Zebra zebra abc lion"), (2, "zebra, lion tigers4"), (None, None)], "doc_id long, text string")
+    rank = secrets.ranked_words(docs, size=2)
+    assert rank["zebra"] == len(secrets.RANK) + 1 and rank["lion"] == rank["zebra"] + 1 and "tigers" not in rank
+
+
+def test_hostile_texts_take_time_in_proportion_to_their_length():
+    m, rng = 1 << 20, random.Random(5)
+    plain_ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(3000):
+        t = "".join(rng.choice("ab1.@-+_ \u00e9") for _ in range(rng.randint(0, 25)))
+        assert list(pii.emails(t)) == [x.span() for x in pii.EMAIL.finditer(t)]
+        t = "".join(rng.choice("12.. a") for _ in range(rng.randint(0, 30)))
+        assert [x.span() for x in pii.IP.finditer(t)] == [x.span() for x in plain_ip.finditer(t)]
+        base = sorted((s, s + rng.randint(1, 5)) for s in rng.choices(range(40), k=rng.randint(0, 6)))
+        more = [(s, s + rng.randint(1, 5)) for s in rng.choices(range(40), k=5)]
+        assert apart(more, base) == [s for s in more if not any(s[0] < b[1] and b[0] < s[1] for b in base)]
+    begun = time.monotonic()
+    assert pii.base_spans("x" * m + " @ a@b.c") == [(m + 3, m + 8, "email")]
+    assert pii.base_spans("1" * m + ". 1.2.3.4") == [(m + 2, m + 9, "ip")] and pii.base_spans("a@" * (m // 2)) == []
+    spans = [(i * 10, i * 10 + 5) for i in range(20_000)]
+    assert apart(spans, spans) == [] and len(apart([(s + 5, e + 5) for s, e in spans], spans)) == 20_000
+    assert time.monotonic() - begun < 10
+
+
 def test_personal_spans(spark):
     text = "mail a.b@c.de, +1 (222) 333-4444 or (555) 123-4567; 10.0.0.255 10.0.0.256; 4111 1111 1111 1111"
     r = pii.find_personal(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
@@ -152,17 +196,43 @@ def test_rules_keep_clean_rows_and_drop_odd_ones(spark):
 
 def test_rule_fences_are_the_groups_own(spark):
     text = lambda i, marks, size=60: " ".join(f"word{(i * 31 + j) % 900 + 100}" for j in range(size - marks)) + " %" * marks
-    # of every five rows of "code" four have 1 to 9 marks, of "news" none; a row with 3 marks is usual in one only
+    # of every five rows of "code" four have 1 to 9 marks, of "news" none; a row with 9 marks is usual in one only
     rows = [(i, text(i, i % 10 if i % 5 else 0), "en", "code") for i in range(1200)] + [(2000 + i, text(i, 0), "en", "news") for i in range(1200)]
-    rows += [(5000, text(1, 3), "en", "news"), (5001, text(1, 3), "en", "code"), (5002, text(1, 3), None, "few"), (5003, text(1, 0).replace(" ", "%%%% "), "en", "few")]
+    rows += [(5000, text(1, 9), "en", "news"), (5001, text(1, 9), "en", "code"), (5002, text(1, 3), None, "few"), (5003, text(1, 0).replace(" ", "%%%% "), "en", "few"),
+             (5004, text(1, 1), "en", "news")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    fences = {(r.lang, r.source): r for r in rules.thresholds(rules.measure(docs)).collect()}
+    counted = rules.measure(docs)
+    fences = {(r.lang, r.source): r for r in rules.thresholds(counted).collect()}
     news, code = fences["en", "news"], fences["en", "code"]
-    assert news.symbol_share_max == 0 < code.symbol_share_max and code.word_length_max != news.word_length_max
-    # few rows: the language's
-    assert fences["en", "few"].symbol_share_max not in (news.symbol_share_max, code.symbol_share_max) and fences[None, "few"].n == 1
+    assert 0 < news.symbol_share_max < code.symbol_share_max and code.word_length_max != news.word_length_max
+    # few rows: nearly the language's
+    assert news.symbol_share_max < fences["en", "few"].symbol_share_max < code.symbol_share_max and fences[None, "few"].n == 1
     got = {r.doc_id: (r.kept, r.reason) for r in rules.apply_rules(docs).collect()}
     assert len(got) == len(rows) and got[5000] == (False, "symbol_share") and got[5001] == (True, None) and got[5002][0] and not got[5003][0]
+    assert got[5004] == (True, None)  # one mark isn't odd where nearly no row has any
+
+    # fences and verdicts of exact quantiles; the sketches hold these groups whole
+    ok = [r for r in counted.collect() if not (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)]
+
+    def own(m, group):
+        count, base, p, times, least = rules.MEASURES[m]
+        q = lambda v, p: sorted(v)[max(math.ceil(p * len(v)) - 1, 0)]
+        share = [r[count] / max(r[base], 1) for r in group]
+        return q(share, p) + times * (q(share, p) - q(share, 0.5)) + least / max(q([r[base] for r in group], 0.5), 1)
+
+    for r in ok:
+        levels = [ok, [x for x in ok if x.lang == r.lang], [x for x in ok if (x.lang, x.source) == (r.lang, r.source)]]
+        if r.doc_id % 400 and r.doc_id < 5000:
+            continue
+        reason = None
+        for m in rules.MEASURES:
+            fence = own(m, levels[0])
+            for group in levels[1:]:
+                fence = (len(group) * own(m, group) + rules.BELIEF * fence) / (len(group) + rules.BELIEF)
+            assert abs(fences[r.lang, r.source][f"{m}_max"] - fence) < 1e-9
+            if reason is None and r[rules.MEASURES[m][0]] / max(r[rules.MEASURES[m][1]], 1) > fence:
+                reason = m
+        assert got[r.doc_id] == (reason is None, reason)
 
 
 def test_packing_round_trip(spark, odd, none):
