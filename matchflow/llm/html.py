@@ -32,90 +32,187 @@ UNLIKELY = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "b
             "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "related", "recommended", "remark", "replies",
             "respond", "share", "sharing", "sidebar", "skyscraper", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
             "complementary", "contentinfo", "alert", "alertdialog", "dialog", "search", "discussion", "reactions"}
+COMMENTS = {"comment", "comments", "disqus", "remark", "replies", "respond", "discussion", "reactions"}
 LIKELY = {"article", "content", "main", "body", "entry", "hentry", "post", "story", "text", "column"}
 
+#: A quote without a partner in the rest of the page is a character like others, so every tag that begins also ends.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                   r"|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+                   r"|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">]|\"(?=[^\"]*\Z)|'(?=[^']*\Z))*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 NAMES = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "weight", "points", "chars", "linked")
+    """An element. ``depth`` and ``blocks`` count it and its ancestors, and those that are blocks;
+    ``inside``: it is or lies in an article or main element."""
+
+    __slots__ = ("tag", "parent", "kids", "weight", "points", "chars", "linked", "depth", "blocks", "inside")
 
     def __init__(self, tag: str, parent: Node | None, weight: float = 0.0):
         self.tag, self.parent, self.weight = tag, parent, weight
         self.kids: list = []
         self.points = 0.0
         self.chars = self.linked = 0
+        self.depth = parent.depth + 1 if parent else 0
+        self.blocks = (parent.blocks if parent else 0) + (tag in BLOCK)
+        self.inside = tag in ("article", "main") or bool(parent and parent.inside)
+
+
+class Open:
+    """The open elements: the innermost, and those of each tag, so that no search walks up the tree."""
+
+    def __init__(self):
+        self.root = self.node = Node("#root", None)
+        self.by_tag: dict[str, list[Node]] = {}
+
+    def enter(self, node: Node) -> None:
+        self.by_tag.setdefault(node.tag, []).append(node)
+        self.node = node
+
+    def leave_to(self, up: Node) -> None:
+        while self.node is not up:
+            self.by_tag[self.node.tag].pop()
+            self.node = self.node.parent
+
+    def last(self, tags: set[str]) -> Node | None:
+        return max((o[-1] for t in tags if (o := self.by_tag.get(t))), key=lambda n: n.depth, default=None)
+
+    def close(self, tags: set[str], bounds: set[str]) -> None:
+        """Leave the innermost element of the tags, unless one of the bounds lies within it."""
+        found = self.last(tags)
+        if found and ((bound := self.last(bounds)) is None or bound.depth < found.depth):
+            self.leave_to(found.parent)
+
+
+class Page:
+    """The tags of a page, read once: (start, end, closing, name, attributes, self-closing), without
+    those inside raw text, which ends at its first end tag. ``until``: for each start tag the number
+    of its own end tag, nested ones counted. Up to each tag: how many characters of paragraphs
+    (outside of links and of readers' comments) and how many article or main elements came."""
+
+    def __init__(self, html: str):
+        self.tags: list[tuple] = []
+        self.until: dict[int, int] = {}
+        self.prose, self.articles = [0], [0]
+        starts: dict[str, list[int]] = {}
+        ends: dict[str, re.Pattern] = {}
+        at = link = 0
+        paragraph, prose, articles = False, 0, 0
+        while m := TOKEN.search(html, at):
+            if paragraph and not link:
+                prose += len(html[at:m.start()].strip())
+            at, name, full = m.end(), (m[2] or "").lower(), (m[3] or "").rstrip().endswith("/")
+            k = len(self.tags)
+            if name and m[1]:
+                if starts.get(name):
+                    self.until[starts[name].pop()] = k
+            elif name and not full and name not in VOID:
+                starts.setdefault(name, []).append(k)
+            if name == "a":
+                link = 0 if m[1] else 1
+            elif name in BLOCK:
+                paragraph = name == "p" and not m[1]
+            articles += name in ("article", "main") and not m[1]
+            self.tags.append((m.start(), m.end(), bool(m[1]), name, m[3] or "", full, m[0] if not name else ""))
+            self.prose.append(prose)
+            self.articles.append(articles)
+            if name in RAW and not m[1] and not full:
+                if name not in ends:
+                    ends[name] = re.compile(rf"</{re.escape(name)}\b", re.I)
+                stop = ends[name].search(html, at)
+                at = stop.start() if stop else len(html)
+
+    def holds(self, k: int, last: int) -> tuple[bool, bool]:
+        """Do the tags from k to last hold more than half of the paragraphs, and all articles?"""
+        return (2 * (self.prose[last] - self.prose[k]) > self.prose[-1],
+                self.articles[last] - self.articles[k] == self.articles[-1] > 0)
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): unescape((m[2] or "").strip("\"'")) for m in ATTR.finditer(raw)} if raw.strip(" /") else {}
 
 
+def _words(attrs: dict[str, str]) -> set[str]:
+    return set(NAMES.findall(" ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower()))
+
+
 def _unwanted(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
     if tag in DROP or tag == "header" and not inside_article:
         return True
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
+    if _hidden(attrs):
         return tag not in ("html", "body")
     if tag in ("html", "body", "article", "main"):
         return False
-    names = set(NAMES.findall(" ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower()))
-    return bool(names & UNLIKELY)
-
-
-def parse(html: str) -> Node:
-    """A tree of the parts that may be article text; leaves are strings."""
-    root = Node("#root", None)
-    at, node, articles = 0, root, 0
-    for m in TOKEN.finditer(html):
-        if m.start() < at:
-            continue  # inside a part that was cut
-        if m.start() > at:
-            node.kids.append(html[at:m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                node.kids.append(m[0][9:].removesuffix("]]>"))
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root and (tag in BLOCK or not _bounded(node, up)):
-                node = up.parent
-            elif tag == "p" and up is root:
-                node.kids.append(Node("p", node))
+    return bool(_words(attrs) & UNLIKELY)
+
+
+def _hidden(attrs: dict[str, str]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")))
+
+
+def parse(html: str, unwrap: bool = False) -> Node:
+    """A tree of the parts that may be article text; leaves are strings.
+
+    An unwanted element is cut with all it holds. One that wraps the article is taken for a plain
+    element instead, and what it holds is looked at by itself: one with more than half of the page's
+    paragraph text that holds all its article and main elements, or has no end tag; with
+    ``unwrap`` any that has more than half of it. Raw text, hidden parts and readers' comments are
+    always cut. A cut element without an end tag reaches to the end of the page if it is raw text or a part of
+    the page's frame, else it is its start tag alone."""
+    page, here = Page(html), Open()
+    at = k = 0
+    while k < len(page.tags):
+        start, end, closing, tag, raw, full, other = page.tags[k]
+        if start > at:
+            here.node.kids.append(html[at:start])
+        at, k = end, k + 1
+        if not tag:
+            if other.startswith("<![CDATA["):
+                here.node.kids.append(other[9:].removesuffix("]]>"))
             continue
-        attrs = _attributes(m[3])
-        inside = any(True for _ in _ancestors(node, {"article", "main"}))
-        if _unwanted(tag, attrs, inside):
-            if tag not in VOID and not m[3].rstrip().endswith("/"):
-                at = _after(html, at, tag)
-            node.kids.append(Node("#cut", node) if tag in BLOCK else " ")
+        if closing:
+            up = here.last({tag})
+            if up and (tag in BLOCK or up.blocks == here.node.blocks):
+                here.leave_to(up.parent)
+            elif tag == "p" and up is None:
+                here.node.kids.append(Node("p", here.node))
             continue
+        attrs = _attributes(raw)
+        if _unwanted(tag, attrs, here.node.inside):
+            last = k
+            if tag not in VOID and not full:
+                own = page.until.get(k - 1)
+                framed = tag in RAW or tag in ("nav", "footer", "aside", "form", "header")
+                last = own + 1 if own is not None else len(page.tags) if framed else k
+                prose, articles = page.holds(k, last)
+                wraps = prose and (unwrap or articles or own is None) and not (tag in RAW or tag == "head" or _hidden(attrs) or _words(attrs) & COMMENTS)
+                if not wraps and own is None and framed:
+                    at, last = len(html), len(page.tags)
+                elif not wraps and last > k:
+                    at = page.tags[last - 1][1]
+            if last == k or not wraps:
+                k = last
+                here.node.kids.append(Node("#cut", here.node) if tag in BLOCK else " ")
+                continue
         if tag in CLOSES_P:
-            node = _close(node, {"p"}, {"article", "section", "div", "td", "th", "table", "blockquote", "main", "body", "html", "li", "dd", "figure"})
+            here.close({"p"}, {"article", "section", "div", "td", "th", "table", "blockquote", "main", "body", "html", "li", "dd", "figure"})
         if tag == "li":
-            node = _close(node, {"li"}, {"ul", "ol", "dir"})
+            here.close({"li"}, {"ul", "ol", "dir"})
         elif tag in ("dd", "dt"):
-            node = _close(node, {"dd", "dt"}, {"dl"})
+            here.close({"dd", "dt"}, {"dl"})
         elif tag in ("td", "th"):
-            node = _close(node, {"td", "th"}, {"tr", "table"})
+            here.close({"td", "th"}, {"tr", "table"})
         elif tag == "tr":
-            node = _close(node, {"tr"}, {"table"})
-        names = set(NAMES.findall((attrs.get("class", "") + " " + attrs.get("id", "") + " " + attrs.get("role", "")).lower()))
-        child = Node(tag, node, 25.0 * bool(names & LIKELY) + {"article": 40.0, "main": 30.0}.get(tag, 0.0))
-        node.kids.append(child)
-        if tag not in VOID and not (m[3].rstrip().endswith("/") and tag not in BLOCK):
-            node = child
+            here.close({"tr"}, {"table"})
+        child = Node(tag, here.node, 25.0 * bool(_words(attrs) & LIKELY) + {"article": 40.0, "main": 30.0}.get(tag, 0.0))
+        here.node.kids.append(child)
+        if tag not in VOID and not (full and tag not in BLOCK):
+            here.enter(child)
     if at < len(html):
         rest = html[at:]
-        node.kids.append(rest[:rest.rfind("<")] if re.search(r"<[/A-Za-z!?][^>]*\Z", rest) else rest)
-    return root
+        here.node.kids.append(rest[:rest.rfind("<")] if re.search("<[/A-Za-z!?]", rest[rest.rfind(">") + 1:]) else rest)
+    return here.root
 
 
 def _ancestors(node: Node, tags: set[str]) -> Iterator[Node]:
@@ -125,45 +222,6 @@ def _ancestors(node: Node, tags: set[str]) -> Iterator[Node]:
         node = node.parent
 
 
-def _bounded(node: Node, top: Node) -> bool:
-    """Does a block stand between an inline end tag and its start?"""
-    while node is not top:
-        if node.tag in BLOCK:
-            return True
-        node = node.parent
-    return False
-
-
-def _close(node: Node, tags: set[str], bounds: set[str]) -> Node:
-    up = node
-    while up.parent is not None and up.tag not in bounds:
-        if up.tag in tags:
-            return up.parent
-        up = up.parent
-    return node
-
-
-def _after(html: str, at: int, tag: str) -> int:
-    """Where the element that opened before ``at`` ends: its own end tag, nested ones counted
-    (raw text elements end at the first). Without one, raw text runs to the end of the page;
-    another element holds no more than its start tag."""
-    if tag in RAW:
-        m = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-        return m.end() if m else len(html)
-    depth, here = 1, at
-    for m in TOKEN.finditer(html, at):
-        if m.start() < here or m[2] is None:
-            continue
-        name = m[2].lower()
-        if not m[1] and name in RAW and name != tag:
-            here = _after(html, m.end(), name)
-        elif name == tag and not m[3].rstrip().endswith("/"):
-            depth += -1 if m[1] else 1
-            if not depth:
-                return m.end()
-    return len(html) if tag in ("nav", "footer", "aside", "form", "header") else at
-
-
 def measure(root: Node) -> list[Node]:
     """Fill in characters, linked characters and points of every node; returns the nodes."""
     order, stack = [], [root]
@@ -256,7 +314,10 @@ def text_of(nodes: list[Node]) -> str:
 
 
 def extract(html: str) -> str:
-    return text_of(best(parse(html))) if html else ""
+    """The main text; where every paragraph lay in parts that were cut, those that wrap most of them are opened."""
+    if not html:
+        return ""
+    return text_of(best(parse(html))) or text_of(best(parse(html, unwrap=True)))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

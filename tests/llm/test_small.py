@@ -420,6 +420,41 @@ def test_extraction(spark):
     assert html.main_text(pages.where("false")).count() == 0
 
 
+PROSE = "<p>A paragraph, with commas, and with enough words, that the tree counts it for an article.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<nav><a href=x>Home</a><div>{PROSE * 3}</div>",
+    f"<form action=x><input name=q><label>Mail</label><div>{PROSE * 3}</div><button>Send</button></form>",
+    f'<div class="layout has-sidebar"><article>{PROSE * 3}</article><div class=sidebar><p>beside it</p></div></div><p>copyright</p>',
+    f"<div class=sidebar>{PROSE * 2}<div class=comments>{PROSE}</div></div>"])
+def test_extraction_opens_parts_that_wrap_the_article(page):
+    got = html.extract(f"<html><body>{page}</body></html>")
+    assert got.count("A paragraph, with commas") == page.count(PROSE) - page.count("comments") and "Send" not in got and "beside" not in got
+
+
+def test_extraction_cuts_comments_and_teasers_however_long():
+    page = f"<body><article>{PROSE}</article><section class=comments>{f'<article class=comment>{PROSE}</article>' * 5}</section><aside>{PROSE * 9}</aside></body>"
+    assert html.extract(page).count("A paragraph") == 1
+
+
+@pytest.mark.parametrize("part", ["<div>", "<label>x", "<b><hr>", "<b><div></b>", "<div><p>a, b</p>", "<form><p>a, b</p>", "<script>", "<a ", "</ ", "<", "<!--", "<a b='"])
+def test_extraction_takes_time_in_proportion_to_the_length(part):
+    seconds = []
+    for n in (10_000, 40_000):
+        begun = time.monotonic()
+        html.extract(part * n + '"')
+        seconds.append(time.monotonic() - begun)
+    assert seconds[1] < 10 * max(seconds[0], 0.1)
+
+
+def test_extraction_with_odd_tables(spark):
+    rows = [(1, "u", None, "t"), (1, "u", "", "t"), (None, None, PROSE, None), (2, "v", "<p>unclosed <b", "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted((str(r.page_id), r.text) for r in html.main_text(pages).collect())
+    assert got == [("1", ""), ("1", ""), ("2", "unclosed"), ("None", PROSE[3:-4])] and html.main_text(pages.where("false")).count() == 0
+
+
 def test_held_out_accuracy(spark):
     sf = SF_SMALL.replace("0.001", "0.1")
     lab = spark.read.parquet(f"{sf}/labels.parquet")
