@@ -273,6 +273,14 @@ FROM a FULL OUTER JOIN b ON a.match_id = b.match_id WHERE a.match_id IS NULL OR
     s["stream_ingest"] = _with(m, lgc) + """SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
   CAST(day(ts) AS INTEGER) AS day, COUNT(*) AS nombre_matchs
 FROM (SELECT TRY_CAST(date_match AS TIMESTAMP) AS ts FROM match_log) GROUP BY 1, 2, 3"""
+    s["stream_stats"] = _with(m, lgc, _USERS, _NOTES) + """SELECT 'matchs' AS collection, CAST(sport_id AS VARCHAR) AS groupe,
+  COUNT(*) AS nombre FROM match_log GROUP BY sport_id
+UNION ALL SELECT 'users', CAST(sport_id AS VARCHAR), COUNT(*) FROM (SELECT unnest(sports_favoris) AS sport_id FROM users) GROUP BY sport_id
+UNION ALL SELECT 'notifications', type, COUNT(*) FROM notifications GROUP BY type"""
+    s["notify_roundtrip"] = _with(m, lgc, _USERS, _AUDIENCE) + f"""SELECT ev.type, COUNT(*) AS nombre_notifications,
+  COUNT(DISTINCT aud.user_id) AS nombre_utilisateurs_distincts, COUNT(DISTINCT ev.match_id) AS nombre_matchs_distincts
+FROM (SELECT match_id, sport_id, {_type_expr("log_offset")} AS type FROM match_log WHERE sport_id IS NOT NULL) ev
+JOIN aud ON ev.sport_id = aud.sport_id GROUP BY ev.type"""
     s["encode_json"] = _with(m) + """SELECT match_id, CAST(to_json({'match_id': match_id, 'sport_id': sport_id,
   'sport_nom': sport_nom, 'equipe_domicile': equipe_domicile, 'equipe_exterieur': equipe_exterieur,
   'score_domicile': score_domicile, 'score_exterieur': score_exterieur,

@@ -438,6 +438,41 @@ def q_stream_ingest(spark, d):
     return spark.read.parquet(f"{out}/matchs").groupBy("year", "month", "day").agg(F.count(F.lit(1)).alias("nombre_matchs"))
 
 
+def _records(rows, key, partition=0, at="2024-02-02 00:00:00"):
+    """Topic records of a table's rows."""
+    return rows.select(F.lit(partition).alias("partition"), F.col(key).cast("long").alias("offset"), F.lit(at).cast("timestamp").alias("timestamp"),
+                       F.to_json(F.struct("*")).alias("value"))
+
+
+@query("stream_stats")
+def q_stream_stats(spark, d):
+    """S8, ST2: the statistics that the ingest jobs wrote batch by batch, added up over the batches;
+    users and notifications come in two batches."""
+    tr, out, ck = _stream_folders(spark, d, "stream-stats")
+    ingest.start_ingest(spark, tr, out, ck, "matchs", trigger={"availableNow": True}).awaitTermination()
+    for entity, table in (("users", fx.users(spark, d)), ("notifications", fx.notifications(spark, d))):
+        key = table.columns[0]
+        for half in (0, 1):
+            topics.write_dir_topic(_records(table.where(F.pmod(F.xxhash64(key), F.lit(2)) == half), key, half), tr, entity)
+            ingest.start_ingest(spark, tr, out, ck, entity, trigger={"availableNow": True}).awaitTermination()
+    parts = [spark.read.parquet(f"{out}/stats/{entity}").groupBy(F.col(group).cast("string").alias("groupe"))
+             .agg(F.sum(count).alias("nombre")).select(F.lit(entity).alias("collection"), "groupe", "nombre")
+             for entity, group, count in (("matchs", "sport_id", "nombre_matchs"), ("users", "sport_id", "nombre_utilisateurs"),
+                                          ("notifications", "type", "nombre_notifications"))]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query("notify_roundtrip")
+def q_notify_roundtrip(spark, d):
+    """ST7, S5, ST2, A5: match events through the notifier to the notification topic, from there through
+    its ingest job, and what arrived by type."""
+    tr, out, ck = _stream_folders(spark, d, "notify-roundtrip")
+    topics.write_dir_topic(_records(fx.users(spark, d), "user_id"), tr, "users")
+    ingest.start_notifier(spark, tr, out, ck, trigger={"availableNow": True}).awaitTermination()
+    ingest.start_ingest(spark, tr, out, ck, "notifications", trigger={"availableNow": True}).awaitTermination()
+    return marts.stats_notifications(spark.read.parquet(f"{out}/notifications"))
+
+
 @fx.per_session
 def _stores(spark, d):
     """Stores of the other entities: each topic has an older record of every key, in another
@@ -446,8 +481,7 @@ def _stores(spark, d):
     for entity, table, stale in (("sports", fx.sports(spark, d), "nom"), ("users", fx.users(spark, d), "prenom"), ("notifications", fx.notifications(spark, d), "contenu")):
         key = table.columns[0]
         for p, (rows, at) in enumerate(((table, "2024-02-02 00:00:00"), (table.withColumn(stale, F.lit("ancien")), "2024-01-01 00:00:00"))):
-            topics.write_dir_topic(rows.select(F.lit(p).alias("partition"), F.col(key).cast("long").alias("offset"), F.lit(at).cast("timestamp").alias("timestamp"),
-                                               F.to_json(F.struct("*")).alias("value")), f"{root}/topics", entity)
+            topics.write_dir_topic(_records(rows, key, p, at), f"{root}/topics", entity)
             ingest.start_state(spark, f"{root}/topics", root, f"{root}/ckpt", entity, trigger={"availableNow": True}, mode="buckets", buckets=4).awaitTermination()
         out[entity] = ingest.bucket_store(spark, root, entity)
     return out
