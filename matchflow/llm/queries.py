@@ -90,30 +90,39 @@ def _in(words: list[str]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-_TYPE = f"""CASE WHEN t >= '0' AND t < ':' THEN '#1' WHEN t <> lower(t) THEN '#2'
-WHEN lower(t) IN ({_in(decontam.NUMBERS)}) THEN '#1' WHEN lower(t) IN ({_in(decontam.UNITS)}) THEN '#3' ELSE lower(t) END"""
+_PLAIN = f"""WHEN lower(t) IN ({_in(decontam.NUMBERS)}) THEN '#1' WHEN lower(t) IN ({_in(decontam.UNITS)}) THEN '#3' ELSE lower(t) END"""
+_TYPES = f"""CASE WHEN t >= '0' AND t < ':' THEN '#1' WHEN t <> lower(t) THEN '#2' {_PLAIN} AS y,
+  CASE WHEN t >= '0' AND t < ':' THEN '#1' {_PLAIN} AS z"""
 
-# Windows are compared as text here, and slots row by row.
+# Windows are compared as text here, typed (y) and with the letter case folded (z), and slots row by row.
 _SQL2 = f"""WITH {_WORDS},
 dt AS (SELECT doc_id, i, toks[i] AS t FROM (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM w)),
 it AS (SELECT item_id, i, toks[i] AS t FROM (SELECT item_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM b)),
-dy AS (SELECT doc_id, i, t, {_TYPE} AS y FROM dt),
-iy AS (SELECT item_id, i, t, {_TYPE} AS y FROM it),
-dw AS (SELECT doc_id, i, string_agg(y, ' ') OVER v AS win, count(*) OVER v AS n FROM dy
+dy AS (SELECT doc_id, i, t, {_TYPES} FROM dt),
+iy AS (SELECT item_id, i, t, {_TYPES} FROM it),
+dp AS (SELECT doc_id, i, string_agg(y, ' ') OVER v AS win, string_agg(z, ' ') OVER v AS fold, count(*) OVER v AS n FROM dy
   WINDOW v AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {decontam.WIDTH - 1} FOLLOWING)),
-iw AS (SELECT item_id, i, string_agg(y, ' ') OVER v AS win, count(*) OVER v AS n, sum(CASE WHEN y[1] = '#' THEN 0 ELSE 1 END) OVER v AS lit FROM iy
+dw AS (SELECT doc_id, i, win, true AS typed FROM dp WHERE n = {decontam.WIDTH}
+  UNION ALL SELECT doc_id, i, fold, false FROM dp WHERE n = {decontam.WIDTH} AND fold <> win),
+ip AS (SELECT item_id, i, string_agg(y, ' ') OVER v AS win, string_agg(z, ' ') OVER v AS fold, count(*) OVER v AS n,
+  sum(CASE WHEN y[1] = '#' THEN 0 ELSE 1 END) OVER v >= {decontam.LITERALS} AS of_typed, sum(CASE WHEN z[1] = '#' THEN 0 ELSE 1 END) OVER v >= {decontam.LITERALS} AS of_folded FROM iy
   WINDOW v AS (PARTITION BY item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {decontam.WIDTH - 1} FOLLOWING)),
-iv AS (SELECT item_id, i, win FROM iw WHERE n = {decontam.WIDTH} AND lit >= {decontam.LITERALS}),
-nw AS (SELECT item_id, count(*) AS n_windows FROM iv GROUP BY item_id),
-hit AS (SELECT DISTINCT doc_id, iv.item_id, dw.i - iv.i AS shift, iv.i AS pos FROM dw JOIN iv USING (win) WHERE dw.n = {decontam.WIDTH}),
-cov AS (SELECT DISTINCT doc_id, item_id, shift, pos + k AS p FROM hit, range(0, {decontam.WIDTH}) r(k)),
-slots AS (SELECT DISTINCT c.doc_id, c.item_id, c.shift, lower(iy.t) AS mine, lower(dy.t) AS theirs FROM cov c
+iu AS (SELECT *, bool_or(of_typed) OVER (PARTITION BY item_id) AS some_typed FROM ip WHERE n = {decontam.WIDTH}),
+ik AS (SELECT * FROM iu WHERE CASE WHEN some_typed THEN of_typed ELSE of_folded END),
+iv AS (SELECT item_id, i, win, true AS typed FROM ik WHERE of_typed
+  UNION ALL SELECT item_id, i, fold, false FROM ik WHERE NOT (of_typed AND fold = win)),
+nw AS (SELECT item_id, count(DISTINCT i) AS n_windows FROM iv GROUP BY item_id),
+hit AS (SELECT DISTINCT doc_id, iv.item_id, unnest(CASE WHEN dw.typed AND iv.typed THEN [0, 1] ELSE [1] END) AS way, dw.i - iv.i AS shift, iv.i AS pos FROM dw JOIN iv USING (win)),
+cov AS (SELECT DISTINCT doc_id, item_id, way, shift, pos + k AS p FROM hit, range(0, {decontam.WIDTH}) r(k)),
+slots AS (SELECT DISTINCT c.doc_id, c.item_id, c.way, c.shift, lower(iy.t) AS mine, lower(dy.t) AS theirs FROM cov c
   JOIN iy ON iy.item_id = c.item_id AND iy.i = c.p JOIN dy ON dy.doc_id = c.doc_id AND dy.i = c.p + c.shift WHERE iy.y[1] = '#'),
-sl AS (SELECT doc_id, item_id, shift, count(*) AS n_slots, count(DISTINCT mine) AS n_mine, bool_and(mine = theirs) AS exact FROM slots GROUP BY ALL),
-ln AS (SELECT h.doc_id, h.item_id, h.pos, coalesce(n_slots, 0) AS n_slots, coalesce(exact, true) AS exact FROM hit h LEFT JOIN sl USING (doc_id, item_id, shift)
-  WHERE coalesce(n_slots = n_mine, true))
-SELECT doc_id, item_id, count(DISTINCT pos) AS n_matched, any_value(n_windows) AS n_windows, max(n_slots) AS n_slots, bool_and(exact) AS exact
-FROM ln JOIN nw USING (item_id) GROUP BY doc_id, item_id HAVING count(DISTINCT pos) >= 0.5 * any_value(n_windows)"""
+sl AS (SELECT doc_id, item_id, way, shift, count(*) AS n_slots, count(DISTINCT mine) AS n_mine, bool_and(mine = theirs) AS exact FROM slots GROUP BY ALL),
+ln AS (SELECT h.doc_id, h.item_id, h.way, h.pos, coalesce(n_slots, 0) AS n_slots, coalesce(exact, true) AS exact FROM hit h LEFT JOIN sl USING (doc_id, item_id, way, shift)
+  WHERE coalesce(n_slots = n_mine, true)),
+found AS (SELECT doc_id, item_id, way, count(DISTINCT pos) AS n_matched, any_value(n_windows) AS n_windows, max(n_slots) AS n_slots, bool_and(exact) AS exact
+  FROM ln JOIN nw USING (item_id) GROUP BY doc_id, item_id, way HAVING count(DISTINCT pos) >= 0.5 * any_value(n_windows))
+SELECT doc_id, item_id, n_matched, n_windows, n_slots, exact FROM found
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matched DESC, n_slots DESC, exact DESC) = 1"""
 
 _SQL8 = r"""WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -297,6 +297,20 @@ def test_sql(spark, name):
     assert res.get("ok"), res
 
 
+def test_leak_sql_in_any_letter_case(spark):
+    import duckdb
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").select("item_id", "text")
+    for n, form in enumerate((F.upper("text"), F.lower("text"), F.expr("concat('So: ', upper(substr(text, 1, 40)), substr(text, 41))")), 1):
+        docs = docs.union(items.select(F.col("item_id") + n * 10**6, form))
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", items.toPandas())
+    found = decontam.contaminated(docs, items)
+    want = {tuple(r) for r in con.execute(ORACLE_SQL["op2_template_leaks"]).fetchall()}
+    assert {tuple(r) for r in found.collect()} == want and len({r[1] for r in want if r[0] >= 10**6}) == items.count()
+
+
 def brute_components(texts: dict) -> dict:
     sets = {}
     for i, t in texts.items():
