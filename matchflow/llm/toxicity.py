@@ -1,8 +1,7 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models over the letters of terms, of toxic and of ordinary text: a term is a walk from
-its first byte to its end, each step given the bytes before it, from the ninth on the last
-eight. A step's count
+its first byte to its end, each step given all bytes before it. A step's count
 in the class is discounted, and what the discount takes goes to one shared distribution: in
 how many different terms of documents, over the whole corpus, the step occurs. A rare expression so weighs the
 same in both models, but for the part of it that the classes use differently. The
@@ -10,10 +9,14 @@ length-normalised log-likelihood difference of the whole text and of its most to
 and the most toxic term, are turned into a probability by a logistic regression on labelled
 rows that the counts haven't seen.
 
-Nodes (prefixes, and the bytes around a step behind them) are hashed into tables of fixed size,
-one for either kind, so a model's memory is bounded while its counts cover every row. Tasks add up their own rows' tables; the tables meet in one
-aggregate. How many different steps follow a node is found by 64-slot linear counting, whose
-bitmaps merge by OR.
+A run of letters that is longer than LONGEST bytes, or of a script whose characters take three
+bytes or more (many are written without blanks), is read as the terms of PIECE bytes from each
+of its characters, so that every part of it is walked from its start.
+
+All counts are exact and kept in Spark tables that grow with the corpus: the texts' different
+terms with their counts are one aggregate, split by splitters into ranges of the sorted terms.
+All terms with a common prefix lie in one range, but for prefixes of a range's first or last
+term, whose counts are exchanged; so each range works out its terms' ratios by itself.
 """
 
 from __future__ import annotations
@@ -22,148 +25,168 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchflow.llm.common import Spans, alphanumeric, buffers, fold, lower_ascii, map_batches, map_rows, mix, words, written
+from matchflow.llm.common import Spans, alphanumeric, buffers, fold, lower_ascii, map_batches, map_rows, mix, ship, words, written
 
-BITS = 20
-SIZE = 1 << BITS  # buckets of prefixes; the root is node SIZE, behind it as many buckets of sliding contexts
-WIDTH = 2 * SIZE + 1
-DEPTH = 8  # bytes of the longest prefix, and of the context that slides from there to a term's end
 DISCOUNT = 0.75
 SPAN = 12  # terms in a window
+PIECE = 12  # bytes of the terms that a long run, or one of a script with wide characters, is read as
+LONGEST = 32  # bytes of a run that is one term
+RANGE = 1 << 18  # terms in a range, on average
+SAMPLED = 64  # terms for each range among which the splitters are chosen
+STEP = 1 << 22  # bytes of text whose terms are counted together
 #: Labelled rows up to which they are sent to the texts; beyond that the texts are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
+#: Most frequent terms whose ratios are sent to every task; those of other terms are joined by a shuffle.
+BROADCAST_TERMS = 4_000_000
 FEATURES = ("top_term", "top_ratio", "mean_ratio")
 _END = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
-class Steps:
-    """The terms of some texts: each one's document and number among the different terms, and
-    the steps of the different terms' walks as (terms, parents, children, slots of the children,
-    whether the parents are sliding contexts, which no step leads to: they count as often as
-    they are left). A term of n bytes has n steps and one for its end."""
-
-    def __init__(self, data: np.ndarray, off: np.ndarray):
-        starts, ends, self.doc, _ = words(np.where(alphanumeric(data), data, np.uint8(32)), off)
-        spans = Spans(lower_ascii(data))
-        _, at, self.term = np.unique(spans.hash(starts, ends), return_index=True, return_inverse=True)
-        starts, ends = starts[at], ends[at]
-        size = ends - starts
-        self.different = len(at)
-        parent = np.full(len(at), SIZE)
-        self.edges = []
-
-        def step(own: np.ndarray, h: np.ndarray) -> None:
-            child = (h & np.uint64(SIZE - 1)).astype(np.int64)
-            self.edges.append((own, parent[own], child, h >> np.uint64(58), False))
-            parent[own] = child
-
-        def slide(own: np.ndarray, context: np.ndarray, h: np.ndarray) -> None:
-            node = lambda x: (x & np.uint64(SIZE - 1)).astype(np.int64) + (SIZE + 1)
-            self.edges.append((own, node(context), node(h), h >> np.uint64(58), True))
-
-        for level in range(1, DEPTH + 1):
-            own = np.flatnonzero(size >= level)
-            step(own, spans.hash(starts[own], starts[own] + level))
-        own = np.flatnonzero(size <= DEPTH)
-        step(own, mix(spans.hash(starts[own], ends[own]) ^ _END))
-        long = np.flatnonzero(size > DEPTH)
-        left = size[long] - DEPTH
-        own = np.repeat(long, left)
-        begin = starts[own] + np.arange(len(own)) - np.repeat(np.cumsum(left) - left, left)
-        slide(own, spans.hash(begin, begin + DEPTH), spans.hash(begin, begin + DEPTH + 1))
-        last = spans.hash(ends[long] - DEPTH, ends[long])
-        slide(long, last, mix(last ^ _END))
-
-
-def distinct(bitmap: np.ndarray) -> np.ndarray:
-    """Linear-counting estimate of how many distinct items set the bits."""
-    ones = np.minimum(np.bitwise_count(bitmap.astype(np.uint64)), 63).astype(float)
-    return -64 * np.log1p(-ones / 64)
-
-
-def class_counts(rows: DataFrame, text_col: str, toxic_col: str) -> DataFrame:
-    """(bucket, toxic, n, fan): occurrences of a node in a class, and the bitmap of what follows it."""
+def runs(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, place) of each element of groups of these sizes."""
+    own = np.repeat(np.arange(len(size)), size)
+    return own, np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and document numbers of the terms, in their order."""
+    starts, ends, doc, _ = words(np.where(alphanumeric(data), data, np.uint8(32)), off)
+    wide = np.concatenate([[0], np.cumsum(data >= 0xE0)])
+    size = ends - starts
+    cut = (size > LONGEST) | ((wide[ends] > wide[starts]) & (size > PIECE))
+    if not cut.any():
+        return starts, ends, doc
+    own, at = runs(size[cut] - PIECE + 1)
+    begin = starts[cut][own] + at
+    head = (data[begin] & 0xC0) != 0x80
+    own, begin = own[head], begin[head]
+    end = begin + PIECE
+    last = np.append(own[1:] != own[:-1], True)
+    end[last] = ends[cut][own[last]]  # at most three bytes more
+    begin, end, of = np.concatenate([starts[~cut], begin]), np.concatenate([ends[~cut], end]), np.concatenate([doc[~cut], doc[cut][own]])
+    order = np.argsort(begin, kind="stable")
+    return begin[order], end[order], of[order]
+
+
+def binaries(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    own, at = runs(ends - starts)
+    off = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(data[starts[own] + at])])
+
+
+def term_counts(rows: DataFrame, text_col: str, toxic_col: str) -> DataFrame:
+    """(term, toxic, plain, df): every different term with its occurrences in texts of either class
+    (``toxic_col`` 1 or 0; null teaches no class) and the number of texts that have it."""
     def run(batches):
-        count, fan = np.zeros((2, WIDTH), np.int64), np.zeros((2, WIDTH), np.uint64)
         for b in batches:
-            toxic = np.asarray(b.column(1).to_pylist(), np.int64)
-            for a, z, data, off in buffers(b.column(0)):
-                s = Steps(data, off)
-                cls = toxic[a:z][s.doc]
-                for c in (0, 1):
-                    times = np.bincount(s.term[cls == c], minlength=s.different)
-                    count[c, SIZE] += times.sum()
-                    for own, parent, child, slot, slides in s.edges:
-                        m = np.flatnonzero(times[own])
-                        np.add.at(count[c], child[m], times[own[m]])
-                        if slides:
-                            np.add.at(count[c], parent[m], times[own[m]])
-                        np.bitwise_or.at(fan[c], parent[m], np.uint64(1) << slot[m])
-        for c in (0, 1):
-            at = np.flatnonzero(count[c])
-            for k in range(0, len(at), 1 << 16):
-                p = at[k:k + (1 << 16)]
+            label = np.asarray(b.column(1).fill_null(-1).to_pylist(), np.int64)
+            for a, z, data, off in buffers(b.column(0), STEP):
+                starts, ends, doc = terms(data, off)
+                data = lower_ascii(data)
+                _, at, term = np.unique(Spans(data).hash(starts, ends), return_index=True, return_inverse=True)
+                n = len(at)
+                if not n:
+                    continue
+                cls = label[a:z][doc]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p.astype(np.int32)), pa.array(np.full(len(p), c, np.int32)), pa.array(count[c, p]), pa.array(fan[c, p].view(np.int64))],
-                    names=["bucket", "toxic", "n", "fan"])
+                    [binaries(data, starts[at], ends[at]), pa.array(np.bincount(term[cls == 1], minlength=n)), pa.array(np.bincount(term[cls == 0], minlength=n)),
+                     pa.array(np.bincount(np.unique(doc * n + term) % n, minlength=n))], names=["term", "toxic", "plain", "df"])
 
-    made = map_batches(rows.select(text_col, toxic_col), run, "bucket int, toxic int, n long, fan long")
-    return made.groupBy("bucket", "toxic").agg(F.sum("n").alias("n"), F.bit_or("fan").alias("fan"))
+    made = map_batches(rows.select(text_col, toxic_col), run, "term binary, toxic long, plain long, df long")
+    return made.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("toxic", "plain", "df")])
 
 
-def shared_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(bucket, df): how many different terms of documents go through a node (the root: all),
-    summed over all documents."""
-    def run(batches):
-        df = np.zeros(WIDTH, np.int64)
-        for b in batches:
-            for _, _, data, off in buffers(b.column(0)):
-                s = Steps(data, off)
-                if not s.different:
-                    continue
-                times = np.bincount(np.unique(s.doc * s.different + s.term) % s.different, minlength=s.different)
-                df[SIZE] += times.sum()
-                for own, parent, child, _, slides in s.edges:
-                    np.add.at(df, child, times[own])
-                    if slides:
-                        np.add.at(df, parent, times[own])
-        at = np.flatnonzero(df)
-        for k in range(0, len(at), 1 << 16):
-            p = at[k:k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(df[p])], names=["bucket", "df"])
-
-    return map_batches(docs.select(text_col), run, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
-
-
-class Models:
-    """The two models' tables: five arrays of WIDTH floats, whatever the corpus' size."""
-
-    def __init__(self, counts: pa.Table, shared: pa.Table):
-        self.n, fan = np.zeros((2, WIDTH), np.float32), np.zeros((2, WIDTH), np.int64)
-        bucket, cls = counts.column("bucket").to_numpy(), counts.column("toxic").to_numpy()
-        self.n[cls, bucket] = counts.column("n").to_numpy()
-        fan[cls, bucket] = counts.column("fan").to_numpy()
-        #: what the discount leaves to the shared distribution, after each node
-        rest = DISCOUNT * np.maximum(distinct(fan.view(np.uint64)), 1) / np.maximum(self.n, 1)
-        self.rest = np.where(self.n > 0, np.minimum(rest, 1), 1).astype(np.float32)
-        self.df = np.zeros(WIDTH, np.float32)
-        self.df[shared.column("bucket").to_numpy()] = shared.column("df").to_numpy()
-
-    def ratio(self, s: Steps) -> np.ndarray:
-        """log P(term | toxic) - log P(term | ordinary) of every term."""
-        out = np.zeros(s.different)
-        for own, parent, child, _, slides in s.edges:
-            back = np.minimum((self.df[child] + 0.1) / (self.df[parent] + (0.1 if slides else 1)), 1)  # a long term's only way on adds nothing
-            p = []
-            for c in (1, 0):
-                n = self.n[c, parent]
-                high = np.maximum(np.minimum(self.n[c, child], n) - DISCOUNT, 0) / np.maximum(n, 1)
-                p.append(high + self.rest[c, parent] * back)
-            np.add.at(out, own, np.log(p[0] / p[1]))
-        return out[s.term]
+def ranges(counts: DataFrame, size: int = RANGE) -> DataFrame:
+    """``counts`` with the number of the range of sorted terms that each lies in (range)."""
+    spark, n = counts.sparkSession, counts.count()
+    parts = -(-n // size)
+    every = max(1, n // max(1, parts * SAMPLED))
+    sample = sorted(counts.where(F.pmod(F.xxhash64("term"), F.lit(every)) == 0).select("term").toArrow().column(0).to_pylist()) if parts > 1 else []
+    cuts = [sample[i * len(sample) // parts] for i in range(1, parts)] if len(sample) >= parts else sample
+    held = spark.sparkContext.broadcast(np.array(cuts, f"S{LONGEST}"))  # terms have no zero bytes
+
+    def run(batch) -> Iterator[dict]:
+        at = np.searchsorted(held.value, np.array(batch.column(0).to_pylist(), f"S{LONGEST}"), "right")
+        yield {c: batch.column(i) for i, c in enumerate(batch.schema.names)} | {"range": at}
+
+    return map_rows(counts, "term binary, toxic long, plain long, df long, range int", run)
+
+
+class Range:
+    """The walks of a range's terms: the steps (key), each with its parent and its counts, toxic,
+    ordinary and shared; and for every term and step on its way (own, step)."""
+
+    def __init__(self, table: pa.Table):
+        _, n, data, off = next(buffers(table.column("term").combine_chunks(), 1 << 40))
+        size = off[1:] - off[:-1]
+        self.own, level = runs(size + 1)
+        self.spans, begin = Spans(data), off[:-1][self.own]
+        self.hash = self.spans.hash(off[:-1], off[1:])
+        parent = self.spans.hash(begin, begin + level)
+        last = level == size[self.own]
+        to = mix(parent ^ _END)
+        to[~last] = self.spans.hash(begin[~last], begin[~last] + level[~last] + 1)
+        self.key, at, self.step = np.unique(to, return_index=True, return_inverse=True)
+        self.parent = parent[at]
+        self.counts = [np.bincount(self.step, table.column(c).to_numpy()[self.own]) for c in ("toxic", "plain", "df")]
+        raw = table.column("term").to_pylist()
+        ends = [raw.index(x) for x in (min(raw), max(raw))]
+        #: steps from prefixes of the range's first or last term
+        self.outer = np.isin(self.parent, np.concatenate([self.spans.hash(np.full(size[i] + 1, off[i]), off[i] + np.arange(size[i] + 1)) for i in ends]))
+
+    def ratios(self, outer: tuple[np.ndarray, ...]) -> np.ndarray:
+        """log P(term | toxic) - log P(term | ordinary) of every term. ``outer``: (parent, step, counts...)
+        over all ranges of the steps from outer prefixes, by step."""
+        parents, inverse = np.unique(self.parent, return_inverse=True)
+        mine = np.flatnonzero(self.outer)
+        at = np.searchsorted(outer[1], self.key[mine])
+        theirs = np.flatnonzero(np.isin(outer[0], self.parent[mine]))
+        node = np.searchsorted(parents, outer[0][theirs])
+        whole = np.unique(node)
+
+        def counted(count: np.ndarray, everywhere: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Of every step: its count, its parent's, and how many steps the parent has."""
+            count = count.copy()
+            total, fan = np.bincount(inverse, count), np.bincount(inverse, count > 0)
+            count[mine] = everywhere[at]
+            total[whole] = np.bincount(node, everywhere[theirs], len(parents))[whole]
+            fan[whole] = np.bincount(node, everywhere[theirs] > 0, len(parents))[whole]
+            return count, total[inverse], fan[inverse]
+
+        toxic, plain, (df, all_df, _) = (counted(c, e) for c, e in zip(self.counts, outer[2:], strict=True))
+        p = []
+        for count, total, fan in (toxic, plain):
+            some = np.maximum(total, 1)
+            p.append(np.maximum(count - DISCOUNT, 0) / some + np.where(total > 0, DISCOUNT * fan / some, 1) * df / all_df)
+        return np.bincount(self.own, np.log(p[0] / p[1])[self.step], len(self.hash))
+
+
+def term_ratios(counts: DataFrame, size: int = RANGE) -> DataFrame:
+    """(hash, ratio, df) of every term of ``term_counts``."""
+    spark = counts.sparkSession
+    ship(spark)
+    ranged = ranges(counts, size).groupBy("range")
+
+    def edges(table: pa.Table) -> pa.Table:
+        r = Range(table)
+        return pa.table({"parent": r.parent[r.outer].view(np.int64), "step": r.key[r.outer].view(np.int64)}
+                        | {c: v[r.outer].astype(np.int64) for c, v in zip(("toxic", "plain", "df"), r.counts, strict=True)})
+
+    shared = ranged.applyInArrow(edges, "parent long, step long, toxic long, plain long, df long").groupBy("parent", "step") \
+        .agg(*[F.sum(c).alias(c) for c in ("toxic", "plain", "df")]).toArrow()  # a few hundred for each range
+    outer = [shared.column(i).to_numpy() for i in range(5)]
+    outer = [outer[0].view(np.uint64), outer[1].view(np.uint64), *outer[2:]]
+    order = np.argsort(outer[1])
+    held = spark.sparkContext.broadcast(tuple(c[order] for c in outer))
+
+    def solve(table: pa.Table) -> pa.Table:
+        r = Range(table)
+        return pa.table({"hash": r.hash.view(np.int64), "ratio": r.ratios(held.value).round(9), "df": table.column("df")})
+
+    return ranged.applyInArrow(solve, "hash long, ratio double, df long")
 
 
 def summaries(ratio: np.ndarray, doc: np.ndarray, n: int) -> dict[str, np.ndarray]:
@@ -181,17 +204,66 @@ def summaries(ratio: np.ndarray, doc: np.ndarray, n: int) -> dict[str, np.ndarra
             "top_ratio": np.where(size > 0, top, 0.0), "top_term": np.where(size > 0, term, 0.0)}
 
 
-def log_ratios(docs: DataFrame, models: Models, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_terms, mean_ratio, top_ratio, top_term) of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(models)  # of fixed size
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_terms long, mean_ratio double, top_ratio double, top_term double"
+class Held:
+    """The ratios of some terms, by hash."""
 
-    def run(batch) -> Iterator[dict]:
+    def __init__(self, found: pa.Table):
+        h = found.column("hash").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        self.hash, self.ratio = h[order], found.column("ratio").to_numpy()[order]
+
+    def get(self, h: np.ndarray) -> np.ndarray:
+        """The ratios of different terms; NaN for others."""
+        if not len(self.hash):
+            return np.full(len(h), np.nan)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        return np.where(self.hash[at] == h, self.ratio[at], np.nan)
+
+
+def log_ratios(docs: DataFrame, ratios: DataFrame, id_col: str, text_col: str, most: int = BROADCAST_TERMS) -> DataFrame:
+    """(id, n_terms, mean_ratio, top_ratio, top_term) of every row, from texts that were counted (of
+    others, terms that no counted text has give 0). Up to ``most`` terms' ratios are
+    sent to every task. If there are more, the ``most`` frequent are, the others' occurrences
+    are joined by a shuffle, and the windows are Spark's."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"{id_col} {kind}, n_terms long, mean_ratio double, top_ratio double, top_term double"
+    fits = ratios.count() <= most
+    sent = ratios if fits else ratios.orderBy(F.desc("df"), "hash").limit(most)
+    held = docs.sparkSession.sparkContext.broadcast(Held(sent.select("hash", "ratio").toArrow()))
+
+    def looked_up(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts, ends, doc = terms(data, off)
+        h, term = np.unique(Spans(lower_ascii(data)).hash(starts, ends), return_inverse=True)
+        return held.value.get(h)[term], h[term], doc
+
+    def whole(batch) -> Iterator[dict]:
         for a, z, data, off in buffers(batch.column(1)):
-            s = Steps(data, off)
-            yield {id_col: batch.column(0).slice(a, z - a)} | summaries(held.value.ratio(s), s.doc, z - a)
+            ratio, _, doc = looked_up(data, off)
+            yield {id_col: batch.column(0).slice(a, z - a)} | summaries(np.nan_to_num(ratio), doc, z - a)
 
-    return map_rows(docs.select(id_col, text_col), schema, run)
+    if fits:
+        return map_rows(docs.select(id_col, text_col), schema, whole)
+
+    def single(batch) -> Iterator[dict]:
+        for a, z, data, off in buffers(batch.column(1)):
+            ratio, h, doc = looked_up(data, off)
+            size = np.bincount(doc, minlength=z - a)
+            row = np.concatenate([np.arange(z - a), doc])  # a row without a term first, then the terms
+            pos = np.concatenate([np.full(z - a, -1), runs(size)[1]])
+            yield {id_col: batch.column(0).slice(a, z - a).take(pa.array(row)), "row": batch.column(2).slice(a, z - a).take(pa.array(row)), "pos": pos,
+                   "hash": np.concatenate([np.zeros(z - a, np.int64), h.view(np.int64)]),
+                   "ratio": pa.array(np.concatenate([np.zeros(z - a), ratio]), pa.float64(), from_pandas=True)}
+
+    one = map_rows(docs.select(id_col, text_col, F.monotonically_increasing_id().alias("row")), f"{id_col} {kind}, row long, pos long, hash long, ratio double", single)
+    one = written(one, "toxic-terms")
+    rest = one.where("ratio IS NULL").drop("ratio").join(ratios.select("hash", "ratio"), "hash", "left").fillna(0.0, ["ratio"])
+    one = one.where("ratio IS NOT NULL").unionByName(rest)
+    ahead = Window.partitionBy("row").orderBy("pos").rowsBetween(0, SPAN - 1)
+    term = F.col("pos") >= 0
+    of = one.withColumn("_top", F.sum("ratio").over(ahead) / SPAN).groupBy("row").agg(
+        F.min(id_col).alias(id_col), F.count_if(term).alias("n_terms"), F.avg(F.when(term, F.col("ratio"))).alias("mean_ratio"),
+        F.max(F.when(term, F.col("_top"))).alias("top_ratio"), F.max(F.when(term, F.col("ratio"))).alias("top_term"))
+    return of.select(id_col, "n_terms", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean_ratio", "top_ratio", "top_term")])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
@@ -213,13 +285,6 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndar
     return w
 
 
-def _fewer(docs: DataFrame) -> DataFrame:
-    """The rows in a quarter as many tasks, two for each core at least: what a counting task
-    hands over is a table of fixed size, so larger tasks hand over less for each row."""
-    parts, cores = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
-    return docs.coalesce(max(1, min(parts, max(2 * cores, parts // 4))))
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "toxic", fit_rows: int = 20_000) -> DataFrame:
     """(id, held_out, n_terms, mean_ratio, top_ratio, top_term, score, predicted) of every row.
@@ -234,10 +299,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = known.select(F.col(id_col).alias("_id"), "_toxic", fold(id_col).alias("_fold"))
     teaching = written(known.where("_fold IN (1, 2, 3)").drop("_fold"), "toxic-labels")
     teaching = F.broadcast(teaching) if teaching.count() <= BROADCAST_LABELS else teaching
-    fewer = _fewer(docs)
-    taught = fewer.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(fold("_id").isin(1, 2, 3)).join(teaching, "_id")
-    models = Models(class_counts(taught, "_text", "_toxic").toArrow(), shared_counts(fewer, text_col).toArrow())
-    found = written(log_ratios(docs, models, id_col, text_col), "toxic-ratios")
+    taught = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(teaching, "_id", "left")
+    ratios = written(term_ratios(written(term_counts(taught, "_text", "_toxic"), "toxic-counts")), "toxic-terms")
+    found = written(log_ratios(docs, ratios, id_col, text_col), "toxic-ratios")
     sample = found.join(known.where("_fold = 4"), found[id_col] == F.col("_id")) \
         .select(*FEATURES, "_toxic", "_id").orderBy(F.xxhash64("_id"), "_id", *FEATURES).limit(fit_rows).toArrow()
     x = np.column_stack([sample.column(f).to_numpy() for f in FEATURES])

@@ -481,21 +481,81 @@ def test_held_out_accuracy(spark):
     assert np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]) > 0.9
 
 
+def _learnt(docs, **how):
+    return toxicity.term_ratios(toxicity.term_counts(docs, "text", "toxic"), **how)
+
+
 def test_terms_are_walked_to_their_end(spark):
-    texts = ["abcdefghijkl abcdefgh a", "éèêëé", "x" * 5000]
+    texts = ["abcdefghijkl abcdefgh a", "éèêëé", "x" * 5000, "今天天气很好我们出去玩", "a" * 32 + " " + "b" * 33]
     for _, _, data, off in buffers(pa.array(texts)):
-        s = toxicity.Steps(data, off)
-    steps = sum(np.bincount(own, minlength=s.different) for own, *_ in s.edges)
-    assert [int(x) for x in steps[s.term]] == [len(t.encode()) + 1 for t in " ".join(texts).split()]
+        starts, ends, doc = toxicity.terms(data, off)
+    read = [data[a:b].tobytes() for a, b in zip(starts, ends)]
+    assert read[:4] == [b"abcdefghijkl", b"abcdefgh", b"a", "éèêëé".encode()] and max(map(len, read)) <= toxicity.LONGEST
+    seen = np.zeros(len(data), bool)
+    for a, b in zip(starts, ends):
+        seen[a:b] = True
+    assert data[~seen].tobytes().strip() == b"" and "气很好我".encode() in read and b"a" * 32 in read
     # words, and sentences without blanks, that differ only behind the eighth byte
     pairs = [("umweltschutzgesetz", "umweltschutzhalunke"), ("今天天气很好我们出去玩", "今天天气很好你是个坏蛋")]
     for fine, toxic in pairs:
         rows = [(i, f"{toxic if i % 2 else fine} w{i}", i % 2) for i in range(40)]
-        taught = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-        models = toxicity.Models(toxicity.class_counts(taught, "text", "toxic").toArrow(), toxicity.shared_counts(taught, "text").toArrow())
-        asked = spark.createDataFrame([(0, fine), (1, toxic), (2, fine[:2] + toxic[2:]), (3, "ganz " + toxic[:-1])], "doc_id long, text string")
-        got = {r.doc_id: r.top_term for r in toxicity.log_ratios(asked, models, "doc_id", "text").collect()}
-        assert got[0] < -0.5 and got[1] > 0.5 and got[2] > 0.5 and got[3] > 0.5
+        asked = [(100, fine), (101, toxic), (102, fine[:2] + toxic[2:]), (103, "ganz " + toxic[:-1])]
+        ratios = _learnt(spark.createDataFrame(rows + [(*r, None) for r in asked], "doc_id long, text string, toxic int"))
+        asked = spark.createDataFrame(asked, "doc_id long, text string")
+        got = {r.doc_id - 100: r for r in toxicity.log_ratios(asked, ratios, "doc_id", "text").collect()}
+        # a sentence without blanks is several terms, of which those that both classes share speak for neither
+        assert (got[0].top_term if fine.isascii() else got[0].mean_ratio) < -0.5 and all(got[i].top_term > 0.5 for i in (1, 2, 3))
+
+
+def test_kneser_ney_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    parts = ["ab", "b", "ca", "é", "zu", "今", "0"]
+    texts = [(i, " ".join("".join(rng.choice(parts, rng.integers(1, 6))) for _ in range(rng.integers(0, 25))), [0, 1, None][i % 3]) for i in range(60)]
+    texts += [(60, None, 1), (61, "", 0), (62, "ab " * 40, 1)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+
+    split = lambda t: [w.encode() for w in (t or "").split()]
+    def pieces(t):  # as documented: whole runs, or pieces from each character of long ones with wide characters
+        for w in split(t):
+            if len(w) <= 12 or len(w) <= 32 and max(w) < 0xE0:
+                yield w
+            else:
+                at = [i for i in range(len(w) - 11) if w[i] & 0xC0 != 0x80]
+                yield from (w[i:len(w) if i == at[-1] else i + 12] for i in at)
+    steps = lambda w: [(w[:i], w[i:i + 1]) for i in range(len(w) + 1)]
+    n, df = ({}, {}), {}
+    for _, t, c in texts:
+        for w in pieces(t):
+            for s in steps(w) if c is not None else ():
+                n[c][s] = n[c].get(s, 0) + 1
+        for w in set(pieces(t)):
+            for s in steps(w):
+                df[s] = df.get(s, 0) + 1
+
+    def p(c, s):
+        mine = {k: v for k, v in n[c].items() if k[0] == s[0]}
+        back = df[s] / sum(v for k, v in df.items() if k[0] == s[0])
+        total = sum(mine.values())
+        return (max(mine.get(s, 0) - 0.75, 0) + 0.75 * len(mine) * back) / total if total else back
+    every = {w for _, t, _ in texts for w in pieces(t)}
+    want = {w: sum(np.log(p(1, s) / p(0, s)) for s in steps(w)) for w in every}
+    by_hash = {}
+    for w in every:
+        d = np.frombuffer(w, np.uint8)
+        by_hash[int(toxicity.Spans(d).hash(np.array([0]), np.array([len(d)])).view(np.int64)[0])] = want[w]
+    for size in (7, 1 << 18):  # many ranges that share prefixes, and one
+        got = {r.hash: r.ratio for r in _learnt(docs, size=size).collect()}
+        assert got.keys() == by_hash.keys() and all(abs(got[h] - by_hash[h]) < 1e-6 for h in got)
+
+    found = _learnt(docs, size=50)
+    near = lambda rows: sorted((r.doc_id, r.n_terms, *(round(float(x), 6) + 0.0 for x in (r.mean_ratio, r.top_ratio, r.top_term))) for r in rows)
+    sent, joined = (near(toxicity.log_ratios(docs, found, "doc_id", "text", most=most).collect()) for most in (10**6, 9))
+    assert np.allclose(sent, joined, atol=2e-6)
+    for i, k, mean, top, term in sent:
+        r = [want[w] for w in pieces(texts[i][1])]
+        assert k == len(r)
+        if r:
+            assert np.allclose((mean, top, term), (np.mean(r), max(sum(r[j:j + 12]) / 12 for j in range(len(r))), max(r)), atol=2e-6)
 
 
 def test_cumulative_link_orders_three_grades():
