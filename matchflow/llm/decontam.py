@@ -7,6 +7,8 @@ must be consistent: one value of the item stands for one value of the document t
 That finds items that were copied and items that were asked anew with other numbers and names.
 Beside each window goes one in which the letter case is folded: a word is a name only for its
 capital, so a copy in capitals or in lower case has other names, but the same folded windows.
+Items that have no window, because they are short or nearly all placeholders, are found verbatim
+in any letter case: their first tokens are hash-joined, and the rest is compared.
 Everything is DataFrame functions.
 """
 
@@ -19,6 +21,7 @@ from matchflow.llm.common import written
 
 WIDTH = 8  # a power of two
 LITERALS = 4  # tokens of an item's window that must not be placeholders
+SHORTEST = 5  # tokens of the shortest item that is looked for
 #: Item windows up to which they are sent to every task; more are joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
 # Words that are numbers, and units.
@@ -87,6 +90,33 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return w.select("item", "item_tokens", "item_types", "at", F.expr("IF(typed, w, f)").alias("window"), "typed")
 
 
+def _firsts(column: str) -> Column:
+    """Hashes of the SHORTEST tokens from each on; those with fewer left are none."""
+    hashed = F.transform(column, lambda x, i: F.xxhash64(x, *[F.get(F.col(column), i + k) for k in range(1, SHORTEST)]))
+    return F.slice(hashed, 1, F.greatest(F.size(column) - (SHORTEST - 1), F.lit(0)))
+
+
+def _verbatim(docs: DataFrame, items: DataFrame, windows: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str) -> DataFrame | None:
+    """(id, item_id, 1, 1, 0, true): documents that hold all tokens of an item that has no window,
+    in any letter case. None where there is no such item, so that no text is read for none."""
+    short = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), tokens(F.col(item_text)).alias("item_tokens")) \
+        .where(F.size("item_tokens") >= SHORTEST).join(windows.select("item", "item_tokens").distinct(), ["item", "item_tokens"], "left_anti")
+    short = short.select("item", F.transform("item_tokens", F.lower).alias("item_tokens")).distinct() \
+        .select("*", F.get(_firsts("item_tokens"), F.lit(0)).alias("first"))
+    n = short.count()
+    if not n:
+        return None
+    low = docs.select(F.col(id_col).alias("doc"), F.transform(tokens(F.col(text_col)), F.lower).alias("t"))
+    found = low.select("doc", F.posexplode_outer(_firsts("t")).alias("pos", "first")) \
+        .join(F.broadcast(short) if n <= BROADCAST_WINDOWS else short, "first").drop("first")
+    hits = found.select(F.col("doc").alias("_hit")).distinct()
+    words = low.withColumnRenamed("doc", "_id").join(hits, F.col("_id").eqNullSafe(F.col("_hit")), "left_semi").distinct()
+    found = found.join(words, F.col("doc").eqNullSafe(F.col("_id"))).where(F.slice("t", F.col("pos") + 1, F.size("item_tokens")) == F.col("item_tokens"))
+    one = F.lit(1).cast("long")
+    return found.select(F.col("doc").alias(id_col), F.col("item").alias("item_id"), one.alias("n_matched"), one.alias("n_windows"),
+                        F.lit(0).cast("long").alias("n_slots"), F.lit(True).alias("exact")).distinct()
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_id: str = "item_id", item_text: str = "text", share: float = 0.5) -> DataFrame:
     """(id, item, n_matched, n_windows, n_slots, exact): documents that hold an item.
@@ -94,8 +124,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     Reported where the item's windows found on consistent alignments are at least ``share`` of
     its windows, typed ones alone or together with folded ones, which cover the item's windows as
     well. exact: every slot has the item's own value, in any letter case. A null text is empty;
-    items with a null id, of fewer than WIDTH tokens, or without a window of LITERALS literal
-    tokens (or words, where all have capitals) can't be found and aren't reported. Documents with a null id are reported under the null id, and
+    items of fewer than WIDTH tokens, or without a window of LITERALS literal tokens (or words,
+    where all have capitals) are reported where all their tokens are found in their order, in any
+    letter case. Items with a null id or of fewer than SHORTEST tokens aren't looked for. Documents with a null id are reported under the null id, and
     rows that repeat an id count as one document; items that repeat an id with another text are
     matched by whichever text has more. Empty tables give no rows; other columns are not read."""
     windows = item_windows(items, item_id, item_text)
@@ -127,6 +158,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     whole = lines.groupBy("doc", "item", "text_hash", "way").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("n_matched"), F.max("n_windows").alias("n_windows"),
         F.max(F.size("slots")).cast("long").alias("n_slots"), F.min("exact").alias("exact"))
-    best = whole.where(F.col("n_matched") >= share * F.col("n_windows")).groupBy("doc", "item").agg(
+    best = lambda df, doc, item: df.groupBy(doc, item).agg(
         F.max(F.struct(F.col("n_matched"), F.col("n_windows"), F.col("n_slots"), F.col("exact"))).alias("b"))
-    return best.select(F.col("doc").alias(id_col), F.col("item").alias("item_id"), "b.*")
+    out = best(whole.where(F.col("n_matched") >= share * F.col("n_windows")), "doc", "item") \
+        .select(F.col("doc").alias(id_col), F.col("item").alias("item_id"), "b.*")
+    more = _verbatim(docs, items, windows, id_col, text_col, item_id, item_text)
+    return out if more is None else best(out.unionByName(more), id_col, "item_id").select(id_col, "item_id", "b.*")

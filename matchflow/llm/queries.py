@@ -120,7 +120,9 @@ sl AS (SELECT doc_id, item_id, way, shift, count(*) AS n_slots, count(DISTINCT m
 ln AS (SELECT h.doc_id, h.item_id, h.way, h.pos, coalesce(n_slots, 0) AS n_slots, coalesce(exact, true) AS exact FROM hit h LEFT JOIN sl USING (doc_id, item_id, way, shift)
   WHERE coalesce(n_slots = n_mine, true)),
 found AS (SELECT doc_id, item_id, way, count(DISTINCT pos) AS n_matched, any_value(n_windows) AS n_windows, max(n_slots) AS n_slots, bool_and(exact) AS exact
-  FROM ln JOIN nw USING (item_id) GROUP BY doc_id, item_id, way HAVING count(DISTINCT pos) >= 0.5 * any_value(n_windows))
+  FROM ln JOIN nw USING (item_id) GROUP BY doc_id, item_id, way HAVING count(DISTINCT pos) >= 0.5 * any_value(n_windows)
+  UNION ALL SELECT DISTINCT w.doc_id, b.item_id, 0, 1, 1, 0, true FROM w JOIN b ON len(b.toks) >= {decontam.SHORTEST} AND b.item_id NOT IN (SELECT item_id FROM iv)
+    AND contains(lower(' ' || array_to_string(w.toks, ' ') || ' '), lower(' ' || array_to_string(b.toks, ' ') || ' ')))
 SELECT doc_id, item_id, n_matched, n_windows, n_slots, exact FROM found
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matched DESC, n_slots DESC, exact DESC) = 1"""
 

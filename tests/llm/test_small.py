@@ -291,6 +291,27 @@ def test_template_leaks_in_any_letter_case(spark):
     assert all(r.exact == (i != 4) for (i, _), r in got.items()) and all(got[i, 1].n_matched == got[i, 1].n_windows for i in range(5))
 
 
+def test_leaks_of_items_without_windows(spark, none):
+    import duckdb
+    short, figures = "Which planet is the largest?", "Sum 12 15 18 21 24 plus 27 30 33 36 39"
+    items = spark.createDataFrame([(1, short), (2, figures), (3, "Why not?"), (4, "who wrote the play about which all of this was said"), (5, None), (1, short)],
+                                  "item_id long, text string")
+    docs = [(1, "He asked: which PLANET is the largest - and"), (2, "the largest planet is which"), (3, "which planet is the larger"), (4, figures.lower() + " 27"),
+            (5, figures.replace("18", "19")), (6, "Why not?"), (7, None), (8, ""), (9, short), (9, short), (10, "x " * 3000 + short + " " + figures),
+            (11, "Who wrote the play about which all of this was said?"), (12, "a which planet is the largest1")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {tuple(r) for r in decontam.contaminated(docs, items).collect()}
+    assert {r[:2] for r in got} == {(1, 1), (4, 2), (9, 1), (10, 1), (10, 2), (11, 4)}
+    assert all(r[2:] == (1, 1, 0, True) for r in got if r[1] != 4)
+    con = duckdb.connect()
+    con.register("documents", docs.distinct().toPandas())
+    con.register("benchmark", items.distinct().toPandas())
+    assert {tuple(r) for r in con.execute(ORACLE_SQL["op2_template_leaks"]).fetchall()} == got
+    assert decontam.contaminated(none, items).count() == 0
+    unnamed = spark.createDataFrame([(None, short)], "doc_id long, text string")
+    assert [tuple(r) for r in decontam.contaminated(unnamed, items).collect()] == [(None, 1, 1, 1, 0, True)]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     res = compare(spark, SF_SMALL, [name], verbose=False)[name]
