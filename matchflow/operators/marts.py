@@ -153,6 +153,20 @@ def stats_notifications(n: DataFrame) -> DataFrame:
         F.countDistinct("match_id").alias("nombre_matchs_distincts"))
 
 
+def stats_notification_groups(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """A5 of the notifications that groups stand for (``notify.expand_groups``), without making them: a
+    group counts its audience's members, and each audience's users are told apart once for a
+    type. A group without members is no notification."""
+    to = ["audience", "sport_id"]
+    sent = groups.join(members.groupBy(*to).agg(F.count(F.lit(1)).alias("_n")), to)
+    counts = sent.groupBy("type").agg(F.sum("_n").alias("nombre_notifications"),
+                                      F.countDistinct("match_id").alias("nombre_matchs_distincts"))
+    users = sent.select(F.col("type").alias("_type"), *to).distinct().join(members, to) \
+        .groupBy("_type").agg(F.countDistinct("user_id").alias("nombre_utilisateurs_distincts"))
+    return counts.join(users, F.col("type").eqNullSafe(F.col("_type"))).select(
+        "type", "nombre_notifications", "nombre_utilisateurs_distincts", "nombre_matchs_distincts")
+
+
 def stats_notifications_approx(n: DataFrame, rsd: float = 0.02) -> DataFrame:
     """A5 with HyperLogLog distinct counts: no Expand, fixed-size state."""
     return n.groupBy("type").agg(

@@ -37,6 +37,11 @@ USER = _struct(("user_id", L), ("prenom", S), ("nom", S), ("email", S),
 NOTIFICATION = _struct(("notification_id", S), ("user_id", L), ("match_id", L),
                        ("type", S), ("contenu", S), ("date_envoi", S), ("statut", S))
 
+# The notifications of one event, which differ in nothing but their users: the event and the audience
+# that gets it, see operators.notify.
+NOTIFICATION_GROUP = _struct(("group_id", S), ("audience", S), ("sport_id", I), ("match_id", L),
+                             ("type", S), ("contenu", S), ("date_envoi", S), ("statut", S))
+
 PRODUCT = _struct(("produit_id", L), ("nom", S), ("categorie", S), ("prix", T.DoubleType()))
 
 # Upstream feed document: {"matches": [ {utcDate, status, venue, homeTeam{name},
@@ -62,6 +67,7 @@ ENTITIES = {
     "matchs": (MATCH, "match_id"),
     "users": (USER, "user_id"),
     "notifications": (NOTIFICATION, "notification_id"),
+    "notification_groups": (NOTIFICATION_GROUP, "group_id"),
 }
 
 # Curated match columns whose wire strings become timestamps.

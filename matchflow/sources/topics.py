@@ -64,6 +64,10 @@ def write_kafka(df: DataFrame, servers: str, topic: str) -> None:
        .option("topic", topic).save())
 
 
+#: Records of a file of a directory topic. Files are compressed, so one is read by one task.
+FILE_RECORDS = 100_000
+
+
 def topic_dir(root: str, topic: str) -> str:
     return f"{root.rstrip('/')}/topic={topic}"
 
@@ -81,7 +85,7 @@ def write_dir_topic(records: DataFrame, root: str, topic: str, mode: str = "appe
     path = topic_dir(root, topic)
     if batch_id is not None:
         path = f"{path}/batch={batch_id}"
-    records.select(*cols).write.mode(mode).json(path)
+    records.select(*cols).write.mode(mode).option("maxRecordsPerFile", FILE_RECORDS).json(path, compression="gzip")
 
 
 def read_dir_topic(spark: SparkSession, root: str, topic: str, stream: bool = False,

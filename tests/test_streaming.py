@@ -293,3 +293,26 @@ def test_a_replayed_batch_sees_the_users_it_was_begun_with(spark, scratch, monke
     topics.write_dir_topic(_wire(spark, [(0, 9, "2024-01-01 00:00:00", {"match_id": 9, "sport_id": 1, "sport_nom": "F", "statut": "rappel"})]), root, "matchs")
     ingest.start_notifier(spark, root, out, ck, trigger=ONCE).awaitTermination()
     assert topics.read_dir_topic(spark, root, "notifications").count() == 9  # the next batch sees all three
+
+
+def test_notification_groups_are_all_notifications_in_rows_of_events_and_members(spark, scratch):
+    from matchflow.operators import marts, notify
+    tr, out, ck = (os.path.join(scratch, x) for x in ("topics", "out", "ckpt"))
+    people = [{"user_id": u, "sports_favoris": [1, 2] if u % 2 else [2, 2], "notification_active": None if u % 3 else True} for u in range(40)] \
+        + [{"user_id": 90, "sports_favoris": [1], "notification_active": False}, {"user_id": 91}]
+    topics.write_dir_topic(_wire(spark, [(0, i, "2024-01-01 00:00:00", p) for i, p in enumerate(people)]), tr, "users")
+    events = [{"match_id": i % 7 + 1, "sport_id": s, "sport_nom": "F", "statut": t}
+              for i, (s, t) in enumerate([(1, "rappel"), (2, "rappel"), (2, "en cours"), (9, "seul"), (None, "rappel")] * 6)]
+    topics.write_dir_topic(_wire(spark, [(0, i, "2024-01-01 00:00:01", e) for i, e in enumerate(events)]), tr, "matchs")
+    for grouped, entity in ((False, "notifications"), (True, "notification_groups")):
+        ingest.start_notifier(spark, tr, out, os.path.join(ck, entity), trigger=ONCE, grouped=grouped).awaitTermination()
+        ingest.start_ingest(spark, tr, out, ck, entity, trigger=ONCE).awaitTermination()
+    each = spark.read.parquet(os.path.join(out, "notifications"))
+    groups, members = ingest.read_groups(spark, out)
+    cols = ["notification_id", "user_id", "match_id", "type", "contenu", "date_envoi", "statut"]
+    got = notify.expand_groups(groups, members)
+    assert got.count() == each.count() > 400 and got.select(cols).exceptAll(each.select(cols)).count() == 0
+    want = marts.stats_notifications(each)
+    stats = marts.stats_notification_groups(groups, members)
+    assert stats.columns == want.columns and sorted(stats.collect()) == sorted(want.collect())
+    assert topics.read_dir_topic(spark, tr, "notification_groups").count() == 24 and members.count() == 60
