@@ -82,9 +82,10 @@ def merge_cells(df: DataFrame, key: str = "match_id", order: str | Sequence[str]
                 always_present: Sequence[str] = ALWAYS_PRESENT,
                 default_ts_field: str | None = "date_match",
                 nonzero_key: bool = True) -> DataFrame:
-    """The mergeable half of W2: one row of cells per key, each the last value of a
-    field with its log position. Cells of any parts of a log, in any order and
-    however often, combine (``combine_cells``) to those of the whole log."""
+    """The mergeable half of W2: one row of cells per key: the last full record, and the
+    last value of each field in partial records, with their log positions (a full record, of which a
+    log has the most, carries one position for all its fields). Cells of any parts of a log, in
+    any order and however often, combine (``combine_cells``) to those of the whole log."""
     o = _order(order)
     src = df.where(valid_key(key, nonzero_key))
     is_full = None
@@ -92,17 +93,17 @@ def merge_cells(df: DataFrame, key: str = "match_id", order: str | Sequence[str]
         p = _present(src, m)
         is_full = p if is_full is None else (is_full & p)
 
-    aggs = [F.max(F.when(is_full, o)).alias("_last_full"),
+    def value(f):
+        v = F.when(_present(src, f), F.col(f))
+        return v.otherwise(F.lit(0).cast(src.schema[f].dataType)) if f in always_present else v
+
+    aggs = [F.max(F.when(is_full, F.struct(o.alias("o"), *[value(f).alias(f) for f in fields]))).alias("_full"),
             F.min(o).alias("_first_o"), F.max(o).alias("_last_o")]
     if ts and ts in src.columns and default_ts_field:
         aggs.append(F.min_by(F.col(ts), o).alias("_first_ts"))
     for f in fields:
-        if f in always_present:
-            v = F.when(_present(src, f), F.col(f)).otherwise(F.lit(0).cast(src.schema[f].dataType))
-            aggs.append(F.max(F.struct(o.alias("o"), v.alias("v"))).alias(f"_{f}"))
-        else:
-            aggs.append(F.max(F.when(_present(src, f), F.struct(o.alias("o"), F.col(f).alias("v"))))
-                        .alias(f"_{f}"))
+        carried = ~is_full if f in always_present else ~is_full & _present(src, f)
+        aggs.append(F.max(F.when(carried, F.struct(o.alias("o"), value(f).alias("v")))).alias(f"_{f}"))
     return src.groupBy(key).agg(*aggs)
 
 
@@ -128,13 +129,14 @@ def finish_columns(cells: StructType, key: str = "match_id", fields: Sequence[st
                    defaults: Mapping[str, object] = K.UNKNOWN_MATCH_DEFAULTS,
                    default_ts_field: str | None = "date_match") -> list[Column]:
     """The state's columns over a table of cells: key, ``fields``, ``first_offset``, ``last_offset``."""
-    last_full = F.col("_last_full")
+    full = F.col("_full")
     out = [F.col(key)]
     for f in fields:
         cell = F.col(f"_{f}")
         dtype = cells[f"_{f}"].dataType["v"].dataType
+        newest = F.when(cell["o"] >= full["o"], cell["v"]).otherwise(full[f])
         if f in always_present:
-            val = cell["v"]
+            val = F.when(full.isNull(), cell["v"]).otherwise(newest)
         else:
             if f == default_ts_field and "_first_ts" in cells.names:
                 dflt = F.date_format(F.col("_first_ts"), "yyyy-MM-dd HH:mm:ss").cast(dtype)
@@ -142,8 +144,7 @@ def finish_columns(cells: StructType, key: str = "match_id", fields: Sequence[st
                 dflt = F.lit(defaults[f]).cast(dtype)
             else:
                 dflt = F.lit(None).cast(dtype)
-            val = (F.when(last_full.isNull(), F.when(cell.isNotNull(), cell["v"]).otherwise(dflt))
-                    .when(cell["o"] >= last_full, cell["v"]))
+            val = F.when(full.isNull(), F.when(cell.isNotNull(), cell["v"]).otherwise(dflt)).otherwise(newest)
         out.append(val.cast(dtype).alias(f))
     return out + [F.col("_first_o").alias("first_offset"), F.col("_last_o").alias("last_offset")]
 
@@ -177,6 +178,7 @@ class Folding(NamedTuple):
     kind: str  # the key's type
     cells: Callable[[DataFrame], DataFrame]
     columns: Callable[[StructType], list[Column]]
+    nonzero: bool = False  # a key of 0 counts as none
 
     def finish(self, cells: DataFrame) -> DataFrame:
         return cells.select(*self.columns(cells.schema))
@@ -189,7 +191,7 @@ def folding(entity: str) -> Folding:
     kind = schema_of(entity)[key].dataType.simpleString()
     if entity == "matchs":
         return Folding(key, kind, lambda df: merge_cells(df, key, order),
-                       lambda t: [*finish_columns(t, key)[:-2], F.col("_first_o")[OFFSET].alias("first_offset"), F.col("_last_o")[OFFSET].alias("last_offset")])
+                       lambda t: [*finish_columns(t, key)[:-2], F.col("_first_o")[OFFSET].alias("first_offset"), F.col("_last_o")[OFFSET].alias("last_offset")], True)
     cols = [c for c in schema_of(entity).fieldNames() if c != key]
     return Folding(key, kind, lambda df: latest_cells(df, key, order, cols),
                    lambda t: [F.col(key), *[F.col("_row.v")[c].alias(c) for c in cols], F.col("_row.o")[OFFSET].alias(OFFSET)])

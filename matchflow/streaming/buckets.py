@@ -20,6 +20,9 @@ the marts take their deltas: -1 for the old row, +1 for the new one.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Callable, Mapping, NamedTuple, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -27,10 +30,12 @@ from pyspark.sql import functions as F
 
 from matchflow.functions import constants as K
 from matchflow.functions.scalars import month_key, parse_ts_ntz
-from matchflow.operators.state import Folding, combining
+from matchflow.operators.state import Folding, combining, valid_key
 from matchflow.sources import sinks
 
 BUCKETS = 64
+#: Rows that a task sorts at most, about (cells are some 1.2 KB wide in memory).
+TASK_ROWS = 250_000
 _SIZES = "inserted long, updated long, removed long"
 _MANIFEST = "bucket int, version long, buckets int, run string, batch long"
 
@@ -99,19 +104,52 @@ class BucketStore:
         if old and old.run == run and batch <= old.batch:
             return old
         number, buckets = (old.number + 1, old.buckets) if old else (0, self.buckets)
-        cells = self.fold.cells(records).persist()
-        try:
-            touched = [r[0] for r in cells.select(self._bucket(buckets).alias("b")).distinct().collect()]  # at most the buckets
-            names = [c for c in cells.columns if c != self.fold.key]
-            both = cells.withColumns({"_changed": F.lit(True), "_before": F.lit(None).cast(self._row_type(cells))})
-            before = self._cells(old, touched) if old else None
-            if before is not None:
-                both = both.unionByName(self._with_row(before, "_before").withColumn("_changed", F.lit(False)))
-            merged = both.groupBy(self.fold.key).agg(*combining(names), F.max("_changed").alias("_changed"), F.first("_before", ignorenulls=True).alias("_before"))
-            merged = merged.withColumn("_before", F.when(F.col("_changed"), F.col("_before")))
+        found = records.where(valid_key(self.fold.key, self.fold.nonzero)).groupBy(self._bucket(buckets).alias("b")).count().collect()  # at most the buckets
+        touched, rows = [r.b for r in found], sum(r["count"] for r in found)
+        cells = self.fold.cells(records)
+        before = self._cells(old, touched) if old else None
+        rows += before.count() if before is not None else 0
+        with self._partitions(rows, touched):
+            if before is None:
+                merged = self._arranged(cells, rows, buckets, touched).withColumns({"_changed": F.lit(True), "_before": F.lit(None).cast(self._row_type(cells))})
+            else:
+                merged = self._merged(cells, before, rows, buckets, touched)
             return self._publish(merged, Version(number, buckets, old.holds if old else {}, run, batch), touched)
+
+    def _merged(self, cells: DataFrame, before: DataFrame, rows: int, buckets: int, touched: Sequence[int]) -> DataFrame:
+        """A bucket's old rows and a batch's cells, key by key; what a changed row was before is made of
+        its old cells only when they have met."""
+        key = self.fold.key
+        names = [c for c in cells.columns if c != key]
+        both = self._arranged(cells.withColumn("_changed", F.lit(True)).unionByName(before.withColumn("_changed", F.lit(False))), rows, buckets, touched)
+        held = [F.max(F.when(~F.col("_changed"), F.col(c))).alias(f"_old{c}") for c in names]
+        found = both.groupBy("bucket", key, "_part").agg(*combining(names), *held, F.max("_changed").alias("_changed"), F.min("_changed").alias("_new"))
+        sides = found.select("bucket", key, "_part", F.struct(*names).alias("_now"), "_changed", "_new", *[F.col(f"_old{c}").alias(c) for c in names])
+        return self._with_row(sides, "_before").select("bucket", key, "_part", "_now.*", "_changed", F.when(F.col("_changed") & ~F.col("_new"), F.col("_before")).alias("_before"))
+
+    def _parts(self, rows: int, touched: Sequence[int]) -> int:
+        """Parts that a bucket's rows are written in."""
+        return 1 + rows // (TASK_ROWS * max(1, len(touched)))
+
+    @contextmanager
+    def _partitions(self, rows: int, touched: Sequence[int]) -> Iterator[None]:
+        """Exchanges inside begin with partitions enough for the rows, so that none has to be sorted
+        on disk; adaptive execution puts small ones together again."""
+        conf, name = self.spark.conf, "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+        held = conf.get(name, None)
+        conf.set(name, str(max(rows // TASK_ROWS + 1, 2 * len(touched) * self._parts(rows, touched), int(held or conf.get("spark.sql.shuffle.partitions")))))
+        try:
+            yield
         finally:
-            cells.unpersist()
+            if held is None:
+                conf.unset(name)
+            else:
+                conf.set(name, held)
+
+    def _arranged(self, cells: DataFrame, rows: int, buckets: int, touched: Sequence[int]) -> DataFrame:
+        """Cells with their bucket, and the part of it that a task writes."""
+        key, parts = F.col(self.fold.key), self._parts(rows, touched)
+        return cells.withColumns({"bucket": self._bucket(buckets), "_part": F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts)).cast("int")}).repartition("bucket", "_part")
 
     def remove(self, keys: DataFrame) -> Version:
         """Take keys out of the state; the buckets they are in are rewritten. A key whose records
@@ -130,23 +168,30 @@ class BucketStore:
             if not touched:
                 return old
             found = self._cells(old, touched)
-            dead = self._with_row(found.join(gone, self.fold.key, "left_semi"), "_before")
-            dead = dead.select("_before", F.lit(None).cast(dead.schema["_before"].dataType).alias("_after"))
-            return self._publish(self._unchanged(found.join(gone, self.fold.key, "left_anti")), old._replace(number=old.number + 1), touched, dead, hits.agg(F.sum("count")).first()[0])
+            dead = [(-1, self.fold.finish(found.join(gone, self.fold.key, "left_semi")))]
+            rows = found.count()
+            names = [c for c in found.columns if c != self.fold.key]
+            with self._partitions(rows, touched):
+                tagged = found.withColumn("_gone", F.lit(False)).unionByName(gone.withColumn("_gone", F.lit(True)), allowMissingColumns=True)
+                kept = self._arranged(tagged.where(self._bucket(old.buckets).isin(touched)), rows, old.buckets, touched)
+                kept = kept.groupBy("bucket", self.fold.key, "_part").agg(*combining(names), F.max("_gone").alias("_gone")).where("NOT _gone").drop("_gone")
+                return self._publish(self._unchanged(kept), old._replace(number=old.number + 1), touched, dead, hits.agg(F.sum("count")).first()[0])
         finally:
             gone.unpersist()
 
     def resize(self, buckets: int) -> Version:
         """The same state in another number of buckets."""
         old = self.version()
-        rows = self._unchanged(self._cells(old, sorted(old.holds)))
-        return self._publish(rows, old._replace(number=old.number + 1, buckets=buckets, holds={}), range(buckets))
+        cells = self._cells(old, sorted(old.holds))
+        rows = cells.count()
+        with self._partitions(rows, range(buckets)):
+            return self._publish(self._unchanged(self._arranged(cells, rows, buckets, range(buckets))), old._replace(number=old.number + 1, buckets=buckets, holds={}), range(buckets))
 
-    def _publish(self, rows: DataFrame, v: Version, touched: Sequence[int], changed: DataFrame | None = None, removed: int = 0) -> Version:
-        """Write the touched buckets and the marts' deltas, then the manifest."""
+    def _publish(self, rows: DataFrame, v: Version, touched: Sequence[int], changed: Sequence[tuple[int, DataFrame]] | None = None, removed: int = 0) -> Version:
+        """Write the touched buckets' rows (``_arranged``) and the marts' deltas, then the manifest."""
         data, key = f"{self.root}/data/v={v.number}", self.fold.key
         # a bucket's rows lie together, a large one's in several files, sorted by key
-        out = rows.withColumn("bucket", self._bucket(v.buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", key)
+        out = rows.sortWithinPartitions("bucket", key).drop("_part")
         seen = Observation()
         out = out.observe(seen, F.count_if(F.col("_changed") & F.col("_before").isNull()).alias("inserted"),
                           F.count_if(F.col("_changed") & F.col("_before").isNotNull()).alias("updated"))
@@ -156,9 +201,10 @@ class BucketStore:
         filled = [int(b) for b in sinks.children(self.spark, data, "bucket=")]
         v = v._replace(holds={b: n for b, n in v.holds.items() if b not in set(touched)} | dict.fromkeys(filled, v.number))
         if changed is None and filled and self.marts:
-            changed = self._with_row(self.spark.read.parquet(*[f"{data}/bucket={b}" for b in filled]).where("_changed"), "_after")
-        for name, mart in self.marts.items() if changed is not None else ():
-            self._deltas(changed, mart).write.mode("overwrite").parquet(f"{self.root}/marts/{name}/v={v.number}")
+            written = self.spark.read.parquet(*[f"{data}/bucket={b}" for b in filled]).where("_changed")
+            changed = [(-1, written.where("_before IS NOT NULL").select("_before.*")), (1, self.fold.finish(written))]
+        if changed is not None and self.marts:
+            self._write_deltas(changed, v.number)
         self._commit(v)
         return v
 
@@ -190,13 +236,22 @@ class BucketStore:
 
     # --- marts by deltas (A1, A10-A12) --------------------------------------------------------
 
-    def _deltas(self, changed: DataFrame, mart: Mart) -> DataFrame:
-        """What changed rows add to a mart: each old row -1, each new row +1."""
-        rows = changed.select(F.explode(F.array(F.struct(F.lit(-1).alias("sign"), F.col("_before").alias("row")),
-                                                F.struct(F.lit(1).alias("sign"), F.col("_after").alias("row")))).alias("x")) \
-            .where("x.row IS NOT NULL").select("x.sign", "x.row.*")
-        return rows.groupBy(*[(F.expr(e) if isinstance(e, str) else e()).alias(n) for n, e in mart.by.items()]).agg(
-            F.sum("sign").cast("long").alias("nombre"), *[F.sum(F.col("sign") * F.expr(e)).cast("long").alias(n) for n, e in mart.sums.items()])
+    def _write_deltas(self, changed: Sequence[tuple[int, DataFrame]], number: int) -> None:
+        """What changed rows add to the marts: each old row -1, each new row +1. The rows are read once,
+        into counts by all the marts' groups together, of which each mart's are a summary."""
+        by = list(dict.fromkeys((n, e) for mart in self.marts.values() for n, e in mart.by.items()))
+        sums = list(dict.fromkeys(e for mart in self.marts.values() for e in mart.sums.values()))
+        parts = [rows.select(F.lit(sign).alias("_sign"), *[(F.expr(e) if isinstance(e, str) else e()).alias(f"_by{i}") for i, (_, e) in enumerate(by)],
+                             *[(F.lit(sign) * F.expr(e)).alias(f"_sum{i}") for i, e in enumerate(sums)]) for sign, rows in changed]
+        base = functools.reduce(DataFrame.unionByName, parts).groupBy(*[f"_by{i}" for i in range(len(by))]).agg(
+            *[F.sum(c).cast("long").alias(c) for c in ("_sign", *[f"_sum{i}" for i in range(len(sums))])]).persist()
+        try:
+            for name, mart in self.marts.items():
+                out = base.groupBy(*[F.col(f"_by{by.index(x)}").alias(x[0]) for x in mart.by.items()]).agg(
+                    F.sum("_sign").cast("long").alias("nombre"), *[F.sum(f"_sum{sums.index(e)}").cast("long").alias(n) for n, e in mart.sums.items()])
+                out.write.mode("overwrite").parquet(f"{self.root}/marts/{name}/v={number}")
+        finally:
+            base.unpersist()
 
     def mart(self, name: str) -> DataFrame:
         """A mart at the newest version: its deltas added up. Groups without rows left are gone."""
@@ -248,7 +303,8 @@ class BucketStore:
             return self.read(second).select(key, F.lit("").alias("change"), F.struct("*").alias("before"), F.struct("*").alias("after")).where("false")
         tagged = [rows.select(key, F.lit(n).alias("side"), F.struct("*").alias("row")) for n, rows in sides]
         both = tagged[0].unionByName(tagged[1]) if len(tagged) > 1 else tagged[0]
-        found = both.groupBy(key).agg(*[F.max(F.when(F.col("side") == n, F.col("row"))).alias(n) for n in ("before", "after")])
+        parts = max(1 + sum(rows.count() for _, rows in sides) // TASK_ROWS, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        found = both.repartition(parts, key).groupBy(key).agg(*[F.max(F.when(F.col("side") == n, F.col("row"))).alias(n) for n in ("before", "after")])
         kind = F.when(F.col("before").isNull(), "insert").when(F.col("after").isNull(), "delete").otherwise("update")
         return found.where(~F.col("before").eqNullSafe(F.col("after"))).select(key, kind.alias("change"), "before", "after")
 

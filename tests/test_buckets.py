@@ -162,3 +162,36 @@ def test_streams_of_all_entities(spark, scratch, entity):
     assert store.version().number == n  # nothing new
     start("other")  # replays the topic from its start
     assert store.version().number > n and same(store.read(), wanted, wanted.columns)
+
+
+def test_large_buckets_are_written_in_parts_and_nothing_is_cached(spark, scratch, monkeypatch):
+    monkeypatch.setattr(buckets, "TASK_ROWS", 100)
+    held = len(spark.sparkContext._jsc.getPersistentRDDs())
+    store = ingest.bucket_store(spark, scratch, "matchs", buckets=2)
+    for i, part in enumerate(topic_parts(spark, 2)):
+        store.apply(part, i, "a")
+    want = merged_matches(spark, SF_SMALL)
+    assert same(store.read(), want, want.columns)
+    assert store._parts(2000, [0, 1]) == 11 and store._parts(99, [0]) == 1
+    gone = want.where("statut = 'terminé'").select("match_id")
+    v = store.remove(gone)
+    assert same(store.read(), want.where("statut <> 'terminé'"), want.columns)
+    assert {r.change for r in store.changes(v.number - 1, v.number).collect()} == {"delete"}
+    assert {r.statut for r in store.mart("matches_per_status").collect()} == {"en cours", "programmé"}
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == held
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) is None
+
+
+def test_a_full_record_has_one_position(spark):
+    cells = state.folding("matchs").cells(records(spark, [(0, 1, 1, FULL), (0, 2, 2, dict(FULL, match_id=9, statut="x"))]))
+    assert all(r[f"_{f}"] is None and r["_full"][f] is not None for r in cells.collect() for f in ("sport_id", "statut", "score_domicile"))
+
+
+def test_state_sports_makes_the_sports_store_only(spark, monkeypatch):
+    from matchflow.plans import queries
+    made = []
+    start = ingest.start_state
+    monkeypatch.setattr(ingest, "start_state", lambda *a, **k: made.append(a[4]) or start(*a, **k))
+    fx._MEMO.clear()
+    assert queries.QUERIES["state_sports"](spark, SF_SMALL).count() == 5
+    assert set(made) == {"sports"}
