@@ -163,8 +163,8 @@ class BucketStore:
             found = self._cells(old, near)
             if found is None:
                 return old
-            hits = found.join(gone, self.fold.key, "left_semi").groupBy(self._bucket(old.buckets).alias("b")).count().persist()
-            touched = [b for b, _ in hits.collect()]
+            hits = dict(found.join(gone, self.fold.key, "left_semi").groupBy(self._bucket(old.buckets).alias("b")).count().collect())  # at most the buckets
+            touched = list(hits)
             if not touched:
                 return old
             found = self._cells(old, touched)
@@ -175,7 +175,7 @@ class BucketStore:
                 tagged = found.withColumn("_gone", F.lit(False)).unionByName(gone.withColumn("_gone", F.lit(True)), allowMissingColumns=True)
                 kept = self._arranged(tagged.where(self._bucket(old.buckets).isin(touched)), rows, old.buckets, touched)
                 kept = kept.groupBy("bucket", self.fold.key, "_part").agg(*combining(names), F.max("_gone").alias("_gone")).where("NOT _gone").drop("_gone")
-                return self._publish(self._unchanged(kept), old._replace(number=old.number + 1), touched, dead, hits.agg(F.sum("count")).first()[0])
+                return self._publish(self._unchanged(kept), old._replace(number=old.number + 1), touched, dead, sum(hits.values()))
         finally:
             gone.unpersist()
 
