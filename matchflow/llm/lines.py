@@ -70,14 +70,18 @@ class Points:
 
     def parities(self) -> np.ndarray:
         """Low half: parities of how often the characters of each of 32 classes occur; high half: of the bigrams."""
-        p = self.points.astype(np.uint64)
-        one = np.uint64(1)
-        low = one << (mix(p) & np.uint64(31))
-        pair = mix(p[:-1] * np.uint64(0x9E3779B97F4A7C15) + p[1:])
-        high = np.zeros_like(low)
-        high[:-1] = one << (np.uint64(32) + (pair & np.uint64(31)))
-        high[self.start + self.size - 1] = 0  # no bigram across lines
-        return np.bitwise_xor.reduceat(low | high, self.start)
+        p = self.points
+        # a class is the highest bits of a product: the filter holds for any classes
+        high = p[:-1] * np.uint32(0x85EBCA6B)
+        high += p[1:]
+        high *= np.uint32(0x9E3779B1)
+        high >>= np.uint32(27)
+        bits = np.zeros((len(p), 2), np.uint32)  # a word's low and high half
+        one = np.uint32(1)
+        np.left_shift(one, (p * np.uint32(0x9E3779B1)) >> np.uint32(27), out=bits[:, 0])
+        np.left_shift(one, high, out=bits[:-1, 1])
+        bits[self.start + self.size - 1, 1] = 0  # no bigram across lines
+        return np.bitwise_xor.reduceat(bits.view("<u8").ravel(), self.start)
 
 
 def segment(size: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,18 +95,13 @@ def _key(p: Points, start: np.ndarray, size: np.ndarray, i: int, length: np.ndar
     return mix(p.spans.hash(start, start + size) + (length * 64 + i).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def index_keys(p: Points, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(rows, keys) of every segment."""
-    every = np.arange(len(p.size))
-    out = []
-    for i in range(edits + 1):
-        s, n = segment(p.size, i, edits)
-        out.append((every, _key(p, p.start + s, n, i, p.size)))
-    return out
+#: What a key is to a line: a segment of its own, in place (indexed, and looked up for lines of its
+#: length), or looked up only, for lines of its length or for shorter ones.
+INDEXED, SAME, SHORTER = 0, 1, 2
 
 
-def probe_keys(p: Points, edits: int, min_chars: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """(rows, keys, how much shorter the indexed line is) of every substring to look up."""
+def line_keys(p: Points, edits: int, min_chars: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(rows, keys, kind) of every segment and every substring to look up."""
     out = []
     for less in range(edits + 1):
         length = p.size - less
@@ -111,7 +110,7 @@ def probe_keys(p: Points, edits: int, min_chars: int) -> list[tuple[np.ndarray,
             after = edits - i
             for at in range(max(-i, less - after), min(i, less + after) + 1):
                 rows = np.flatnonzero((length >= min_chars) & (s + at >= 0) & (s + at + n <= p.size))
-                out.append((rows, _key(p, p.start[rows] + s[rows] + at, n[rows], i, length[rows]), less))
+                out.append((rows, _key(p, p.start[rows] + s[rows] + at, n[rows], i, length[rows]), SHORTER if less else SAME if at else INDEXED))
     return out
 
 
@@ -140,21 +139,17 @@ def _emit(docs: DataFrame, id_col: str, text_col: str, min_chars: int, schema: s
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> DataFrame:
-    """(a, b): pairs of lines that share a segment in place and whose parities allow it."""
-    def index(p, line, parity):
-        for rows, key in index_keys(p, edits):
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line[rows]), pa.array(parity[rows])], names=["key", "line", "parity"])
-
-    def probe(p, line, parity):
-        for rows, key, less in probe_keys(p, edits, min_chars):
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line[rows]), pa.array(parity[rows]), pa.array(np.full(len(rows), less == 0))],
-                                             names=["key", "line", "parity", "same"])
-
-    x = _emit(docs, id_col, text_col, min_chars, "key long, line long, parity long", index)
-    x = x.repartition("key").dropDuplicates(["key", "line"]).alias("x")  # a line of many tasks is indexed once
-    y = _emit(docs, id_col, text_col, min_chars, "key long, line long, parity long, same boolean", probe).alias("y")
-    return x.join(y, F.expr(
-        f"x.key = y.key AND x.line <> y.line AND (NOT y.same OR y.line < x.line) "
+    """(a, b): pairs of lines that share a segment in place and whose parities allow it. The index
+    is made of those keys that are a line's own segments."""
+    def keys(p, line, parity):
+        for rows, key, kind in line_keys(p, edits, min_chars):
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line[rows]), pa.array(parity[rows]), pa.array(np.full(len(rows), kind, np.int8))],
+                                             names=["key", "line", "parity", "kind"])
+
+    y = _emit(docs, id_col, text_col, min_chars, "key long, line long, parity long, kind byte", keys).repartition("key")
+    x = y.where(F.col("kind") == INDEXED).select("key", "line", "parity").distinct()  # a line of many tasks is indexed once
+    return x.alias("x").join(y.alias("y"), F.expr(
+        f"x.key = y.key AND x.line <> y.line AND (y.kind = {SHORTER} OR y.line < x.line) "
         f"AND bit_count((x.parity ^ y.parity) & 4294967295L) <= {2 * edits} "
         f"AND bit_count(shiftrightunsigned(x.parity ^ y.parity, 32)) <= {4 * edits}")) \
         .select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct()

@@ -605,3 +605,16 @@ def test_pipeline_stages(spark, odd, none):
         assert set(stage(spark, odd, SF_SMALL).columns) == set(odd.columns)
         assert stage(spark, none, SF_SMALL).count() == 0
     assert cp.STAGES[-1][1](spark, kept, SF_SMALL).agg(F.countDistinct("doc_id")).first()[0] == kept.count()
+
+
+def test_line_parities_are_of_single_width_passes_and_hold_the_filter():
+    from matchflow.llm import lines
+    import numpy as np
+    rng = np.random.default_rng(5)
+    base = ["".join(chr(int(c)) for c in rng.choice([97, 98, 233, 0x4E2D, 0x1F600], 30)) for _ in range(50)]
+    edited = [s[:k % 28] + "xy" + s[k % 28 + 2:] for k, s in enumerate(base)]
+    far = (lines.Points(base).parities() ^ lines.Points(edited).parities()).tolist()
+    assert all((d & 0xFFFFFFFF).bit_count() <= 2 * 2 and (d >> 32).bit_count() <= 4 * 2 for d in far) and any(far)
+    p = lines.Points(base)
+    kinds = [(kind, len(rows)) for rows, _, kind in lines.line_keys(p, 2, 20)]
+    assert sum(kind == lines.INDEXED for kind, _ in kinds) == 3 and len(kinds) == 12
