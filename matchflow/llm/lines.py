@@ -27,6 +27,11 @@ MIN_CHARS = 20  # shorter lines are never removed
 BLANK = " \t\n\v\f\r"
 #: Lines a task remembers having emitted; when it forgets them, a line is emitted again.
 REMEMBERED = 300_000
+#: Texts whose lines a task works on at a time; its memory goes with them.
+TEXTS = 100
+#: Slots of the documents' copies: at most so many numbers go to every task (8 bytes each). They
+#: decide which texts are moved to be looked at, never which lines are found.
+SLOTS = 1 << 22
 
 
 def line_hash(line: str) -> int:
@@ -121,9 +126,9 @@ def _emit(docs: DataFrame, id_col: str, text_col: str, min_chars: int, schema: s
         seen: set[int] = set()
         for b in batches:
             texts = column(b, 0)
-            for k in range(0, len(texts), 500):
+            for k in range(0, len(texts), TEXTS):
                 fresh: dict[int, str] = {}
-                for text in texts[k:k + 500]:
+                for text in texts[k:k + TEXTS]:
                     for _, s in long_lines(text, min_chars):
                         h = line_hash(s)
                         if h not in seen:
@@ -142,9 +147,11 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, edits: int, min_char
     """(a, b): pairs of lines that share a segment in place and whose parities allow it. The index
     is made of those keys that are a line's own segments."""
     def keys(p, line, parity):
-        for rows, key, kind in line_keys(p, edits, min_chars):
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line[rows]), pa.array(parity[rows]), pa.array(np.full(len(rows), kind, np.int8))],
-                                             names=["key", "line", "parity", "kind"])
+        rows, key, kind = zip(*line_keys(p, edits, min_chars), strict=True)
+        kinds = np.repeat(np.array(kind, np.int8), [len(r) for r in rows])
+        row = np.concatenate(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(line[row]), pa.array(parity[row]), pa.array(kinds)],
+                                         names=["key", "line", "parity", "kind"])
 
     y = _emit(docs, id_col, text_col, min_chars, "key long, line long, parity long, kind byte", keys).repartition("key")
     x = y.where(F.col("kind") == INDEXED).select("key", "line", "parity").distinct()  # a line of many tasks is indexed once
@@ -195,12 +202,25 @@ def within(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
     return alive & (score <= edits)
 
 
+def _slot(copy: str, slots: int) -> F.Column:
+    return F.pmod(F.col(copy), F.lit(slots))
+
+
+def in_slots(docs: DataFrame, of: DataFrame, slots: int) -> DataFrame:
+    """The rows of docs(_copy, ...) whose copy falls into a slot that a row of ``of`` falls into:
+    all rows that a join could find, and few others. Only slot numbers are sent to the tasks."""
+    taken = of.select(_slot("_copy", slots).alias("_slot")).distinct()  # at most slots rows
+    return docs.join(F.broadcast(taken), _slot("_copy", slots) == F.col("_slot"), "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> DataFrame:
-    """The pairs within ``edits`` edits. The lines' texts are read from their first documents."""
+    """The pairs within ``edits`` edits. The lines' texts are read from their first documents; texts
+    that hold none of them stay where they lie."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    of = needed.join(first, "line").groupBy(F.col("first.id").alias("_id"), F.col("first.copy").alias("_copy")).agg(F.collect_set("line").alias("_lines"))  # lines of one document
-    held = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_copy"), F.col(text_col).alias("_text")) \
-        .join(of, ["_id", "_copy"]).select("_text", "_lines")
+    of = written(needed.join(first, "line").groupBy(F.col("first.id").alias("_id"), F.col("first.copy").alias("_copy"))
+                 .agg(F.collect_set("line").alias("_lines")), "line-homes")  # lines of one document
+    held = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_copy"), F.col(text_col).alias("_text"))
+    held = in_slots(held, of, SLOTS).join(of, ["_id", "_copy"]).select("_text", "_lines")
 
     def texts(batch) -> Iterator[dict]:
         line, out = [], []

@@ -426,6 +426,23 @@ def test_lines_of_a_repeated_id_with_another_text_stay(spark):
     assert got.where("n_removed = 1").count() == 2 and set(got.columns) == set(docs.columns)
 
 
+def test_only_texts_with_wanted_lines_are_moved(spark, monkeypatch):
+    pad = lambda i: "".join(hashlib.sha256(f"{i} {k}".encode()).hexdigest()[:40] for k in range(2))
+    rows = [(i, f"{pad(i)}\nshort {i}") for i in range(400)] + [(400, "A line that two documents nearly hold."), (401, "A line that two documents nearly held.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = lambda: sorted((r.doc_id, r.text) for r in lines.dedup_lines(docs).collect())
+    moved, join = [], lines.in_slots
+
+    def counted(*a):
+        moved.append((out := join(*a)).count())
+        return out
+    monkeypatch.setattr(lines, "in_slots", counted)
+    got = cut()
+    assert got == sorted([*rows[:401], (401, "")]) and 2 <= moved[0] <= 4
+    monkeypatch.setattr(lines, "SLOTS", 1)  # every text falls into the slot
+    assert cut() == got and moved[1] == len(rows)
+
+
 def test_banded_distance():
     rng = random.Random(6)
     pairs = [("".join(rng.choice("abé") for _ in range(rng.randint(6, 30))), "".join(rng.choice("abé") for _ in range(rng.randint(6, 30)))) for _ in range(200)]
