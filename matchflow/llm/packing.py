@@ -28,7 +28,7 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 WORD = re.compile("[^\t-\r \x85\xa0  -     　]+")
 #: Latin letters, and ASCII marks behind them that are tokens of their own (an apostrophe may not be).
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
-CACHE = 300_000  # words whose ids a worker remembers in each of two generations, and as many stems
+CACHE = 300_000  # words whose ids a task remembers in each of two generations, and as many stems
 SEQUENCE_BITS = 36
 
 
@@ -70,6 +70,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _bytes_as_letters()
+        self.forget()
+
+    def forget(self) -> None:
         self.stems: dict[str, bytes] = {}
         self.old_stems: dict[str, bytes] = {}
         self.words = _Words(self.word, {})
@@ -119,7 +122,8 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder; what it has learnt serves the worker's later tasks too."""
+    """The worker's encoder. Who is done with a task makes it forget its words: the worker goes on
+    to tasks of other stages, beside which they would stay in memory."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -218,8 +222,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     schema = f"{id_col} {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     end = array("I", [end_id]).tobytes()
 
-    def run(batches):
-        ids_of, spare = encoder(path).ids, Pool(capacity)
+    def pieces_of(batches, ids_of):
+        spare = Pool(capacity)
         at = TaskContext.get().partitionId() << SEQUENCE_BITS
         rows: list[tuple] = []
 
@@ -261,4 +265,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         if rows:
             yield flush(id_type)
 
+    def run(batches):
+        known = encoder(path)
+        try:
+            yield from pieces_of(batches, known.ids)
+        finally:
+            known.forget()
+
     return map_batches(docs.select(id_col, text_col), run, schema)

@@ -255,6 +255,20 @@ def test_packing_round_trip(spark, odd, none):
     assert packing.pack(none).count() == 0 and packing.pack(odd).where("doc_id IS NULL").count() == 1
 
 
+def test_packing_leaves_no_words_in_a_worker(spark):
+    rows = [(i, " ".join(f"word{i * 50 + k}" for k in range(50))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert packing.pack(docs).agg(F.sum("length")).first()[0] > 0
+
+    def left(batches):
+        from matchflow.llm import packing as own
+        list(batches)
+        yield pa.RecordBatch.from_pydict({"encoders": [len(own._encoders)], "words": [sum(len(e.words) + len(e.words.before) + len(e.stems) + len(e.old_stems) for e in own._encoders.values())]})
+
+    got = spark.range(64).repartition(32).mapInArrow(left, "encoders long, words long").agg(F.max("encoders"), F.max("words")).first()
+    assert got[0] == 1 and got[1] == 0
+
+
 def test_fill_is_the_best_subset_sum():
     rng = random.Random(2)
     for _ in range(300):
