@@ -34,9 +34,9 @@ DISCOUNT = 0.75
 SPAN = 12  # terms in a window
 PIECE = 12  # bytes of the terms that a long run, or one of a script with wide characters, is read as
 LONGEST = 32  # bytes of a run that is one term
-RANGE = 1 << 18  # terms in a range, on average
+RANGE = 1 << 16  # terms in a range, on average; a task's memory goes with it
 SAMPLED = 64  # terms for each range among which the splitters are chosen
-STEP = 1 << 22  # bytes of text whose terms are counted together
+STEP = 1 << 20  # bytes of text whose terms are counted together; a task's memory goes with them
 #: Labelled rows up to which they are sent to the texts; beyond that the texts are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 #: Most frequent terms whose ratios are sent to every task; those of other terms are joined by a shuffle.

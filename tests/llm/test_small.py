@@ -649,3 +649,21 @@ def test_line_parities_are_of_single_width_passes_and_hold_the_filter():
     p = lines.Points(base)
     kinds = [(kind, len(rows)) for rows, _, kind in lines.line_keys(p, 2, 20)]
     assert sum(kind == lines.INDEXED for kind, _ in kinds) == 3 and len(kinds) == 12
+
+
+def test_memory_of_a_range_and_of_a_step_of_texts_is_small():
+    import tracemalloc
+    rng = np.random.default_rng(7)
+    at = np.unique(rng.integers(0, 26 ** 9, toxicity.RANGE))
+    words = pa.array(sorted(bytes(97 + int(n) // 26 ** k % 26 for k in range(9)) for n in at), pa.binary())
+    table = pa.table({"term": words, **{c: pa.array(np.ones(len(at), np.int64)) for c in ("toxic", "plain", "df")}})
+    data = np.frombuffer(b" ".join(words.to_pylist())[:toxicity.STEP].ljust(toxicity.STEP, b"x"), np.uint8)
+
+    def peak(f):
+        tracemalloc.start()
+        f()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / 1e6
+    assert peak(lambda: toxicity.Range(table)) < 200
+    assert peak(lambda: toxicity.Spans(data).hash(*toxicity.terms(data, np.array([0, len(data)]))[:2])) < 100
