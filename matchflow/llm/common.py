@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchflow.session import scratch_path
+from matchflow.sources.sinks import delete
 
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 19
@@ -28,15 +29,32 @@ _INVERSE = pow(_ODD, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Shuffle files of a query go when it ends, instead of when the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back: cuts the
-    lineage in a place that every executor sees, so a lost executor loses nothing."""
+    lineage in a place that every executor sees, so a lost executor loses nothing.
+    ``clean``: the shuffle files of the writing go with it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true" if clean else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` gave, as it gave them, once nothing reads them any more."""
+    for t in tables:
+        for path in {os.path.dirname(f) for f in t.inputFiles()}:
+            delete(t.sparkSession, path)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

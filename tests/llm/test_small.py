@@ -383,6 +383,62 @@ def test_near_duplicates_equal_brute_force(spark, odd, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_by_slots_of_ids_move_no_text(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    texts = {}
+    for g in range(8):
+        base = [rng.choice(words) for _ in range(40 + 30 * g)]
+        for k in range(6):
+            base = list(base)
+            base[rng.randrange(len(base))] = rng.choice(words)
+            texts[g * 10 + k] = " ".join(base)
+    docs = spark.createDataFrame([*texts.items(), (3, None), (None, texts[3]), (5, texts[71])], "doc_id long, text string")
+    whole, moved, plain = {}, set(), Frame.join
+
+    def join(self, other, *how):
+        if how and isinstance(how[0], str) and how[0] == "rep" and "text" in self.columns:
+            moved.add("text")
+        return plain(self, other, *how)
+
+    for name, most, slots in (("broadcast", 500_000, 1 << 26), ("slots", 0, 1 << 26), ("few slots", 0, 64)):
+        monkeypatch.setattr(jaccard, "BROADCAST_REPS", most)
+        monkeypatch.setattr(jaccard, "ID_SLOTS", slots)
+        moved.clear()
+        monkeypatch.setattr(Frame, "join", join)
+        whole[name] = sorted(jaccard.near_duplicates(docs).collect(), key=str)
+        monkeypatch.setattr(Frame, "join", plain)
+        assert ("text" in moved) == (most > 0), name  # no text goes through a shuffle
+    assert whole["broadcast"] == whole["slots"] == whole["few slots"]
+    only = docs.where("doc_id IS NOT NULL AND doc_id NOT IN (3, 5)")
+    left = {k: v for k, v in texts.items() if k not in (3, 5)}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(only).collect()} == brute_components(left)
+
+
+def test_near_duplicates_leave_neither_tables_nor_shuffle_files(spark, tmp_path):
+    import os
+    from matchflow import session
+    kept = os.path.join(session.checkpoint_dir(spark).removeprefix("file:"), "scratch")
+    before = set(os.listdir(kept)) if os.path.isdir(kept) else set()
+    texts = [(i, " ".join(f"w{(i // 4) * 50 + k + (k == i % 4) * 7}" for k in range(60))) for i in range(40)]
+    out = jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
+    made = {x.rsplit("-", 1)[0] for x in set(os.listdir(kept)) - before}
+    assert not made & {"classes", "postings", "shared-tokens", "open-tokens", "pair-ends", "pairs-1", "pairs-2", "shingle-counts"} and not any("sets" in x for x in made)
+    assert {r.doc_id: r.component_id for r in out.collect()} == {i: i // 4 * 4 for i, _ in texts}
+
+
+def test_marks_never_differ_in_more_than_the_sets_do():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 64, 300, 2000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for k, more in ((n, 0), (n // 2, 7), (0, n), (n, 3 * n)):
+            y = np.unique(np.concatenate([x[:k], rng.integers(0, 1 << 63, more).astype(np.uint64)]))
+            apart = len(np.setxor1d(x, y))
+            seen = jaccard.differing(jaccard.marks(x), jaccard.marks(y))
+            assert seen <= apart and (apart - seen) % 2 == 0 and (seen >= apart // 3 or len(y) > 2 * len(x))
+
+
 def edits(a: str, b: str) -> int:
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
