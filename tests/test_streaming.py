@@ -316,3 +316,35 @@ def test_notification_groups_are_all_notifications_in_rows_of_events_and_members
     stats = marts.stats_notification_groups(groups, members)
     assert stats.columns == want.columns and sorted(stats.collect()) == sorted(want.collect())
     assert topics.read_dir_topic(spark, tr, "notification_groups").count() == 24 and members.count() == 60
+
+
+def test_ingest_keeps_no_rows_in_executors_and_no_scratch_table(spark, scratch, monkeypatch):
+    from matchflow.session import checkpoint_dir
+    kept = os.path.join(checkpoint_dir(spark).removeprefix("file:"), "scratch")
+    tables = lambda: {x for x in (os.listdir(kept) if os.path.isdir(kept) else ()) if x.startswith("batch-")}
+    spark.catalog.clearCache()
+    before, held, write = tables(), [], sinks.write_batch
+
+    def seen(*a, **b):
+        held.append(spark.sparkContext._jsc.getPersistentRDDs().size())
+        return write(*a, **b)
+
+    monkeypatch.setattr(sinks, "write_batch", seen)
+    batch = spark.createDataFrame([(0, 1, '{"notification_id":1,"type":"but","date_envoi":"2024-01-02 03:04:05"}'), (0, 2, "not json"),
+                                   (1, 1, '{"notification_id":2,"type":"but"}'), (1, 2, '{"notification_id":null}'), (1, 3, None)],
+                                  "partition int, offset long, value string")
+    ingest.process_batch("notifications", scratch)(batch, 4)
+    assert held == [0, 0, 0] and tables() == before
+    read = lambda *p: spark.read.parquet(os.path.join(scratch, *p))
+    assert sorted((r.notification_id, r.type, str(r.date_envoi)) for r in read("notifications").collect()) == [("1", "but", "2024-01-02 03:04:05"), ("2", "but", "None")]
+    assert {(r._offset, r._raw, r._reject_reason) for r in read("quarantine", "notifications").collect()} == \
+        {(2, "not json", "not_an_object"), (2, '{"notification_id":null}', "bad_key"), (3, None, "not_an_object")}
+    assert [(r.type, r.nombre_notifications) for r in read("stats", "notifications").collect()] == [("but", 2)]
+
+    def broken(*a, **b):
+        raise RuntimeError("sink")
+
+    monkeypatch.setattr(sinks, "write_batch", broken)
+    with pytest.raises(RuntimeError, match="sink"):
+        ingest.process_batch("notifications", scratch)(batch, 5)
+    assert tables() == before
